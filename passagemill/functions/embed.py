@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagemill.functions.text import SPACE
+from passagemill.functions.text import SPACE, let
 
 HASH_DIM = 64
 
@@ -21,21 +21,22 @@ def word_bucket_counts(text: Column, dim: int = HASH_DIM) -> Column:
     counted by deleting its character.  That keeps the work linear in the text,
     inside the JVM and without a shuffle.
     """
-    words = F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != "")
     base = 48  # '0': the buckets use the printable characters from here on
-    codes = F.transform(
-        words,
-        lambda w: F.char(
-            F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(dim)) + base
-        ),
-    )
-    flat = F.array_join(codes, "")
-    return F.array(
-        *[
-            (F.length(flat) - F.length(F.replace(flat, F.lit(chr(base + b)), F.lit("")))).cast("double")
-            for b in range(dim)
-        ]
-    )
+    words = F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != "")
+
+    def code(word: Column) -> Column:
+        first = F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int")
+        return F.char(first % dim + base)
+
+    def counts(flat: Column) -> Column:
+        return F.array(
+            *[
+                (F.length(flat) - F.length(F.replace(flat, F.lit(chr(base + b)), F.lit("")))).cast("double")
+                for b in range(dim)
+            ]
+        )
+
+    return let(F.array_join(F.transform(words, code), ""), counts)
 
 
 def norm(vector: Column) -> Column:
@@ -44,8 +45,11 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """L2-normalised vector; the zero vector stays zero."""
-    size = norm(vector)
-    return F.transform(vector, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+
+    def scaled(v: Column) -> Column:
+        return let(norm(v), lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))))
+
+    return let(vector, scaled)
 
 
 def embed_hashed(df: DataFrame, text: str = "text", output: str = "embedding", dim: int = HASH_DIM) -> DataFrame:

@@ -7,13 +7,17 @@ one pass over the string is far cheaper than an interpreted lambda per word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII only; this class is every Unicode white space plus the four
-# information separators U+001C..U+001F.
-SPACE = r"[\x1c-\x1f\p{IsWhite_Space}]"
-NON_SPACE = r"[^\x1c-\x1f\p{IsWhite_Space}]"
+# Java's \s is ASCII only; this class is every Unicode white space character plus
+# the four information separators U+001C..U+001F.  (The property is measured to be
+# some ten times faster than the same characters spelled out.)
+SPACE_CHARS = r"\x1c-\x1f\p{IsWhite_Space}"
+SPACE = f"[{SPACE_CHARS}]"
+NON_SPACE = f"[^{SPACE_CHARS}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 # The noise patterns and quality limits of the corpus cleaner.
@@ -33,6 +37,15 @@ LOW_QUALITY = "document parsed to low-quality text (scan/word-soup)"
 DUPLICATE = "duplicate content"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it.
+
+    The optimizer copies a column into every place that uses it when it moves a
+    filter down; a lambda's variable cannot be copied that way.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -52,11 +65,14 @@ def lines(text: Column) -> Column:
 
 def garbage_fraction(text: Column) -> Column:
     """Share of the characters that sit in words longer than 30 characters."""
-    in_long = F.length(text) - F.length(
-        F.regexp_replace(text, f"{NON_SPACE}{{{LONG_WORD + 1},}}", "")
-    )
-    body = F.length(F.translate(text, " \n", ""))
-    return F.coalesce(F.try_divide(in_long, body), F.lit(1.0))
+    # Looking back first keeps the search to the starts of words.
+    long_word = f"(?<!{NON_SPACE}){NON_SPACE}{{{LONG_WORD + 1},}}"
+
+    def share(t: Column) -> Column:
+        in_long = F.length(t) - F.length(F.regexp_replace(t, long_word, ""))
+        return F.coalesce(F.try_divide(in_long, F.length(F.translate(t, " \n", ""))), F.lit(1.0))
+
+    return let(text, share)
 
 
 def alnum_count(text: Column) -> Column:
@@ -91,30 +107,41 @@ def clean_text(text: Column) -> Column:
 
 
 def word_mean(text: Column) -> Column:
-    chars = F.length(F.regexp_replace(text, f"{SPACE}+", ""))
-    return F.try_divide(chars, F.regexp_count(text, F.lit(f"{NON_SPACE}+")))
+    """Mean word length; null without words."""
+
+    def mean(flat: Column) -> Column:
+        chars = F.length(F.translate(flat, " ", ""))
+        return F.when(chars > 0, chars / (F.length(flat) - chars + 1))
+
+    return let(collapse(text), mean)
 
 
 def is_low_quality(text: Column, ext: Column) -> Column:
     minimum = F.when(ext == ".pdf", MIN_CHARS_PDF).otherwise(MIN_CHARS_OTHER)
-    mean = word_mean(text)
-    return (
-        (F.length(strip(text)) < minimum)
-        | mean.isNull()
-        | (mean < MIN_WORD_MEAN)
-        | (mean > MAX_WORD_MEAN)
-        | (garbage_fraction(text) > MAX_DOC_GARBAGE)
+
+    def bad_mean(mean: Column) -> Column:
+        return mean.isNull() | (mean < MIN_WORD_MEAN) | (mean > MAX_WORD_MEAN)
+
+    return let(
+        text,
+        lambda t: (F.length(strip(t)) < minimum)
+        | let(word_mean(t), bad_mean)
+        | (garbage_fraction(t) > MAX_DOC_GARBAGE),
     )
 
 
 def keep_chunk(text: Column) -> Column:
-    body = strip(text)
-    return (alnum_count(body) >= MIN_CHUNK_ALNUM) & (garbage_fraction(body) <= MAX_CHUNK_GARBAGE)
+    return let(
+        strip(text),
+        lambda body: (alnum_count(body) >= MIN_CHUNK_ALNUM) & (garbage_fraction(body) <= MAX_CHUNK_GARBAGE),
+    )
 
 
 def snippet(text: Column, limit: int = SNIPPET_CHARS) -> Column:
-    flat = collapse(text)
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)
+    return let(
+        collapse(text),
+        lambda flat: F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat),
+    )
 
 
 def decode_lenient(content: Column) -> Column:

@@ -20,22 +20,22 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def file_summary(files: DataFrame, chunks: DataFrame, skipped: DataFrame) -> DataFrame:
+def file_summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One record per file: ingested ones with their chunk count, skipped ones with a reason.
 
-    ``files(path, name, category, doc_sha)`` are the accepted files,
-    ``chunks(path)`` their chunks, ``skipped(path, name, reason)`` the rest.
+    ``files(path, name, category, doc_sha, reason)`` are all files of the run,
+    ``reason`` null for the ingested; ``chunks(path)`` are the chunks made of them.
     """
     counted = chunks.groupBy("path").agg(F.count("*").alias("chunks"))
-    ingested = files.join(counted, "path", "left").select(
+    taken = F.col("reason").isNull()
+    return files.join(counted, "path", "left").select(
         "path",
         "name",
-        "category",
-        F.col("doc_sha").alias("sha256"),
-        F.coalesce("chunks", F.lit(0)).alias("chunks"),
-        F.lit(None).cast("string").alias("reason"),
+        F.when(taken, F.col("category")).alias("category"),
+        F.when(taken, F.col("doc_sha")).alias("sha256"),
+        F.when(taken, F.coalesce("chunks", F.lit(0))).alias("chunks"),
+        "reason",
     )
-    return ingested.unionByName(skipped.select("path", "name", "reason"), allowMissingColumns=True)
 
 
 def sample_chunks(chunks: DataFrame, order: list[str], bucket: Column, sample: int = 3) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import paths
-from passagemill.functions.text import LOW_QUALITY, clean_text, is_low_quality, keep_chunk, strip
+from passagemill.functions.text import LOW_QUALITY, SPACE_CHARS, clean_text, is_low_quality, keep_chunk, let, strip
 from passagemill.options import IngestOptions
 
 # Break points tried in this order.
@@ -23,7 +23,7 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 LEVELS = 4
 _MARK = chr(0xFDD0)  # a Unicode non-character: never part of interchanged text
-_SPACE_IN_LINE = r"[\x1c-\x1f\p{IsWhite_Space}&&[^\n]]"
+_SPACE_IN_LINE = rf"[{SPACE_CHARS}&&[^\n]]"
 _PATH = T.ArrayType(T.StringType())
 _SECTIONS = T.ArrayType(
     T.StructType([T.StructField("headers", _PATH), T.StructField("text", T.StringType())])
@@ -52,34 +52,48 @@ def header_sections(text: Column) -> Column:
     ``headers`` has four places, null where no header of that level is open.  A
     header closes the deeper ones and its line stays in the text.
     """
-    pieces = F.transform(F.split(_marked(text), _MARK), strip)
     no_path = F.array(*[F.lit(None).cast("string")] * LEVELS)
-    start = F.struct(no_path.alias("path"), F.array().cast(_SECTIONS).alias("out"))
+    nothing = F.array().cast(_SECTIONS)
+    start = F.struct(no_path.alias("path"), nothing.alias("out"))
+
+    def describe(piece: Column) -> Column:
+        return F.struct(
+            F.length(F.regexp_extract(piece, rf"^(#{{1,{LEVELS}}})(?: |\n|\z)", 1)).alias("level"),
+            strip(F.regexp_extract(piece, rf"^#{{1,{LEVELS}}}([^\n]*)", 1)).alias("name"),
+            piece.alias("text"),
+        )
+
+    def section(path: Column, body: Column) -> Column:
+        return F.array(F.struct(path.alias("headers"), body.alias("text")))
 
     def add(acc: Column, piece: Column) -> Column:
-        mark = F.regexp_extract(piece, rf"^(#{{1,{LEVELS}}})(?: |\n|\z)", 1)
-        level = F.length(mark)
-        name = strip(F.regexp_extract(piece, rf"^#{{1,{LEVELS}}}([^\n]*)", 1))
         path = F.transform(
             acc["path"],
-            lambda old, i: F.when(i + 1 < level, old).when(i + 1 == level, name).otherwise(F.lit(None)),
+            lambda old, i: F.when(i + 1 < piece["level"], old)
+            .when(i + 1 == piece["level"], piece["name"])
+            .otherwise(F.lit(None)),
         )
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        same = (F.size(acc["out"]) > 0) & last["headers"].eqNullSafe(path)
+        return let(path, lambda p: extend(acc["out"], p, piece["text"]))
+
+    def extend(out: Column, path: Column, body: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        same = (F.size(out) > 0) & last["headers"].eqNullSafe(path)
         merged = F.concat(
-            F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))),
-            F.array(F.struct(path.alias("headers"), F.concat(last["text"], F.lit("\n"), piece).alias("text"))),
+            F.slice(out, 1, F.size(out) - 1), section(path, F.concat(last["text"], F.lit("\n"), body))
+        )
+        return F.struct(
+            path.alias("path"), F.when(same, merged).otherwise(F.concat(out, section(path, body))).alias("out")
         )
-        grown = F.concat(acc["out"], F.array(F.struct(path.alias("headers"), piece.alias("text"))))
-        return F.struct(path.alias("path"), F.when(same, merged).otherwise(grown).alias("out"))
 
-    def first(piece: Column) -> Column:
-        return F.when(
-            piece != "", F.array(F.struct(no_path.alias("headers"), piece.alias("text")))
-        ).otherwise(F.array().cast(_SECTIONS))
+    def fold(pieces: Column) -> Column:
+        lead = F.get(pieces, F.lit(0))
+        headed = F.transform(F.slice(pieces, 2, F.size(pieces)), describe)
+        return F.concat(
+            F.when(lead != "", section(no_path, lead)).otherwise(nothing),
+            F.aggregate(headed, start, add, lambda acc: acc["out"]),
+        )
 
-    headed = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, add, lambda acc: acc["out"])
-    return F.concat(first(F.get(pieces, 0)), headed)
+    return let(F.transform(F.split(_marked(text), _MARK), strip), fold)
 
 
 def _pieces(text: str, size: int, seps: tuple[str, ...]) -> Iterator[tuple[str, bool]]:
@@ -161,13 +175,23 @@ def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -
     ).select(*rest, "chunk_index", "n_chunks", "_chunk.headers", "_chunk.text")
 
 
+def low_quality_reason(text: Column, ext: Column) -> Column:
+    """Why a raw text is turned away after cleaning, or null."""
+    return F.when(is_low_quality(clean_text(text), ext), F.lit(LOW_QUALITY))
+
+
 def gate(docs: DataFrame, ext: Column) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, rejected)`` after cleaning; rejected rows carry a reason."""
-    cleaned = docs.withColumn("text", clean_text(F.col("text"))).withColumn(
-        "_low", is_low_quality(F.col("text"), ext)
-    )
-    accepted = cleaned.where(~F.col("_low")).drop("_low")
-    rejected = cleaned.where(F.col("_low")).drop("_low").withColumn("reason", F.lit(LOW_QUALITY))
+    """``(accepted, rejected)``: cleaned documents, and ids with a reason for the others.
+
+    Exploding a list of one or none instead of filtering keeps the optimizer from
+    cleaning every text a second time inside a filter it has moved down.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    none = F.array().cast("array<string>")
+    passed = let(clean_text(F.col("text")), lambda t: F.when(is_low_quality(t, ext), none).otherwise(F.array(t)))
+    reason = low_quality_reason(F.col("text"), ext)
+    accepted = docs.select(*rest, F.explode(passed).alias("text"))
+    rejected = docs.select(*rest, F.explode(F.filter(F.array(reason), lambda r: r.isNotNull())).alias("reason"))
     return accepted, rejected
 
 

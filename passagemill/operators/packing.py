@@ -9,14 +9,14 @@ and then each span packs its own pieces from its now known start.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import strip
+from passagemill.functions.text import SPACE, strip
 from passagemill.options import PackRule
 from passagemill.sources.sinks import scratch_dir
 
@@ -27,8 +27,7 @@ def hard_split(text: Column, size: int) -> Column:
     part = rf"(?s)(?:.{{1,{size}}}\z|.{{{low},{size - 1}}}(?= )|.{{{size}}})"
     # Every part but the last is trimmed on both sides: white space after a cut
     # belongs to no part.
-    skip = r"[\x1c-\x1f\p{IsWhite_Space}]*"
-    found = F.regexp_extract_all(text, F.lit(f"({part}){skip}"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({part}){SPACE}*"), F.lit(1))
     return F.transform(found, strip)
 
 
@@ -80,39 +79,58 @@ def _answers(sizes: Iterable[int], fresh: Iterable[bool], orders: Iterable[int],
     return length[place], opened[place]
 
 
-def _placed(sizes: Iterable[int], fresh: Iterable[bool], orders: Iterable[int], target: int, length: int, start: int):
-    """The order of the chunk-opening part for every part, given the state before the first."""
-    out = []
-    for size, new, order in zip(sizes, fresh, orders):
-        if length == 0 or new or length + size + 1 > target:
-            start, length = order, size
-        else:
-            length += size + 1
-        out.append(start)
-    return out
-
+def _stream(rows: DataFrame, keys: list[str], group: list[str], out_ddl: str) -> DataFrame:
+    """Pack sorted rows batch by batch; only the open chunk is held in memory.
 
-def _strips(rows: pd.DataFrame, keys: list[str], key: tuple, length: int, start: int) -> pd.DataFrame:
-    """Pack one group (or span of it) and join the pieces of each chunk."""
-    rows = rows.sort_values("order")
-    state = (rows[c].tolist() for c in ("size", "fresh", "order"))
-    rows["chunk_start"] = _placed(*state, int(rows["target"].iloc[0]), length, start)
-    out = rows.groupby("chunk_start", as_index=False).agg(order=("order", "min"), text=("piece", "\n".join))
-    for name, value in zip(keys, key):
-        out[name] = value
-    return out[[*keys, "chunk_start", "order", "text"]]
+    ``entry`` and ``start`` tell, on every row of a group, the length and name of
+    the chunk that was open before the group.
+    """
+    columns = [*keys, "chunk_start", "order", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: tuple | None = None
+        length = start = first = 0
+        pieces: list[str] = []
+        done: list[tuple] = []
+
+        def close() -> None:
+            if pieces:
+                done.append((*current[: len(keys)], start, first, "\n".join(pieces)))
+                pieces.clear()
+
+        for batch in batches:
+            at = zip(*(batch[c].tolist() for c in group))
+            state = zip(*(batch[c].tolist() for c in ("order", "size", "fresh", "target", "piece", "entry", "start")))
+            for key, (order, size, fresh, target, piece, entry, open_start) in zip(at, state):
+                if key != current:
+                    close()
+                    current, length, start = key, entry, open_start
+                if length == 0 or fresh or length + size + 1 > target:
+                    close()
+                    start, length = order, size
+                else:
+                    length += size + 1
+                if not pieces:
+                    first = order
+                pieces.append(piece)
+            yield pd.DataFrame(done, columns=columns)
+            done = []
+        close()
+        yield pd.DataFrame(done, columns=columns)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "order").mapInPandas(run, out_ddl)
 
 
 def pack(parts: DataFrame, keys: list[str], span: int | None) -> DataFrame:
     """Pack ``(keys, pos, part, piece, target, fresh)`` into ``(keys, chunk_start, text)``.
 
     A chunk is named by the order of its first part.  Without ``span`` every group
-    is known to be small and is packed in one step.
+    is known to be small and one task packs it from end to end.
     """
     wide = parts.select(
         *keys,
         (F.col("pos") * PARTS_PER_PIECE + F.col("part")).alias("order"),
-        F.lit(0).alias("_span") if span is None else F.floor(F.col("pos") / span).cast("long").alias("_span"),
+        *([] if span is None else [F.floor(F.col("pos") / span).cast("long").alias("_span")]),
         "target",
         "fresh",
         F.length("piece").alias("size"),
@@ -121,11 +139,8 @@ def pack(parts: DataFrame, keys: list[str], span: int | None) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema.fields}
     out_ddl = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk_start long, order long, text string"
     if span is None:
-
-        def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return _strips(rows, keys, key, 0, INHERITED)
-
-        return wide.drop("_span").groupBy(*keys).applyInPandas(whole, out_ddl).drop("order")
+        fresh_start = {"entry": F.lit(0), "start": F.lit(INHERITED).cast("long")}
+        return _stream(wide.withColumns(fresh_start), keys, keys, out_ddl).drop("order")
     return _pack_in_spans(wide, keys, kinds, out_ddl)
 
 
@@ -157,10 +172,6 @@ def _pack_in_spans(wide: DataFrame, keys: list[str], kinds: dict[str, str], out_
             out[name] = value
         return out[[*group, "entry", "start"]]
 
-    def place(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        known = (int(entry["entry"].iloc[0]), int(entry["start"].iloc[0])) if len(entry) else (0, INHERITED)
-        return _strips(rows, keys, key, *known)
-
     # Groups inside one span start empty; only the others need answers.
     long_groups = (
         narrow.groupBy(*keys)
@@ -175,11 +186,14 @@ def _pack_in_spans(wide: DataFrame, keys: list[str], kinds: dict[str, str], out_
         .groupBy(*keys)
         .applyInPandas(chain, f"{key_ddl}, entry int, start long")
     )
-    placed = wide.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(place, out_ddl)
+    known = wide.join(entries, group, "left").withColumns(
+        {"entry": F.coalesce("entry", F.lit(0)), "start": F.coalesce("start", F.lit(INHERITED).cast("long"))}
+    )
     # A chunk that crosses a span border arrives in two or more strips.
     strips = F.array_sort(F.collect_list(F.struct("order", "text")))
     return (
-        placed.groupBy(*keys, "chunk_start")
+        _stream(known, keys, group, out_ddl)
+        .groupBy(*keys, "chunk_start")
         .agg(strips.alias("strips"))
         .select(*keys, "chunk_start", F.array_join(F.transform("strips", lambda r: r["text"]), "\n").alias("text"))
     )

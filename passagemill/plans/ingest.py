@@ -381,13 +381,14 @@ def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept lines as chunks, numbered inside their document's own row."""
-    kept = F.filter(F.split("text", "\n"), text.keep_chunk)
-    return t.corpus(spark, sf_dir).select(
+    kept = t.corpus(spark, sf_dir).select(
         "path",
         "doc_id",
         identity.content_sha(F.col("text")).alias("doc_sha"),
-        F.size(kept).alias("n_chunks"),
-        F.posexplode(kept).alias("chunk_index", "text"),
+        F.filter(F.split("text", "\n"), text.keep_chunk).alias("kept"),
+    )
+    return kept.select(
+        "path", "doc_id", "doc_sha", F.size("kept").alias("n_chunks"), F.posexplode("kept").alias("chunk_index", "text")
     )
 
 
@@ -412,27 +413,38 @@ def chunk_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole run on the corpus: ``(accepted files, stamped chunks, skipped files)``."""
+def hashed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.corpus(spark, sf_dir).withColumn("doc_sha", identity.content_sha(F.col("text")))
+
+
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dedup, clean, gate, sections, size split, filter, stamps: one plan, one join."""
+    ext = paths.extension(F.col("path"))
+    kept, _ = identity.split_copies(hashed_corpus(spark, sf_dir).select("path", "doc_sha", "text"))
+    accepted, _ = chunking.gate(kept, ext)
+    parser = F.when(ext == ".pdf", "pymupdf-text").otherwise("text")
+    return chunking.stamp_chunks(chunking.chunk_documents(accepted), ROOT, parser=parser)
+
+
+def file_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the reason why it is not in the corpus, null where it is."""
     path = F.col("path")
-    hashed = t.corpus(spark, sf_dir).withColumn("doc_sha", identity.content_sha(F.col("text")))
-    kept, copies = identity.split_copies(hashed)
-    accepted, rejected = chunking.gate(kept, paths.extension(path))
-    chunks = chunking.stamp_chunks(
-        chunking.chunk_documents(accepted.select("path", "doc_sha", "text")),
-        ROOT,
-        parser=F.when(paths.extension(path) == ".pdf", "pymupdf-text").otherwise("text"),
+    files = hashed_corpus(spark, sf_dir)
+    kept, _ = identity.split_copies(files)
+    judged = kept.select("path", chunking.low_quality_reason(F.col("text"), paths.extension(path)).alias("low"), F.lit(True).alias("kept"))
+    reason = F.when(F.col("kept").isNull(), text.DUPLICATE).otherwise(F.col("low"))
+    return files.select("path", "doc_sha").join(judged, "path", "left").select(
+        "path",
+        paths.file_name(path).alias("name"),
+        paths.category(path, ROOT).alias("category"),
+        "doc_sha",
+        reason.alias("reason"),
     )
-    named = {"name": paths.file_name(path), "category": paths.category(path, ROOT)}
-    skipped = copies.select("path", "reason").unionByName(rejected.select("path", "reason"))
-    return accepted.withColumns(named), chunks, skipped.withColumn("name", paths.file_name(path))
 
 
 @query()
 def ingest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in one plan: dedup, clean, gate, sections, size split, filter, stamps."""
-    _, chunks, _ = ingested(spark, sf_dir)
-    return chunks.select(
+    return corpus_chunks(spark, sf_dir).select(
         "chunk_id", "path", "chunk_index", "n_chunks", "source_ext", "category", "parser", "doc_sha", "text",
         F.array_join("headers", " > ").alias("header_path"),
     )
@@ -497,8 +509,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all files, counting kept lines as chunks."""
-    accepted, _, skipped = ingested(spark, sf_dir)
-    return audit.file_summary(accepted, line_chunks(spark, sf_dir), skipped)
+    return audit.file_summary(file_outcomes(spark, sf_dir), line_chunks(spark, sf_dir))
 
 
 @query(
@@ -516,9 +527,12 @@ def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, chunks, skipped = ingested(spark, sf_dir)
+    """A whole run: write the chunks, then tell of them from the written table."""
+    target, records = sinks.scratch_dir(spark, "run-chunks"), sinks.scratch_dir(spark, "run-files")
+    sinks.write_chunks(corpus_chunks(spark, sf_dir), target, drop_old=True)
+    chunks = spark.read.parquet(target)
+    audit.file_summary(file_outcomes(spark, sf_dir), chunks).write.parquet(records)
     options = IngestOptions()
-    summary = audit.file_summary(accepted, chunks, skipped)
     run = {
         "chunk_size": options.chunk_size,
         "dry_run": options.dry_run,
@@ -526,4 +540,4 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pdf_parser": options.pdf_parser,
         "root": ROOT,
     }
-    return audit.manifest_records(summary, audit.corpus_stats(chunks), run)
+    return audit.manifest_records(spark.read.parquet(records), audit.corpus_stats(chunks), run)

@@ -17,7 +17,14 @@ TURN_STEP = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; text-heavy ones in fewer files than cores are spread over the cores.
+
+    A small table is one file with one row group, which one task reads.  A large one
+    has files enough for every core and is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
 
 
 # -- files ---------------------------------------------------------------
