@@ -150,6 +150,17 @@ def size_splitter(size: int, overlap: int):
     return run.asNondeterministic()
 
 
+def explode_once(df: DataFrame, array: str, place: str, item: str, count: str | None = None) -> DataFrame:
+    """Explode an array column that was costly to make.
+
+    A plain explode makes the optimizer derive ``size(array) > 0`` and move it below
+    the projection, where the array is made again; the outer form does not.
+    """
+    rest = [c for c in df.columns if c != array]
+    sizes = [] if count is None else [F.size(array).alias(count)]
+    return df.select(*rest, *sizes, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
     """Explode ``text`` into kept chunks: adds ``chunk_index, n_chunks, headers`` and the chunk ``text``.
 
@@ -170,9 +181,8 @@ def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -
         )
     )
     kept = parted.select(*rest, F.filter(chunks, lambda c: keep_chunk(c["text"])).alias("_chunks"))
-    return kept.select(
-        *rest, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_index", "_chunk")
-    ).select(*rest, "chunk_index", "n_chunks", "_chunk.headers", "_chunk.text")
+    numbered = explode_once(kept, "_chunks", "chunk_index", "_chunk", count="n_chunks")
+    return numbered.select(*rest, "chunk_index", "n_chunks", "_chunk.headers", "_chunk.text")
 
 
 def low_quality_reason(text: Column, ext: Column) -> Column:

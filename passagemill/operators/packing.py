@@ -48,7 +48,7 @@ def split_pieces(pieces: DataFrame, rules: dict[str, PackRule]) -> DataFrame:
         .select(
             *[c for c in pieces.columns if c != "piece"], target.alias("target"), parts.alias("_parts")
         )
-        .select("*", F.posexplode("_parts").alias("part", "piece"))
+        .select("*", F.posexplode_outer("_parts").alias("part", "piece"))
         .withColumn("fresh", (F.size("_parts") > 1) & (F.col("part") == 0))
         .drop("_parts")
     )

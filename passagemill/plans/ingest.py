@@ -387,9 +387,7 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         identity.content_sha(F.col("text")).alias("doc_sha"),
         F.filter(F.split("text", "\n"), text.keep_chunk).alias("kept"),
     )
-    return kept.select(
-        "path", "doc_id", "doc_sha", F.size("kept").alias("n_chunks"), F.posexplode("kept").alias("chunk_index", "text")
-    )
+    return chunking.explode_once(kept, "kept", "chunk_index", "text", count="n_chunks")
 
 
 KEPT_LINES = f"""{LINES}, kept AS (
