@@ -37,16 +37,14 @@ def turn_prompts(turns: DataFrame, history: DataFrame) -> DataFrame:
     latest turn is still to be answered, so every history message is written once
     and the output grows with the conversation, not with its square.  History is
     the raw question and answer, without the old context.
+
+    Both joins are on (conversation, turn), so one very long conversation is spread
+    like any other rows; messages are ordered by ``turn_id, part``.
     """
-    latest = turns.groupBy("conversation_id").agg(F.max("turn_id").alias("pending_turn"))
-    asked = turns.join(
-        latest.select("conversation_id", F.col("pending_turn").alias("turn_id")),
-        ["conversation_id", "turn_id"],
-        "left_semi",
-    ).select(
-        "conversation_id",
-        F.col("turn_id").alias("pending_turn"),
-        "turn_id",
+    key = ["conversation_id", "turn_id"]
+    latest = turns.groupBy("conversation_id").agg(F.max("turn_id").alias("turn_id"))
+    asked = turns.join(latest, key, "left_semi").select(
+        *key,
         F.lit(0).alias("part"),
         F.lit("human").alias("type"),
         turn_message(F.col("context"), F.col("question")).alias("content"),
@@ -58,9 +56,8 @@ def turn_prompts(turns: DataFrame, history: DataFrame) -> DataFrame:
         )
     )
     earlier = (
-        history.join(latest, "conversation_id")
-        .where(F.col("turn_id") < F.col("pending_turn"))
-        .select("conversation_id", "pending_turn", "turn_id", messages.alias("m"))
-        .select("conversation_id", "pending_turn", "turn_id", "m.part", "m.type", "m.content")
+        history.join(latest, key, "left_anti")
+        .select(*key, messages.alias("m"))
+        .select(*key, "m.part", "m.type", "m.content")
     )
     return earlier.unionByName(asked)

@@ -25,14 +25,23 @@ def candidate_pool(queries: DataFrame, collection: DataFrame, options: Retrieval
     return exact_topk(queries, collection, options.candidate_k, options.max_broadcast_queries)
 
 
-def attach(ranked: DataFrame, collection: DataFrame, columns: list[str]) -> DataFrame:
+def rows_bound(queries: DataFrame, k: int, options: RetrievalOptions) -> int | None:
+    """The most rows a top-k of these queries can have; None for a batch beyond the limit.
+
+    Only the queries are counted, the search itself is not run.
+    """
+    limit = options.max_broadcast_queries
+    n = queries.select("qid").limit(limit + 1).count()
+    return n * k if n <= limit else None
+
+
+def attach(ranked: DataFrame, collection: DataFrame, columns: list[str], bound: int | None) -> DataFrame:
     """Join winners back to wide columns that the search did not carry.
 
-    The ranked side is counted first: a small one is broadcast, so that the
-    collection is only scanned; a large one is joined by shuffle.
+    With a proven ``bound`` the winners are broadcast and the collection is only
+    scanned; otherwise both sides are shuffled on the chunk.
     """
-    small = ranked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(ranked) if small else ranked
+    side = F.broadcast(ranked) if bound is not None and bound <= BROADCAST_ROWS else ranked
     return collection.select("chunk_id", *columns).join(side, "chunk_id")
 
 
@@ -115,7 +124,8 @@ def retrieve(
     """
     if options.backend == "mmr":
         pool = candidate_pool(queries, collection, options)
-        return mmr(attach(pool, collection, ["embedding"]), options)
+        bound = rows_bound(queries, options.candidate_k, options)
+        return mmr(attach(pool, collection, ["embedding"], bound), options)
     if options.backend == "llm" and replies is not None:
         return listwise_rerank(candidate_pool(queries, collection, options), replies, options)
     return dense_topk(queries, collection, options).withColumn("dense_rank", F.col("rank"))

@@ -40,42 +40,42 @@ def _cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best ids per query seen so far."""
+    """The k best ids per query seen so far, as flat arrays sorted by query, score, id."""
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
-        self.keys = np.empty((n_queries, 0))
-        self.ids = np.empty((n_queries, 0), dtype=np.int64)
-        self.scores = np.empty((n_queries, 0))
+        self.query = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=np.int64)
+        self.keys = np.empty(0)
+        self.scores = np.empty(0)
+        self.bar = np.full(n_queries, -np.inf)
 
     def add(self, scores: np.ndarray, ids: np.ndarray, banned: np.ndarray | None = None) -> None:
         if scores.shape[1] == 0:
             return
-        if banned is not None:
-            scores = np.where(ids[None, :] == banned[:, None], -np.inf, scores)
         keys = np.round(scores, TIE_DECIMALS)
+        if banned is not None:
+            keys = np.where(ids[None, :] == banned[:, None], -np.inf, keys)
+        bar = self.bar
         if keys.shape[1] > self.k:
-            # Everything that ties with the k-th key stays in until ids decide.
-            bar = -np.partition(-keys, self.k - 1, axis=1)[:, self.k - 1]
-            keep = (keys >= bar[:, None]).any(axis=0)
-            keys, scores, ids = keys[:, keep], scores[:, keep], ids[keep]
-        all_keys = np.hstack([self.keys, keys])
-        all_ids = np.hstack([self.ids, np.broadcast_to(ids, keys.shape)])
-        all_scores = np.hstack([self.scores, scores])
-        order = np.lexsort((all_ids, -all_keys), axis=1)[:, : self.k]
-        self.keys = np.take_along_axis(all_keys, order, 1)
-        self.ids = np.take_along_axis(all_ids, order, 1)
-        self.scores = np.take_along_axis(all_scores, order, 1)
+            bar = np.maximum(bar, np.partition(keys, keys.shape[1] - self.k, axis=1)[:, -self.k])
+        # Everything that ties with the k-th score stays in until the ids decide.
+        query, column = np.nonzero((keys >= bar[:, None]) & np.isfinite(keys))
+        self.query = np.concatenate([self.query, query])
+        self.ids = np.concatenate([self.ids, ids[column]])
+        self.keys = np.concatenate([self.keys, keys[query, column]])
+        self.scores = np.concatenate([self.scores, scores[query, column]])
+        order = np.lexsort((self.ids, -self.keys, self.query))
+        place = np.arange(len(order)) - np.searchsorted(self.query[order], self.query[order])
+        order = order[place < self.k]
+        self.query, self.ids, self.keys, self.scores = (
+            part[order] for part in (self.query, self.ids, self.keys, self.scores)
+        )
+        full = np.flatnonzero(place[place < self.k] == self.k - 1)
+        self.bar[self.query[full]] = self.keys[full]
 
     def rows(self, qids: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame(
-            {
-                "qid": np.repeat(qids, self.ids.shape[1]),
-                "chunk_id": self.ids.reshape(-1),
-                "score": self.scores.reshape(-1),
-            }
-        )
-        return out[np.isfinite(out["score"])]
+        return pd.DataFrame({"qid": qids[self.query], "chunk_id": self.ids, "score": self.scores})
 
 
 _PARTIAL = "qid long, chunk_id long, score double"

@@ -169,7 +169,8 @@ def rerank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, collection = question_inputs(spark, sf_dir)
     pool = rt.candidate_pool(queries, collection, DEFAULT)
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return rt.rerank_prompts(rt.attach(pool, docs, ["text"]), queries, DEFAULT)
+    bound = rt.rows_bound(queries, DEFAULT.candidate_k, DEFAULT)
+    return rt.rerank_prompts(rt.attach(pool, docs, ["text"], bound), queries, DEFAULT)
 
 
 @query(
@@ -211,19 +212,22 @@ SOURCE_SQL = """'[' || rank || '] ' || coalesce(nullif(CASE WHEN doc_id % 3 = 0
       CASE WHEN doc_id % 2 = 0 THEN source || '.pdf' END, 'unknown') || ' › ' || lang || ' › Part ' || doc_id || chr(10) || text"""
 
 
+def top_passages(spark: SparkSession, sf_dir: str, queries: DataFrame, collection: DataFrame) -> DataFrame:
+    ranked = rt.dense_topk(queries, collection, DEFAULT)
+    bound = rt.rows_bound(queries, DEFAULT.top_k, DEFAULT)
+    return rt.attach(ranked, passages(spark, sf_dir), ["name", "original_filename", "headers", "text"], bound)
+
+
 @query(
     f"WITH {t.LABEL_SEARCH} SELECT qid, rank, chunk_id, {SOURCE_SQL} AS source FROM ranked JOIN documents ON doc_id = chunk_id WHERE rank <= 10"
 )
 def format_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = rt.dense_topk(*search_inputs(spark, sf_dir), DEFAULT)
-    wide = rt.attach(ranked, passages(spark, sf_dir), ["name", "original_filename", "headers", "text"])
+    wide = top_passages(spark, sf_dir, *search_inputs(spark, sf_dir))
     return ctx.format_sources(wide).select("qid", "rank", "chunk_id", "source")
 
 
 def contexts(spark: SparkSession, sf_dir: str, queries: DataFrame, collection: DataFrame) -> DataFrame:
-    ranked = rt.dense_topk(queries, collection, DEFAULT)
-    wide = rt.attach(ranked, passages(spark, sf_dir), ["name", "original_filename", "headers", "text"])
-    return ctx.build_context(queries, wide)
+    return ctx.build_context(queries, top_passages(spark, sf_dir, queries, collection))
 
 
 @query(
@@ -239,11 +243,11 @@ def build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {t.TURNS}, latest AS (SELECT conversation_id, max(turn_id) AS pending_turn FROM turns GROUP BY ALL)
-    SELECT conversation_id, turn_id AS pending_turn, turn_id, 0 AS part, 'human' AS type,
+    SELECT conversation_id, turn_id, 0 AS part, 'human' AS type,
       {quoted(SYSTEM_RULES)} || '[1] turn ' || turn_id || chr(10) || chr(10) || 'Question: ' || question AS content
     FROM turns JOIN latest USING (conversation_id) WHERE turn_id = pending_turn
     UNION ALL
-    SELECT conversation_id, pending_turn, turn_id, part, CASE part WHEN 0 THEN 'human' ELSE 'ai' END,
+    SELECT conversation_id, turn_id, part, CASE part WHEN 0 THEN 'human' ELSE 'ai' END,
       CASE part WHEN 0 THEN question ELSE answer END
     FROM turns JOIN latest USING (conversation_id), (VALUES (0), (1)) p(part)
     WHERE turn_id < pending_turn AND status = 'complete'"""

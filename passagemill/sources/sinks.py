@@ -26,6 +26,11 @@ def write_chunks(chunks: DataFrame, target: str, drop_old: bool = False) -> None
     chunks.write.mode(mode).partitionBy("source_ext").parquet(target)
 
 
+def replace_partitions(chunks: DataFrame, target: str) -> None:
+    """Replace only the suffix partitions that ``chunks`` has rows for."""
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_ext").parquet(target)
+
+
 def delete_where(collection: DataFrame, predicate: Column) -> DataFrame:
     """Rows that stay after deleting by a metadata predicate; a null answer deletes nothing."""
     return collection.where(~predicate | predicate.isNull())
