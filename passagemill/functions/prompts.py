@@ -28,6 +28,11 @@ SYSTEM_RULES = (
     "\n"
     "Sources:\n"
 )
+QUESTION_HEAD = (
+    "You are an expert evaluator. Generate a short, specific question that can be answered SOLELY by the "
+    "following text. Do not provide the answer, just the question.\n\nText: "
+)
+QUESTION_TAIL = "\n\nQuestion:"
 NO_RESULTS = "No relevant documents found in the knowledge base."
 NEW_CHAT = "New Chat"
 HEADER_JOIN = " › "
@@ -44,6 +49,11 @@ def turn_message(context: Column, question: Column) -> Column:
     return F.concat(F.lit(SYSTEM_RULES), context, F.lit("\n\nQuestion: "), question)
 
 
+def question_prompt(text: Column) -> Column:
+    """Asks a model for a question about one evaluation chunk."""
+    return F.concat(F.lit(QUESTION_HEAD), text, F.lit(QUESTION_TAIL))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.functions import paths
 from passagemill.functions.text import garbage_fraction
 
 
@@ -38,40 +39,57 @@ def file_summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def sample_chunks(chunks: DataFrame, order: list[str], bucket: Column, sample: int = 3) -> DataFrame:
-    """Chunks at a fixed stride over the whole ordered corpus, ``sample`` of them.
+SAMPLE_BOUNDS = 200
 
-    ``bucket`` must grow with the order (say, a range of document ids).  Counts per
-    bucket tell which buckets hold the wanted places, and only those are sorted; the
-    corpus is never numbered in one task.
+
+def sample_chunks(chunks: DataFrame, sample: int = 3) -> DataFrame:
+    """Chunks at a fixed stride over the whole corpus in path order, ``sample`` of them.
+
+    ``chunks`` holds ``path, chunk_index`` (numbered from 0 within a path).  The
+    corpus is never numbered in one task: paths are counted, cut into ranges at
+    (at most 200) sampled paths, and only the ranges that hold a wanted place are
+    sorted, path by path.
     """
-    binned = chunks.withColumn("_bucket", bucket)
-    counts = binned.groupBy("_bucket").agg(F.count("*").alias("n"))
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row per bucket from here on.
-    starts = counts.select(
-        "_bucket", "n", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"), F.sum("n").over(everything).alias("total")
+    key = paths.sort_key(F.col("path"))
+    counts = chunks.groupBy("path").agg(F.count("*").alias("n")).withColumn("key", key)
+    # The smallest hashes are a fixed random sample, and few by construction.
+    bounds = sorted(r.key for r in counts.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_BOUNDS).collect())
+    if not bounds or sample < 1:
+        return chunks.withColumn("place", F.lit(None).cast("long")).limit(0)
+    limits = F.array(*[F.lit(b) for b in bounds])
+    ranged = counts.withColumn("range", F.size(F.filter(limits, lambda b: b <= F.col("key"))))
+
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = ranged.groupBy("range").agg(F.sum("n").alias("n")).select(
+        "range",
+        "n",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.greatest(F.lit(1), F.floor(F.sum("n").over(whole) / sample)).cast("long").alias("step"),
     )
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / max(1, sample))).cast("long")
+    places = F.transform(F.sequence(F.lit(0), F.lit(sample - 1)), lambda i: i * F.col("step"))
+
+    def inside(start: Column) -> Column:
+        return F.filter("places", lambda p: (p >= start) & (p < start + F.col("n")))
+
+    hit = starts.withColumn("places", places).withColumn("places", inside(F.col("start"))).where(F.size("places") > 0)
+    in_range = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
-        starts.withColumn("step", step)
-        .select("_bucket", "start", "n", F.explode(F.sequence(F.lit(0), F.lit(max(sample, 1) - 1))).alias("i"), "step")
-        .withColumn("place", F.col("i") * F.col("step"))
-        .where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n")))
-        .groupBy("_bucket")
-        .agg(F.max("start").alias("start"), F.collect_set("place").alias("places"))
-    )
-    # At most ``sample`` buckets are wanted, so this side is small by construction.
-    hit = binned.join(F.broadcast(wanted), "_bucket")
-    numbered = hit.withColumn(
-        "place", F.col("start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    )
-    return (
-        numbered.where(F.array_contains("places", F.col("place")))
-        .drop("_bucket", "start", "places")
-        .limit(max(sample, 0))
+        ranged.join(F.broadcast(hit.select("range", "start", "places")), "range")
+        .withColumn("first", F.col("start") + F.coalesce(F.sum("n").over(in_range), F.lit(0)))
+        .select("path", "first", F.explode(inside(F.col("first"))).alias("place"))
+        .select("path", (F.col("place") - F.col("first")).cast("int").alias("chunk_index"), "place")
     )
+    # At most ``sample`` rows, so this side is small by construction.
+    return chunks.join(F.broadcast(wanted), ["path", "chunk_index"])
+
+
+def _literal(value: object) -> Column:
+    if isinstance(value, dict):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.items()])
+    if isinstance(value, (list, tuple)):
+        return F.array(*[_literal(v) for v in value])
+    return F.lit(value)
 
 
 def manifest_records(summary: DataFrame, stats: DataFrame, run: dict[str, object]) -> DataFrame:
@@ -89,7 +107,7 @@ def manifest_records(summary: DataFrame, stats: DataFrame, run: dict[str, object
     )
     # Two one-row aggregates side by side.
     totals = files.withColumn("_one", F.lit(1)).join(stats.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    fixed = [F.lit(value).alias(name) for name, value in run.items()]
+    fixed = [_literal(value).alias(name) for name, value in run.items()]
     head = totals.select(
         F.lit("run").alias("kind"),
         F.lit("").alias("path"),

@@ -49,3 +49,28 @@ def carry_forward(
         *[F.col(c) for c in df.columns],
         *[F.coalesce(f"_here_{name}", f"_before_{name}").alias(name) for name in marks],
     )
+
+
+def number_rows(
+    df: DataFrame, keys: list[str], coarse: list[str], fine: list[str], name: str, total: str
+) -> DataFrame:
+    """Number the rows of every key from 0 in ``(coarse, fine)`` order and add their count.
+
+    Only a coarse group is sorted in one task; its first number comes from the counts
+    of the groups before it, one row per group.
+    """
+    group = [*keys, *coarse]
+    counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy(*keys).orderBy(*coarse)
+    offsets = counts.select(
+        *group,
+        F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(Window.partitionBy(*keys)).cast("int").alias(total),
+    )
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*fine))
+    return (
+        df.withColumn("_place", place)
+        .join(offsets, group)
+        .withColumn(name, (F.col("_offset") + F.col("_place") - 1).cast("int"))
+        .drop("_place", "_offset")
+    )

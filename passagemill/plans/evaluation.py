@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagemill import jobs
 from passagemill.operators import evaluation as ev
 from passagemill.plans import tables as t
 from passagemill.plans.registry import query
-from passagemill.plans.retrieval import SOURCE_SQL, contexts, question_inputs
+from passagemill.plans.retrieval import SOURCE_SQL, contexts, passages, question_inputs
 
 
 @query(
@@ -61,6 +62,34 @@ def recall_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.recall_rate(hits(spark, sf_dir)).withColumn("recall_rate", F.round("recall_rate", 6))
 
 
+@query(
+    f"""WITH col AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, d.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+    sample AS (SELECT * FROM (SELECT * FROM col ORDER BY vec_id LIMIT 100) WHERE length(text) > 200 ORDER BY md5(vec_id || ':0'), vec_id LIMIT 10),
+    asked AS (SELECT vec_id AS qid, list_concat(v[1:8], [0.0::DOUBLE FOR x IN range(56)]) AS q FROM sample),
+    ranked AS (SELECT qid, c.*, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q, v), 12) DESC, vec_id)::INT AS rank
+      FROM asked, col c),
+    found AS (SELECT qid, string_agg({SOURCE_SQL}, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 10 GROUP BY qid)
+    SELECT qid, source, left(text, 80) AS question, snip AS expected_text_snippet, contains(context, snip) AS hit
+    FROM (SELECT vec_id AS qid, source, text, CASE WHEN length(text) > 150 THEN substr(text, 51, 100) ELSE left(text, 50) END AS snip
+      FROM sample) JOIN found USING (qid)"""
+)
+def recall_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled chunks looked up by the first eight of their sixty-four dimensions."""
+    vectors = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    collection = vectors.join(passages(spark, sf_dir), "chunk_id")
+    pool = vectors.select("chunk_id").join(passages(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(docs, "chunk_id")
+    sample = ev.eval_sample(pool.withColumnRenamed("chunk_id", "pk"))
+
+    def found(asked: DataFrame) -> DataFrame:
+        dims = F.concat(F.slice("embedding", 1, 8), F.array_repeat(F.lit(0.0).cast("float"), 56))
+        queries = asked.join(vectors.select(F.col("chunk_id").alias("qid"), dims.alias("embedding")), "qid")
+        return jobs.contexts(queries, collection)
+
+    details, _ = jobs.recall_evaluation(sample, sample.select("pk", F.substring("text", 1, 80).alias("question")), found)
+    return details
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as scored probes."""
     doc = F.col("doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagemill import jobs
 from passagemill.functions import embed, paths, text
 from passagemill.operators import audit, chunking, identity
 from passagemill.options import IngestOptions
@@ -411,38 +412,11 @@ def chunk_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hashed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.corpus(spark, sf_dir).withColumn("doc_sha", identity.content_sha(F.col("text")))
-
-
-def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dedup, clean, gate, sections, size split, filter, stamps: one plan, one join."""
-    ext = paths.extension(F.col("path"))
-    kept, _ = identity.split_copies(hashed_corpus(spark, sf_dir).select("path", "doc_sha", "text"))
-    accepted, _ = chunking.gate(kept, ext)
-    parser = F.when(ext == ".pdf", "pymupdf-text").otherwise("text")
-    return chunking.stamp_chunks(chunking.chunk_documents(accepted), ROOT, parser=parser)
-
-
-def file_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file with the reason why it is not in the corpus, null where it is."""
-    path = F.col("path")
-    files = hashed_corpus(spark, sf_dir)
-    kept, _ = identity.split_copies(files)
-    judged = kept.select("path", chunking.low_quality_reason(F.col("text"), paths.extension(path)).alias("low"), F.lit(True).alias("kept"))
-    reason = F.when(F.col("kept").isNull(), text.DUPLICATE).otherwise(F.col("low"))
-    return files.select("path", "doc_sha").join(judged, "path", "left").select(
-        "path",
-        paths.file_name(path).alias("name"),
-        paths.category(path, ROOT).alias("category"),
-        "doc_sha",
-        reason.alias("reason"),
-    )
-
-
 @query()
 def ingest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_chunks(spark, sf_dir).select(
+    """Dedup, clean, gate, sections, size split, filter, stamps: one plan, one join."""
+    chunks = jobs.text_chunks(jobs.hashed(t.corpus(spark, sf_dir).select("path", "text")), ROOT)
+    return chunks.select(
         "chunk_id", "path", "chunk_index", "n_chunks", "source_ext", "category", "parser", "doc_sha", "text",
         F.array_join("headers", " > ").alias("header_path"),
     )
@@ -507,35 +481,23 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all files, counting kept lines as chunks."""
-    return audit.file_summary(file_outcomes(spark, sf_dir), line_chunks(spark, sf_dir))
+    files = jobs.hashed(t.corpus(spark, sf_dir).select("path", "text"))
+    return audit.file_summary(jobs.text_outcomes(files, ROOT), line_chunks(spark, sf_dir))
 
 
 @query(
     f"""WITH {KEPT_LINES}, ordered AS (
-      SELECT doc_id, chunk_index, line AS text, row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS place,
+      SELECT path, chunk_index, line AS text, row_number() OVER (ORDER BY {KEY}, chunk_index) - 1 AS place,
         count(*) OVER () AS total FROM kept)
-    SELECT doc_id, chunk_index, text, place::BIGINT AS place FROM ordered
+    SELECT path, chunk_index, text, place::BIGINT AS place FROM ordered
     WHERE place % greatest(1, total // 3) = 0 AND place < 3 * greatest(1, total // 3)"""
 )
 def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = line_chunks(spark, sf_dir).select("doc_id", "chunk_index", "text")
-    bucket = F.floor(F.col("doc_id") / 1000)
-    return audit.sample_chunks(chunks, ["doc_id", "chunk_index"], bucket, 3)
+    return audit.sample_chunks(line_chunks(spark, sf_dir).select("path", "chunk_index", "text"), 3)
 
 
 @query()
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run: write the chunks, then tell of them from the written table."""
-    target, records = sinks.scratch_dir(spark, "run-chunks"), sinks.scratch_dir(spark, "run-files")
-    sinks.write_chunks(corpus_chunks(spark, sf_dir), target, drop_old=True)
-    chunks = spark.read.parquet(target)
-    audit.file_summary(file_outcomes(spark, sf_dir), chunks).write.parquet(records)
-    options = IngestOptions()
-    run = {
-        "chunk_size": options.chunk_size,
-        "dry_run": options.dry_run,
-        "overlap": options.overlap,
-        "pdf_parser": options.pdf_parser,
-        "root": ROOT,
-    }
-    return audit.manifest_records(spark.read.parquet(records), audit.corpus_stats(chunks), run)
+    """A whole run with its embedded chunk table, told as audit records."""
+    files = t.corpus(spark, sf_dir).select("path", "text")
+    return jobs.ingest(files, sinks.scratch_dir(spark, "run"), ROOT).records

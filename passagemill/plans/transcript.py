@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.functions import paths
-from passagemill.functions.text import strip
+from passagemill import jobs
+from passagemill.functions.text import LOW_QUALITY, strip
 from passagemill.operators import packing
 from passagemill.operators import transcript as tr
 from passagemill.plans import tables as t
+from passagemill.plans.ingest import clean_sql, low_quality_sql
 from passagemill.plans.registry import query
 from passagemill.sources import pages as pages_src
 
@@ -148,3 +149,35 @@ def paragraph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("turn") % 5 == 4, F.lit(" \n")).otherwise(F.concat(F.lit("  "), "text", F.lit("\n"))).alias("text"),
     )
     return pages_src.paragraph_levels(styled)
+
+
+@query()
+def ingest_compilations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph tables as stamped chunks: typed where the template fits, else by markdown."""
+    rows = t.paragraphs(spark, sf_dir)
+    shas = rows.select("path").distinct().withColumn("doc_sha", F.sha2(F.col("path").cast("binary"), 256))
+    chunks = jobs.compilation_chunks(rows, shas, None)
+    return chunks.select(
+        "chunk_id", "path", "parser", "section_type", "video_title", "chunk_index", "n_chunks", "text",
+        F.array_join("headers", " > ").alias("header_path"),
+    )
+
+
+@query(
+    t.PACKED.replace("para_rows AS", "RECURSIVE para_rows AS", 1).join(
+        [
+            "WITH ",
+            f""", made AS (SELECT DISTINCT path FROM packed WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 60),
+            kinds AS (SELECT path, bool_or(level = 2 AND (contains(text, '视频来源') OR contains(text, '大纲') OR contains(text, '总结'))) AS fits,
+              string_agg(CASE WHEN level > 0 THEN repeat('#', level) || ' ' || text ELSE text END, chr(10) || chr(10) ORDER BY para_index) AS md
+              FROM paragraphs GROUP BY path),
+            cleaned AS (SELECT path, fits, {clean_sql('md')} AS md FROM kinds)
+            SELECT path, CASE WHEN fits AND path NOT IN (SELECT path FROM made) THEN '{jobs.NO_USABLE_CHUNKS}'
+              WHEN NOT fits AND {low_quality_sql('md', "'.docx'")} THEN '{LOW_QUALITY}' END AS reason FROM cleaned""",
+        ]
+    )
+)
+def compilation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a paragraph table's file is not in the corpus, null where it is."""
+    rows = t.paragraphs(spark, sf_dir)
+    return jobs.compilation_outcomes(rows, tr.typed_chunks(rows))

@@ -161,8 +161,8 @@ def test_stats_sample_and_manifest(spark, tmp_path):
     )
     stats = audit.corpus_stats(chunks).first()
     assert (stats.chunks, stats.chunk_chars_min, stats.chunk_chars_avg, stats.chunk_chars_max) == (10, 3, 16, 30)
-    for sample, want in ((3, [0, 3, 6]), (1, [0]), (20, list(range(10)))):
-        got = audit.sample_chunks(chunks, ["doc_id", "chunk_index"], F.floor(F.col("doc_id") / 4), sample)
+    for sample, want in ((3, [0, 3, 6]), (1, [0]), (20, list(range(10))), (0, [])):
+        got = audit.sample_chunks(chunks, sample)
         assert sorted(r.doc_id for r in got.collect()) == want
     files = spark.createDataFrame(
         [("p1", "p1", "c", "s1", None), ("p99", "p99", "c", "s2", "duplicate content")],
