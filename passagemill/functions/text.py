@@ -18,11 +18,21 @@ from pyspark.sql import functions as F
 SPACE_CHARS = r"\x1c-\x1f\p{IsWhite_Space}"
 SPACE = f"[{SPACE_CHARS}]"
 NON_SPACE = f"[^{SPACE_CHARS}]"
+# The same characters one by one, for trimming: only the ends of a text are looked at.
+SPACES = "".join(
+    chr(c)
+    for first, last in (
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    )
+    for c in range(first, last + 1)
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 # The noise patterns and quality limits of the corpus cleaner.
+# (Looking back first keeps a search to the starts of runs.)
 DOT_LEADER = r"\.{6,}"
-BASE64_RUN = r"[A-Za-z0-9+/=]{40,}"
+BASE64_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}"
 PAGE_NUMBER = rf"(?iu)^{SPACE}*\|?{SPACE}*(?:[ivxlcdm]{{1,6}}|\p{{Nd}}{{1,4}}){SPACE}*\|?{SPACE}*$"
 LONG_WORD = 30
 MIN_CHARS_PDF = 500
@@ -47,11 +57,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{SPACE}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -8,17 +8,14 @@ vectors tie and the lower id wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.functions.embed import norm, unit
-
 TIE_DECIMALS = 12
 TILE_QUERIES = 1024
 TILE_VECTORS = 50_000
@@ -61,17 +58,20 @@ class _Best:
             bar = np.maximum(bar, np.partition(keys, keys.shape[1] - self.k, axis=1)[:, -self.k])
         # Everything that ties with the k-th score stays in until the ids decide.
         query, column = np.nonzero((keys >= bar[:, None]) & np.isfinite(keys))
+        self.push(query, ids[column], keys[query, column], scores[query, column])
+
+    def push(self, query: np.ndarray, ids: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
         self.query = np.concatenate([self.query, query])
-        self.ids = np.concatenate([self.ids, ids[column]])
-        self.keys = np.concatenate([self.keys, keys[query, column]])
-        self.scores = np.concatenate([self.scores, scores[query, column]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys = np.concatenate([self.keys, keys])
+        self.scores = np.concatenate([self.scores, scores])
         order = np.lexsort((self.ids, -self.keys, self.query))
         place = np.arange(len(order)) - np.searchsorted(self.query[order], self.query[order])
-        order = order[place < self.k]
+        order, place = order[place < self.k], place[place < self.k]
         self.query, self.ids, self.keys, self.scores = (
             part[order] for part in (self.query, self.ids, self.keys, self.scores)
         )
-        full = np.flatnonzero(place[place < self.k] == self.k - 1)
+        full = place == self.k - 1
         self.bar[self.query[full]] = self.keys[full]
 
     def rows(self, qids: np.ndarray) -> pd.DataFrame:
@@ -205,58 +205,90 @@ def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queri
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two array columns, for pairs that a join has already made."""
-    dot = F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x
-    )
-    return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
+@dataclass(frozen=True)
+class BucketOptions:
+    """Random-projection buckets: ``tables`` of ``width`` projections each.
+
+    Wider tables and a smaller ``length`` (in standard deviations of a projection) give
+    smaller buckets and less work; more tables miss fewer neighbours.
+    """
+
+    tables: int = 16
+    width: int = 4
+    length: float = 2.0
+    seed: int = 7
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """One bucket code per vector and table; the same in every task."""
+        rng = np.random.default_rng(self.seed)
+        n, dim = vectors.shape
+        planes = rng.normal(size=(dim, self.tables * self.width))
+        shift = rng.uniform(0, self.length, self.tables * self.width)
+        mix = rng.integers(1, 2**62, self.width, dtype=np.int64)
+        sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
+        units = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
+        cells = np.floor((units @ planes + shift) / self.length).astype(np.int64)
+        return (cells.reshape(n, self.tables, self.width) * mix).sum(axis=2)
+
+
+def _shared_buckets(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (query, vector) places that share a code in any table."""
+    pairs = []
+    for table in range(asked.shape[1]):
+        order = np.argsort(asked[:, table], kind="stable")
+        codes = asked[order, table]
+        low, high = (np.searchsorted(codes, held[:, table], side) for side in ("left", "right"))
+        many = high - low
+        vector = np.repeat(np.arange(len(held)), many)
+        nth = np.arange(len(vector)) - np.repeat(np.cumsum(many) - many, many)
+        pairs.append(vector * len(asked) + order[np.repeat(low, many) + nth])
+    found = np.unique(np.concatenate(pairs))
+    return found % len(asked), found // len(asked)
 
 
 def lsh_topk(
     queries: DataFrame,
     collection: DataFrame,
     k: int,
-    tables: int = 8,
-    bucket_length: float = 0.5,
-    seed: int = 7,
+    buckets: BucketOptions = BucketOptions(),
     max_broadcast_queries: int = TILE_QUERIES,
 ) -> DataFrame:
-    """Approximate top-k: only vectors that share a hash bucket with the query are scored.
+    """Approximate top-k: only vectors that share a bucket with a query are scored against it.
 
-    A pair met in several tables is scored in the first one only, which both rows
-    can tell alone, so no distinct is needed.
+    The collection is read and placed as in ``exact_topk``; a task looks its vectors'
+    codes up among the queries' instead of multiplying every pair.
     """
-    small = queries.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
-    unit_vector = F.transform("embedding", lambda x: x.cast("double"))
-    held = collection.select("chunk_id", unit(unit_vector).alias("v"))
-    asked = queries.select("qid", unit(unit_vector).alias("v"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    )
-    model = lsh.fit(held.select(array_to_vector("v").alias("features")))
-
-    def hashed(df: DataFrame, id_: str, prefix: str) -> DataFrame:
-        # ML hands out one single-valued vector per table.
-        from pyspark.ml.functions import vector_to_array
-
-        wide = model.transform(df.withColumn("features", array_to_vector("v")))
-        codes = F.array(*[vector_to_array(F.col("hashes")[i])[0].cast("long") for i in range(tables)])
-        coded = wide.select(id_, F.col("v").alias(f"{prefix}_v"), codes.alias(f"{prefix}_codes"))
-        return coded.select("*", F.posexplode(f"{prefix}_codes").alias("table", "code"))
-
-    left, right = hashed(asked, "qid", "q"), hashed(held, "chunk_id", "c")
-    if small:
-        left = F.broadcast(left)
-    earlier = F.exists(
-        F.arrays_zip(
-            F.slice("q_codes", F.lit(1), F.col("table")).alias("a"), F.slice("c_codes", F.lit(1), F.col("table")).alias("b")
-        ),
-        lambda z: z["a"] == z["b"],
-    )
-    pairs = right.join(left, ["table", "code"]).where(~earlier)
-    scored = pairs.select("qid", "chunk_id", cosine(F.col("q_v"), F.col("c_v")).alias("score"))
-    return _rank(scored, k).select("qid", "rank", "chunk_id", "score")
+
+    def score(best: _Best, asked: np.ndarray, codes: np.ndarray, held: np.ndarray, ids: np.ndarray) -> None:
+        query, vector = _shared_buckets(codes, buckets.codes(held))
+        dots = np.einsum("ij,ij->i", asked[query], held[vector])
+        sizes = np.linalg.norm(asked, axis=1)[query] * np.linalg.norm(held, axis=1)[vector]
+        scores = np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)
+        best.push(query, ids[vector], np.round(scores, TIE_DECIMALS), scores)
+
+    batch = _query_batch(queries, max_broadcast_queries)
+    if batch is None:
+
+        def tile(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            best = _Best(len(asked), k)
+            if len(asked) and len(held):
+                left, right = (np.stack(side["embedding"]).astype(float) for side in (asked, held))
+                score(best, left, buckets.codes(left), right, held["chunk_id"].to_numpy())
+            return best.rows(asked["qid"].to_numpy())
+
+        partial = _tiles(queries, collection).applyInPandas(tile, _PARTIAL)
+    else:
+        qids, matrix = batch.column("qid").to_numpy(), _matrix(batch.column("embedding"))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, codes = _Best(len(qids), k), buckets.codes(matrix)
+            for part in batches:
+                if part.num_rows and len(qids):
+                    score(best, matrix, codes, _matrix(part.column(1)), part.column(0).to_numpy())
+            yield pa.RecordBatch.from_pandas(best.rows(qids), preserve_index=False)
+
+        partial = collection.select("chunk_id", "embedding").mapInArrow(scan, _PARTIAL)
+    return _rank(partial, k).select("qid", "rank", "chunk_id", "score")
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
