@@ -493,7 +493,10 @@ def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE place % greatest(1, total // 3) = 0 AND place < 3 * greatest(1, total // 3)"""
 )
 def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.sample_chunks(line_chunks(spark, sf_dir).select("path", "chunk_index", "text"), 3)
+    """A sample is taken of a written chunk table: it is read by key several times."""
+    staged = sinks.scratch_dir(spark, "sampled-chunks")
+    line_chunks(spark, sf_dir).select("path", "chunk_index", "text").write.parquet(staged)
+    return audit.sample_chunks(spark.read.parquet(staged), 3)
 
 
 @query()

@@ -10,13 +10,25 @@ from passagemill.functions.text import decode_lenient
 from passagemill.options import SKIP_DIRS, SUPPORTED_EXTENSIONS, IngestOptions
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` as ``(path, length, content)``.
+def _any_case_glob(extensions: tuple[str, ...]) -> str:
+    names = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
+    return f"*{{{','.join(names)}}}"
+
+
+def scan_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = SUPPORTED_EXTENSIONS) -> DataFrame:
+    """Files below ``root`` with one of the suffixes in any case: ``path, modificationTime, length, content``.
+
+    The suffixes are matched while listing, so no other file's bytes are read.
 
     Spark's listing leaves out files and folders whose name starts with ``_`` or
     ``.``; corpora that need them pass an explicit path table to ``discover``.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _any_case_glob(extensions))
+        .load(root)
+    )
     return raw.select(
         F.regexp_replace("path", r"^file:(?://)?", "").alias("path"), "modificationTime", "length", "content"
     )

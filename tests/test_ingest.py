@@ -24,6 +24,7 @@ def test_discover_and_read_a_real_tree(spark, tmp_path):
         path.write_bytes(body)
     root = str(tmp_path)
     scanned = files_src.scan_tree(spark, root)
+    assert scanned.where("path like '%.html'").count() == 0
     default = files_src.discover(scanned, root)
     assert sorted(r.path for r in default.select("path").collect()) == [f"{root}/guides/Z.MD", f"{root}/guides/policy.md"]
     assert files_src.discover(scanned, root, include_parsed=True).count() == 3
