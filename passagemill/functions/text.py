@@ -1,8 +1,7 @@
 """Text cleaning, quality and snippet expressions.
 
 Everything here is a column expression: it runs inside the scan stage, with no
-shuffle and no Python worker.  Regular expressions replace per-word lambdas, as
-one pass over the string is far cheaper than an interpreted lambda per word.
+shuffle and no Python worker.
 """
 
 from __future__ import annotations
@@ -73,16 +72,20 @@ def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
-def garbage_fraction(text: Column) -> Column:
-    """Share of the characters that sit in words longer than 30 characters."""
-    # Looking back first keeps the search to the starts of words.
-    long_word = f"(?<!{NON_SPACE}){NON_SPACE}{{{LONG_WORD + 1},}}"
+def words(text: Column) -> Column:
+    """White-space separated words; a blank text gives one empty word."""
+    return F.split(strip(text), f"{SPACE}+")
 
-    def share(t: Column) -> Column:
-        in_long = F.length(t) - F.length(F.regexp_replace(t, long_word, ""))
-        return F.coalesce(F.try_divide(in_long, F.length(F.translate(t, " \n", ""))), F.lit(1.0))
 
-    return let(text, share)
+def _garbage(text: Column, its_words: Column) -> Column:
+    long = F.filter(its_words, lambda w: F.length(w) > LONG_WORD)
+    in_long = F.aggregate(long, F.lit(0), lambda total, w: total + F.length(w))
+    return F.coalesce(F.try_divide(in_long, F.length(F.translate(text, " \n", ""))), F.lit(1.0))
+
+
+def garbage_fraction(text: Column) -> Column:
+    """Share of the characters that sit in words longer than 30 characters."""
+    return let(text, lambda t: _garbage(t, words(t)))
 
 
 def alnum_count(text: Column) -> Column:
@@ -116,28 +119,21 @@ def clean_text(text: Column) -> Column:
     return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
 
-def word_mean(text: Column) -> Column:
-    """Mean word length; null without words."""
-
-    def mean(flat: Column) -> Column:
-        chars = F.length(F.translate(flat, " ", ""))
-        return F.when(chars > 0, chars / (F.length(flat) - chars + 1))
-
-    return let(collapse(text), mean)
-
-
 def is_low_quality(text: Column, ext: Column) -> Column:
     minimum = F.when(ext == ".pdf", MIN_CHARS_PDF).otherwise(MIN_CHARS_OTHER)
 
-    def bad_mean(mean: Column) -> Column:
-        return mean.isNull() | (mean < MIN_WORD_MEAN) | (mean > MAX_WORD_MEAN)
-
-    return let(
-        text,
-        lambda t: (F.length(strip(t)) < minimum)
-        | let(word_mean(t), bad_mean)
-        | (garbage_fraction(t) > MAX_DOC_GARBAGE),
-    )
+    def low(t: Column, its_words: Column) -> Column:
+        chars = F.length(F.array_join(its_words, ""))
+        mean = chars / F.size(its_words)
+        return (
+            (F.length(strip(t)) < minimum)
+            | (chars == 0)
+            | (mean < MIN_WORD_MEAN)
+            | (mean > MAX_WORD_MEAN)
+            | (_garbage(t, its_words) > MAX_DOC_GARBAGE)
+        )
+
+    return let(text, lambda t: let(words(t), lambda its_words: low(t, its_words)))
 
 
 def keep_chunk(text: Column) -> Column:
