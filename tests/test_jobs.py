@@ -140,3 +140,23 @@ def test_recall_evaluation_job(spark):
     details, summary = jobs.recall_evaluation(sample, questions, found)
     assert {r.qid: r.hit for r in details.collect()} == {1: True, 2: False}
     assert tuple(summary.first()) == (1, 2, 50.0)
+
+
+def test_scratch_folders_lie_in_the_shared_folder(spark):
+    from passagemill.sources.sinks import scratch_dir
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            assert key == "spark.checkpoint.dir"
+            return self.value or default
+
+    class Session:
+        def __init__(self, value):
+            self.conf = Conf(value)
+
+    assert scratch_dir(Session("hdfs://shared/cp/"), "x").startswith("hdfs://shared/cp/x-")
+    one, two = scratch_dir(Session(None), "x"), scratch_dir(Session(None), "x")
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
