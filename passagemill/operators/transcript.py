@@ -167,8 +167,9 @@ def utterances(annotated: DataFrame) -> DataFrame:
     )
 
 
-def qa_pairs(sections: DataFrame, span: int | None = None) -> DataFrame:
+def qa_pairs(sections: DataFrame, options: TranscriptOptions = TranscriptOptions()) -> DataFrame:
     """Question-with-answer texts: a paragraph ending in a question mark opens a pair."""
+    span = span_if_long(sections, "para_index", options.span)
     placed = with_pairs(sections.where(F.col("bucket") == "qa"), F.lit(True), span)
     return placed.groupBy("path", "block_start", "pair_start").agg(_ordered_join("para_index", "text", "\n").alias("text"))
 
@@ -214,7 +215,7 @@ def video_labels(annotated: DataFrame) -> DataFrame:
     )
 
 
-def section_pieces(annotated: DataFrame, span: int | None = None) -> DataFrame:
+def section_pieces(annotated: DataFrame, span: int | None) -> DataFrame:
     """``(path, block_start, section_type, pos, piece)`` for all five section types.
 
     One pass: every row is told its section type and the position of its piece,
@@ -256,10 +257,9 @@ def section_pieces(annotated: DataFrame, span: int | None = None) -> DataFrame:
     )
 
 
-def packed_sections(
-    annotated: DataFrame, options: TranscriptOptions = TranscriptOptions(), span: int | None = None
-) -> DataFrame:
+def packed_sections(annotated: DataFrame, options: TranscriptOptions = TranscriptOptions()) -> DataFrame:
     """``(path, block_start, section_type, chunk_start, text)`` packed to each type's target."""
+    span = span_if_long(annotated, "para_index", options.span)
     parts = split_pieces(section_pieces(annotated, span), options.rules)
     return pack(parts, ["path", "block_start", "section_type"], span)
 
@@ -277,8 +277,7 @@ def typed_chunks(paragraphs: DataFrame, options: TranscriptOptions = TranscriptO
     for i, kind in enumerate(kinds):
         label = F.when(F.col("section_type") == kind, SECTION_LABELS[kind]).otherwise(label)
         rank = F.when(F.col("section_type") == kind, i).otherwise(rank)
-    span = span_if_long(paragraphs, "para_index", options.span)
-    chunks = packed_sections(annotated, options, span).where(alnum_count(F.col("text")) >= options.min_alnum)
+    chunks = packed_sections(annotated, options).where(alnum_count(F.col("text")) >= options.min_alnum)
     return (
         chunks.join(names, ["path", "block_start"])
         .withColumn("label", label)
