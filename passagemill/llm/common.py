@@ -10,7 +10,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20  # of text that one vectorised step works on; a longer text is a step of its own
@@ -76,14 +76,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 
 def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int) -> DataFrame:
-    """At most ``per_stratum`` rows of each value of ``stratum``, chosen by the hash of ``doc_id``.
+    """At most ``per_stratum`` rows of each value of ``stratum``, the ones whose ``doc_id`` hashes lowest.
 
-    The rank filter is applied before the shuffle too, so no stratum meets in one task whole.
+    The strata are counted first and only rows with a hash below twice the needed share
+    are ranked, so a stratum that holds most rows does not meet in one task.
     """
-    from pyspark.sql import Window
-
+    totals = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / float(1 << 53)
+    near = rows.join(totals, F.col(stratum) == F.col("_s")).where(unit * F.col("_n") < 2 * per_stratum + 64)
     order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id")
-    return rows.withColumn("_place", F.row_number().over(order)).where(f"_place <= {int(per_stratum)}").drop("_place")
+    return near.withColumn("_place", F.row_number().over(order)).where(f"_place <= {int(per_stratum)}").drop("_place", "_s", "_n")
 
 
 # ---------------------------------------------------------------- bytes of Arrow columns
@@ -241,3 +243,31 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             break
         seen = tuple(mark)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+# ---------------------------------------------------------------- letters
+
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased letters (a-z, Latin-1 capitals, other bytes from 0x80) of each row, every other run as one space.
+
+    A row starts with a space where it has anything, so that a word's start shows.
+    """
+    low = LOWER[data]
+    if len(low) > 1:
+        capital = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+        low[1:][capital] += 0x20
+    letter = _LETTER[low]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # the first of a run of other bytes
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    keep[starts] = letter[starts]
+    low[~letter] = 0x20
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    out, ends = low[keep], kept[offsets]
+    lead = np.diff(ends) > 0
+    spread = np.insert(out, ends[:-1][lead], 0x20)
+    return spread, ends + np.concatenate([[0], np.cumsum(lead)])
