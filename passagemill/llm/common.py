@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,13 @@ CHUNK_BYTES = 1 << 20  # of text that one vectorised step works on; a longer tex
 # ---------------------------------------------------------------- staged tables
 
 
-@cache
+_LOCAL: list[str] = []  # the folder of a local session
+
+
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="llm-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="llm-"))
+    return _LOCAL[0]
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -27,10 +27,10 @@ from passagemill.llm import common
 
 @dataclass(frozen=True)
 class ToxicityOptions:
-    per_label: int = 3_000  # bound of the training sample, rows of each label
-    orders: tuple[int, ...] = (3, 4, 5)
+    per_label: int = 4_000  # bound of the training sample, rows of each label
+    orders: tuple[int, ...] = (3, 4, 5, 6, 7, 8)  # of 8 bytes at most
     buckets_log2: int = 20
-    features: int = 4_096
+    features: int = 8_192
     smooth: float = 1.0
     ridge: float = 0.02
     rounds: int = 300
