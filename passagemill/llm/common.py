@@ -127,6 +127,7 @@ def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 # ---------------------------------------------------------------- hashing
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_TURNS = np.arange(65, dtype=np.uint64) * _ODD  # one for each place of a shingle
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -207,7 +208,7 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     spread[: len(words)] = words
     total = np.zeros(len(words), np.uint64)
     for k in range(width):
-        total += mix(spread[k : k + len(words)] + np.uint64(k + 1) * _ODD)
+        total += mix(spread[k : k + len(words)] + _TURNS[k + 1])
     rows = np.repeat(np.arange(len(counts)), np.maximum(counts - width + 1, 0))
     place = np.arange(len(rows)) - np.repeat(np.cumsum(np.maximum(counts - width + 1, 0)) - np.maximum(counts - width + 1, 0), np.maximum(counts - width + 1, 0))
     full = mix(total[first[rows] + place]) if len(rows) else np.zeros(0, np.uint64)
@@ -215,7 +216,7 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     few = np.zeros(len(short), np.uint64)
     for k in range(width - 1):
         have = counts[short] > k
-        few[have] += mix(words[first[short[have]] + k] + np.uint64(k + 1) * _ODD)
+        few[have] += mix(words[first[short[have]] + k] + _TURNS[k + 1])
     few = mix(few + counts[short].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return np.concatenate([full, few]), np.concatenate([rows, short])
 

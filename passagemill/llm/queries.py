@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import fingerprint, language, mixing, quality, toxicity
+from passagemill.llm import fingerprint, language, mixing, ngram_join, quality, toxicity
 from passagemill.plans.registry import query
 
 
@@ -38,3 +38,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(_table(spark, sf_dir, "documents"))
