@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import fingerprint, language, mixing, ngram_join, quality, toxicity
+from passagemill.llm import decontaminate, fingerprint, language, mixing, ngram_join, quality, toxicity, training_order
 from passagemill.plans.registry import query
 
 
@@ -43,3 +43,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(_table(spark, sf_dir, "documents"))
