@@ -8,10 +8,6 @@ global slot.  Slots are dealt by range into shards of ``shard`` sequences, each
 slot and written by one task: slot ``s`` is record ``s - first`` of shard ``s // shard``, at
 ``(s - first) * stride`` bytes of the shard's records, so a reader goes on at any slot.
 
-Texts are encoded piece by piece: the vocabulary's pattern never lets a token cross a single
-space between two other characters from the left, so a text is cut before such spaces and a
-piece that was met before is not encoded again; the ids are those of the whole text.
-
 Edge cases: a null text is an empty document, the end id alone; null ids are listed as
 null; repeated rows are written as often as they stand; an empty table gives no slot.
 """
@@ -39,7 +35,6 @@ class OrderOptions:
     shard: int = 512
     key: int = 0x5EED
     rounds: int = 4
-    pieces: int = 200_000  # remembered by a task before it starts anew
 
 
 # Fixed value: the public pattern that cuts texts for byte-level BPE vocabularies.
@@ -47,59 +42,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Encoder:
-    """Ids of many texts; each distinct piece is encoded once."""
+    """Ids of texts; made in the task from the broadcast ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], remembered: int):
+    def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.remembered = remembered
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes of pieces
-        self.slot = np.zeros(0, np.int64)
-        self.begin = np.zeros(1, np.int64)  # of each remembered piece in ``flat``
-        self.flat = np.zeros(0, np.int32)
-
-    def _table(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The list number of each piece, new pieces encoded."""
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) > self.remembered:
-            self.forget()
-        place = np.searchsorted(self.known, distinct)
-        have = place < len(self.known)
-        have[have] = self.known[place[have]] == distinct[have]
-        new = np.flatnonzero(~have)
-        if len(new):
-            first = len(self.slot)
-            lists = [self.bpe.encode_ordinary(raw[starts[k] : ends[k]].decode()) for k in at[new]]
-            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in lists]))
-            self.flat = np.append(self.flat, np.fromiter((i for x in lists for i in x), np.int32))
-            known = np.concatenate([self.known, distinct[new]])
-            slot = np.concatenate([self.slot, np.arange(first, first + len(new))])
-            order = np.argsort(known)
-            self.known, self.slot = known[order], slot[order]
-        return self.slot[np.searchsorted(self.known, distinct)][inverse]
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows one after another, and how many each row has."""
-        n = len(offsets) - 1
-        if not len(data):
-            return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        # cut before a space whose neighbours are plain ASCII and no white space, and at row borders
-        plain = (data > 0x20) & (data < 0x7F)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1 : len(data) - 1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
-        cut[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(cut[:-1])
-        ends = np.append(starts[1:], len(data))
-        hashes = common.span_hashes(common.prefix_sums(data), starts, ends)
-        which = self._table(hashes, data.tobytes(), starts, ends)
-        counts = np.diff(self.begin)[which]
-        ids = self.flat[np.repeat(self.begin[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        return ids, np.bincount(row, counts, n).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        lists = [np.array(self.bpe.encode_ordinary(t), np.int32) for t in texts]
+        return np.concatenate([np.zeros(0, np.int32), *lists]), np.array([len(x) for x in lists], np.int64)
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -116,7 +69,7 @@ def sequences(docs: DataFrame, options: OrderOptions = OrderOptions()) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder(ranks.value, options.pieces)
+        encoder = Encoder(ranks.value)
         number, rest, rest_rows, id_type = 0, np.zeros(0, np.int32), np.zeros(0, np.int64), None
         held: list = []  # the documents that ``rest`` comes from
 
@@ -135,8 +88,8 @@ def sequences(docs: DataFrame, options: OrderOptions = OrderOptions()) -> DataFr
 
         for batch in batches:
             id_type = batch.column(0).type
-            for first, end, data, offsets in common.texts(batch.column(1)):
-                ids, counts = encoder.encode(data, offsets)
+            for first, end in common.steps(common.utf8(batch.column(1))[1]):
+                ids, counts = encoder.encode([t or "" for t in batch.column(1).slice(first, end - first).to_pylist()])
                 closed = np.insert(ids, np.cumsum(counts), options.end)
                 names = held + batch.column(0).slice(first, end - first).to_pylist()
                 rows = np.concatenate([rest_rows, np.repeat(np.arange(len(held), len(names)), counts + 1)])
