@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import decontaminate, fingerprint, language, mixing, ngram_join, quality, toxicity, training_order
+from passagemill.llm import decontaminate, fingerprint, html_extract, language, mixing, ngram_join, quality, toxicity, training_order
 from passagemill.plans.registry import query
 
 
@@ -53,3 +53,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
