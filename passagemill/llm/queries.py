@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import decontaminate, fingerprint, html_extract, language, mixing, ngram_join, quality, toxicity, training_order
+from passagemill.llm import chat, decontaminate, fingerprint, html_extract, language, mixing, ngram_join, quality, toxicity, training_order
 from passagemill.plans.registry import query
 
 
@@ -58,3 +58,8 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_control_case(_table(spark, sf_dir, "conversations")))
