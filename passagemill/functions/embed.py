@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,28 +18,27 @@ HASH_DIM = 64
 
 
 def word_bucket_counts(text: Column, dim: int = HASH_DIM) -> Column:
-    """How many words of the text fall in each of ``dim`` md5 buckets.
+    """How many words of the text fall in each of ``dim`` md5 buckets, for any ``dim`` up to 65,536.
 
-    Each word becomes one character that names its bucket; a bucket is then
-    counted by deleting its character.  That keeps the work linear in the text,
-    inside the JVM and without a shuffle.
+    Bucket numbers are made inside the JVM; a batch of texts is counted at once.
+    A null text has no words.
     """
-    base = 48  # '0': the buckets use the printable characters from here on
-    words = F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != "")
-
-    def code(word: Column) -> Column:
-        first = F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int")
-        return F.char(first % dim + base)
-
-    def counts(flat: Column) -> Column:
-        return F.array(
-            *[
-                (F.length(flat) - F.length(F.replace(flat, F.lit(chr(base + b)), F.lit("")))).cast("double")
-                for b in range(dim)
-            ]
-        )
-
-    return let(F.array_join(F.transform(words, code), ""), counts)
+    if not 1 <= dim <= 1 << 16:
+        raise ValueError("a bucket is named by two bytes of the word's md5")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{SPACE}+"), lambda w: w != "")
+    codes = F.transform(
+        words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % dim
+    )
+
+    @F.arrow_udf("array<double>")
+    def counts(batch: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(batch).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(batch)), sizes)
+        table = np.bincount(rows * dim + batch.flatten().to_numpy(), minlength=len(batch) * dim)
+        ends = np.arange(len(batch) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(table.astype(float)))
+
+    return counts(codes)
 
 
 def norm(vector: Column) -> Column:

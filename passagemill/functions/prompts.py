@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,14 +71,24 @@ def format_source(index: Column, name: Column, original: Column, headers: Column
     return F.concat(F.lit("["), index.cast("string"), F.lit("] "), title, F.lit("\n"), text)
 
 
+# Decimal digits of other scripts and the ones they stand for.
+_OTHER_DIGITS = tuple(
+    "".join(part)
+    for part in zip(
+        *((c, str(unicodedata.decimal(c))) for c in map(chr, range(128, 0x20000)) if unicodedata.category(c) == "Nd")
+    )
+)
+
+
 def parse_order(reply: Column, n: Column) -> Column:
     """A ranking reply as a full 0-based permutation of ``n`` passages.
 
     Numbers outside 1..n (however long) are ignored, repeats keep their first
     place, and what the reply leaves out follows in dense order.
     """
+    plain = F.translate(F.coalesce(reply, F.lit("")), *_OTHER_DIGITS)
     named = F.transform(
-        F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r"\p{Nd}+"), F.lit(0)),
+        F.regexp_extract_all(plain, F.lit(r"[0-9]+"), F.lit(0)),
         lambda d: d.try_cast("int") - 1,
     )
     inside = F.array_distinct(F.filter(named, lambda i: i.isNotNull() & (i >= 0) & (i < n)))

@@ -61,3 +61,33 @@ def turn_prompts(turns: DataFrame, history: DataFrame) -> DataFrame:
         .select(*key, "m.part", "m.type", "m.content")
     )
     return earlier.unionByName(asked)
+
+
+def open_turn_prompts(targets: DataFrame, history: DataFrame, texts: bool = True) -> DataFrame:
+    """Messages of any turns still to be answered: ``(conversation_id, target_turn, turn_id, part, type[, content])``.
+
+    ``targets(conversation_id, turn_id, question, context)`` may list several turns of a
+    conversation, the middle ones too; each sees the completed turns of ``history`` before
+    it.  Without ``texts`` only places are given, to be joined to one copy of the messages.
+    """
+    asked = targets.select(
+        "conversation_id",
+        F.col("turn_id").alias("target_turn"),
+        "turn_id",
+        F.lit(0).alias("part"),
+        F.lit("human").alias("type"),
+        turn_message(F.col("context"), F.col("question")).alias("content"),
+    )
+    said = history.select("conversation_id", "turn_id", *(["question", "answer"] if texts else []))
+    seen = targets.select("conversation_id", F.col("turn_id").alias("target_turn")).join(said, "conversation_id").where("turn_id < target_turn")
+    content = [F.col("question").alias("content")], [F.col("answer").alias("content")]
+    messages = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("part"), F.lit("human").alias("type"), *(content[0] if texts else [])),
+            F.struct(F.lit(1).alias("part"), F.lit("ai").alias("type"), *(content[1] if texts else [])),
+        )
+    )
+    earlier = seen.select("conversation_id", "target_turn", "turn_id", messages.alias("m")).select(
+        "conversation_id", "target_turn", "turn_id", "m.*"
+    )
+    return earlier.unionByName(asked if texts else asked.drop("content"))

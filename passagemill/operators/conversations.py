@@ -84,10 +84,16 @@ def present_history(messages: DataFrame, for_display: bool = False) -> DataFrame
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO 8601 in UTC; fractional seconds only when there are any."""
+    """ISO 8601 in UTC, whatever the session's time zone; fractional seconds only when there are any."""
+    day, micros = 86_400_000_000, F.unix_micros(ts)
+    since = F.make_dt_interval(
+        F.floor(micros / day).cast("int"), F.lit(0), F.lit(0), (F.pmod(micros, F.lit(day)).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)")
+    )
+    local = F.lit("1970-01-01").cast("timestamp_ntz") + since
+    part = F.pmod(micros, F.lit(1_000_000))
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(F.date_format(ts, "SSSSSS") == "000000", "").otherwise(F.date_format(ts, ".SSSSSS")),
+        F.replace(F.substring(local.cast("string"), 1, 19), F.lit(" "), F.lit("T")),
+        F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))),
         F.lit("+00:00"),
     )
 

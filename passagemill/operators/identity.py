@@ -26,9 +26,12 @@ def first_copies(files: DataFrame, path: str = "path", sha: str = "doc_sha") ->
 def split_copies(files: DataFrame, path: str = "path", sha: str = "doc_sha") -> tuple[DataFrame, DataFrame]:
     """``(kept, copies)``: the first file of each content in path order, and the rest.
 
-    Both joins are on the path, which is unique: no task sees all copies of a content.
+    The copies are settled on paths and hashes alone; then only their paths, usually few,
+    meet the files.  Adaptive execution broadcasts them where their measured size allows,
+    and texts are not shuffled.  Joins are on the path, which is unique: no task sees all
+    copies of a content.
     """
-    first = first_copies(files, path, sha)
-    kept = files.join(first, path, "left_semi")
-    copies = files.join(first, path, "left_anti").withColumn("reason", F.lit(DUPLICATE))
+    again = files.select(path).join(first_copies(files, path, sha), path, "left_anti")
+    kept = files.join(again, path, "left_anti")
+    copies = files.join(again, path, "left_semi").withColumn("reason", F.lit(DUPLICATE))
     return kept, copies

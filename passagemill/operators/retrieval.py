@@ -49,13 +49,20 @@ def mmr(pool: DataFrame, options: RetrievalOptions) -> DataFrame:
     """Reorder each query's pool by relevance minus likeness to what is already chosen.
 
     ``pool(qid, rank, chunk_id, score, embedding)`` holds one bounded group per
-    query.  The first pick is dense rank 1 and ties go to the better dense rank.
+    query.  The first pick is dense rank 1 and ties go to the better dense rank.  A pool
+    with a missing or misshapen vector keeps its dense order.
     """
     k, weight = options.top_k, options.mmr_lambda
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank", ignore_index=True)
+        dense = rows.head(k)[["qid", "rank", "chunk_id", "score"]].assign(dense_rank=lambda r: r["rank"])
+        dense = dense[["qid", "rank", "chunk_id", "dense_rank", "score"]]
+        if rows["embedding"].isna().any() or rows["embedding"].map(len).nunique() != 1:
+            return dense
         vectors = np.stack(rows["embedding"]).astype(float)
+        if not np.isfinite(vectors).all():
+            return dense
         sizes = np.linalg.norm(vectors, axis=1)
         gram = vectors @ vectors.T
         likeness = np.divide(gram, np.outer(sizes, sizes), out=np.zeros_like(gram), where=np.outer(sizes, sizes) > 0)

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TIE_DECIMALS = 12
-TILE_QUERIES = 1024
-TILE_VECTORS = 50_000
+BLOCK_QUERIES = 1024
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -81,10 +81,50 @@ class _Best:
 _PARTIAL = "qid long, chunk_id long, score double"
 
 
-def _query_batch(queries: DataFrame, limit: int) -> pa.Table | None:
-    """The query batch on the driver, or None when it has more than ``limit`` rows."""
-    batch = queries.select("qid", "embedding").limit(limit + 1).toArrow()
-    return batch if batch.num_rows <= limit else None
+def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
+    """Rows whose vector is there, has no missing part and, with ``dim``, that many parts."""
+    v = F.col("embedding")
+    fits = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return vectors.where(fits if dim is None else fits & (F.size(v) == dim))
+
+
+def vector_faults(vectors: DataFrame, dim: int) -> DataFrame:
+    """One row: ``n_vectors``, and how many of them a search leaves out as missing or misshapen."""
+    v = F.col("embedding")
+    missing = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return vectors.select(missing.alias("missing"), F.size(v).alias("size")).agg(
+        F.count("*").alias("n_vectors"),
+        F.count_if(F.col("missing")).alias("n_missing"),
+        F.count_if(~F.col("missing") & (F.col("size") != dim)).alias("n_misshapen"),
+    )
+
+
+def _blocks(queries: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries' ids and vectors, block by block; one block at a time is on the driver.
+
+    A block holds vectors of one size; queries without a usable vector are left out.
+    """
+    held: dict[int, list] = {}
+    for row in usable(queries.select("qid", "embedding")).toLocalIterator():
+        part = held.setdefault(len(row["embedding"]), [])
+        part.append(row)
+        if len(part) >= limit:
+            yield np.array([r["qid"] for r in part]), np.array([r["embedding"] for r in part], float)
+            part.clear()
+    for part in held.values():
+        if part:
+            yield np.array([r["qid"] for r in part]), np.array([r["embedding"] for r in part], float)
+
+
+def _each_block(queries: DataFrame, limit: int, scan, schema: str) -> DataFrame:
+    """What ``scan(qids, matrix)`` gives for each block of queries, together.
+
+    Every block reads the collection once more, which is never shuffled or copied.
+    """
+    parts = [scan(qids, matrix) for qids, matrix in _blocks(queries, limit)]
+    if not parts:
+        return queries.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _rank(partial: DataFrame, k: int) -> DataFrame:
@@ -92,10 +132,8 @@ def _rank(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan_with_batch(batch: pa.Table, collection: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
-    """Every task scores its own vectors against the whole (bounded) batch and keeps k per query."""
-    qids = batch.column("qid").to_numpy()
-    matrix = _matrix(batch.column("embedding"))
+def _scan_with_batch(qids: np.ndarray, matrix: np.ndarray, collection: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
+    """Every task scores its own vectors against one (bounded) block of queries and keeps k per query."""
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(qids), k)
@@ -105,57 +143,28 @@ def _scan_with_batch(batch: pa.Table, collection: DataFrame, k: int, skip_same_i
                 best.add(_cosine(matrix, vectors), part.column(0).to_numpy(), qids if skip_same_id else None)
         yield pa.RecordBatch.from_pandas(best.rows(qids), preserve_index=False)
 
-    return collection.select("chunk_id", "embedding").mapInArrow(best_of_task, _PARTIAL)
-
-
-def _tiles(queries: DataFrame, collection: DataFrame):
-    """Both sides in bounded blocks; each (query block, vector block) pair is one task's work."""
-    n_queries, n_vectors = queries.count(), collection.count()
-    q_blocks = max(1, -(-n_queries // TILE_QUERIES))
-    v_blocks = max(1, -(-n_vectors // TILE_VECTORS))
-
-    def block(column: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = queries.select("qid", "embedding", block("qid", q_blocks).alias("qb"), every(v_blocks).alias("vb"))
-    right = collection.select(
-        "chunk_id", "embedding", block("chunk_id", v_blocks).alias("vb"), every(q_blocks).alias("qb")
-    )
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-
-
-def _scan_in_tiles(queries: DataFrame, collection: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
-    def tile(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(asked), k)
-        qids = asked["qid"].to_numpy()
-        if len(asked) and len(held):
-            scores = _cosine(np.stack(asked["embedding"]).astype(float), np.stack(held["embedding"]).astype(float))
-            best.add(scores, held["chunk_id"].to_numpy(), qids if skip_same_id else None)
-        return best.rows(qids)
-
-    return _tiles(queries, collection).applyInPandas(tile, _PARTIAL)
+    return usable(collection.select("chunk_id", "embedding"), matrix.shape[1]).mapInArrow(best_of_task, _PARTIAL)
 
 
 def exact_topk(
     queries: DataFrame,
     collection: DataFrame,
     k: int,
-    max_broadcast_queries: int = TILE_QUERIES,
+    max_broadcast_queries: int = BLOCK_QUERIES,
     skip_same_id: bool = False,
 ) -> DataFrame:
     """``(qid, rank, chunk_id, score)``: the k most similar vectors of every query, exactly.
 
     ``queries(qid, embedding)``, ``collection(chunk_id, embedding)`` with long ids.
-    The collection is read once and never shuffled while the batch fits the limit.
+    The collection is read once for each block of ``max_broadcast_queries`` queries and
+    never shuffled.  Missing and misshapen vectors, of queries or of the collection, take no
+    part; ``vector_faults`` counts them.
     """
-    batch = _query_batch(queries, max_broadcast_queries)
-    if batch is None:
-        partial = _scan_in_tiles(queries, collection, k, skip_same_id)
-    else:
-        partial = _scan_with_batch(batch, collection, k, skip_same_id)
+
+    def scan(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        return _scan_with_batch(qids, matrix, collection, k, skip_same_id)
+
+    partial = _each_block(queries, max_broadcast_queries, scan, _PARTIAL)
     return _rank(partial, k).select("qid", "rank", "chunk_id", "score")
 
 
@@ -172,31 +181,21 @@ def _sums(qids: np.ndarray, scores: np.ndarray) -> dict:
     }
 
 
-def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queries: int = TILE_QUERIES) -> DataFrame:
+def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Per query over the whole collection: how many vectors, and least, mean and best cosine.
 
     Scores of all pairs are computed but only their sums leave a task.
     """
-    batch = _query_batch(queries, max_broadcast_queries)
-    if batch is None:
-
-        def tile(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            if not len(asked) or not len(held):
-                return pd.DataFrame(columns=["qid", "n", "total", "low", "high"])
-            scores = _cosine(np.stack(asked["embedding"]).astype(float), np.stack(held["embedding"]).astype(float))
-            return pd.DataFrame(_sums(asked["qid"].to_numpy(), scores))
-
-        partial = _tiles(queries, collection).applyInPandas(tile, _SUMS)
-    else:
-        qids = batch.column("qid").to_numpy()
-        matrix = _matrix(batch.column("embedding"))
 
+    def block(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 if part.num_rows:
                     yield pa.RecordBatch.from_pydict(_sums(qids, _cosine(matrix, _matrix(part.column(0)))))
 
-        partial = collection.select("embedding").mapInArrow(scan, _SUMS)
+        return usable(collection.select("embedding"), matrix.shape[1]).mapInArrow(scan, _SUMS)
+
+    partial = _each_block(queries, max_broadcast_queries, block, _SUMS)
     return partial.groupBy("qid").agg(
         F.sum("n").alias("n_vectors"),
         F.min("low").alias("min_score"),
@@ -251,7 +250,7 @@ def lsh_topk(
     collection: DataFrame,
     k: int,
     buckets: BucketOptions = BucketOptions(),
-    max_broadcast_queries: int = TILE_QUERIES,
+    max_broadcast_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """Approximate top-k: only vectors that share a bucket with a query are scored against it.
 
@@ -266,28 +265,17 @@ def lsh_topk(
         scores = np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)
         best.push(query, ids[vector], np.round(scores, TIE_DECIMALS), scores)
 
-    batch = _query_batch(queries, max_broadcast_queries)
-    if batch is None:
-
-        def tile(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            best = _Best(len(asked), k)
-            if len(asked) and len(held):
-                left, right = (np.stack(side["embedding"]).astype(float) for side in (asked, held))
-                score(best, left, buckets.codes(left), right, held["chunk_id"].to_numpy())
-            return best.rows(asked["qid"].to_numpy())
-
-        partial = _tiles(queries, collection).applyInPandas(tile, _PARTIAL)
-    else:
-        qids, matrix = batch.column("qid").to_numpy(), _matrix(batch.column("embedding"))
-
+    def block(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best, codes = _Best(len(qids), k), buckets.codes(matrix)
             for part in batches:
-                if part.num_rows and len(qids):
+                if part.num_rows:
                     score(best, matrix, codes, _matrix(part.column(1)), part.column(0).to_numpy())
             yield pa.RecordBatch.from_pandas(best.rows(qids), preserve_index=False)
 
-        partial = collection.select("chunk_id", "embedding").mapInArrow(scan, _PARTIAL)
+        return usable(collection.select("chunk_id", "embedding"), matrix.shape[1]).mapInArrow(scan, _PARTIAL)
+
+    partial = _each_block(queries, max_broadcast_queries, block, _PARTIAL)
     return _rank(partial, k).select("qid", "rank", "chunk_id", "score")
 
 

@@ -258,3 +258,26 @@ def turn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = t.turns(spark, sf_dir)
     asked = turns.withColumn("context", F.concat(F.lit("[1] turn "), F.col("turn_id").cast("string")))
     return ctx.turn_prompts(asked, completed_turns(turns))
+
+
+@query(
+    f"""WITH {t.TURNS}, targets AS (
+      SELECT * FROM turns WHERE status = 'cancel' OR turn_id = (SELECT max(o.turn_id) FROM turns o WHERE o.conversation_id = turns.conversation_id))
+    SELECT conversation_id, turn_id AS target_turn, turn_id, 0 AS part, 'human' AS type,
+      {quoted(SYSTEM_RULES)} || '[1] turn ' || turn_id || chr(10) || chr(10) || 'Question: ' || question AS content
+    FROM targets
+    UNION ALL
+    SELECT t.conversation_id, g.turn_id AS target_turn, t.turn_id, part, CASE part WHEN 0 THEN 'human' ELSE 'ai' END,
+      CASE part WHEN 0 THEN t.question ELSE t.answer END
+    FROM turns t JOIN targets g ON g.conversation_id = t.conversation_id AND t.turn_id < g.turn_id, (VALUES (0), (1)) p(part)
+    WHERE t.status = 'complete'"""
+)
+def open_turn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of every cancelled turn, as if it were asked again, and of each conversation's last turn."""
+    from passagemill.operators.conversations import completed_turns
+
+    turns = t.turns(spark, sf_dir)
+    last = turns.groupBy("conversation_id").agg(F.max("turn_id").alias("last"))
+    targets = turns.join(last, "conversation_id").where("status = 'cancel' OR turn_id = last").drop("last")
+    asked = targets.withColumn("context", F.concat(F.lit("[1] turn "), F.col("turn_id").cast("string")))
+    return ctx.open_turn_prompts(asked, completed_turns(turns))

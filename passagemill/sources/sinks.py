@@ -15,11 +15,16 @@ def _own_dir() -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, below the cluster's shared checkpoint folder.
+    """A new folder for intermediate tables, below the cluster's shared ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none, as in tests.
+    Only a local session may do without that setting: on a cluster each executor would
+    write to a disk that the others do not see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -26,16 +26,26 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     )
 
 
+IDLE_MS = 24 * 3600 * 1000  # a turn without events for so long is given up
+
+
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     if state.exists:
         seqs, kinds, texts, last, status, tokens_in, tokens_out = state.get
         seqs, kinds, texts = list(seqs), list(kinds), list(texts)
     else:
         seqs, kinds, texts, last, status, tokens_in, tokens_out = [], [], [], -1, "", 0, 0
+    known = set(seqs)
     for rows in batches:
         for seq, kind, text, stat, t_in, t_out in zip(
             rows["seq"], rows["type"], rows["content"], rows["status"], rows["tokens_in"], rows["tokens_out"]
         ):
+            if int(seq) in known:  # delivered again
+                continue
+            known.add(int(seq))
             seqs.append(int(seq))
             kinds.append(kind)
             texts.append(text)
@@ -43,8 +53,9 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 last, status, tokens_in, tokens_out = int(seq), stat, int(t_in), int(t_out)
     # The closing event's number tells how many came before it, so events that
     # arrive out of order are waited for.
-    if last >= 0 and len(set(seqs)) > last:
-        order = sorted(range(len(seqs)), key=seqs.__getitem__)
+    if last >= 0 and sum(s <= last for s in known) > last:
+        # what is numbered after the closing event came too late to count
+        order = sorted((i for i in range(len(seqs)) if seqs[i] <= last), key=seqs.__getitem__)
 
         def joined(kind: str) -> str:
             return "".join(texts[i] for i in order if kinds[i] == kind)
@@ -57,13 +68,17 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         state.remove()
     else:
         state.update((seqs, kinds, texts, last, status, tokens_in, tokens_out))
+        state.setTimeoutDuration(IDLE_MS)
 
 
 def fold_event_stream(events: DataFrame) -> DataFrame:
     """One row per turn as soon as all its events are there; its state is then dropped.
 
     The events carry no time, so state is bounded by the number of open turns
-    rather than by a watermark.
+    rather than by a watermark.  An event delivered again is ignored by its number, one
+    numbered after the closing event does not count.  What arrives for a turn that was
+    already given out is never emitted, and such state, like that of a turn which never
+    closes, is dropped after ``IDLE_MS`` without events.
     """
     flat = events.selectExpr(
         "conversation_id",
@@ -76,7 +91,7 @@ def fold_event_stream(events: DataFrame) -> DataFrame:
         "coalesce(metadata.output_tokens_used, 0) as tokens_out",
     )
     return flat.groupBy("conversation_id", "turn_id").applyInPandasWithState(
-        _fold, FOLDED, STATE, "append", GroupStateTimeout.NoTimeout
+        _fold, FOLDED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -12,11 +12,17 @@ from passagemill.operators.identity import split_copies
 
 
 def known_shas(spark: SparkSession, target: str) -> DataFrame:
-    """Content hashes already in the table; empty before the first write."""
+    """Content hashes already in the table; empty before the first write.
+
+    Only a table that is not there counts as empty: one without the column is an error.
+    """
     try:
-        return spark.read.parquet(target).select("doc_sha")
-    except AnalysisException:
+        table = spark.read.parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField("doc_sha", T.StringType())]))
+    return table.select("doc_sha")
 
 
 def append_new(files: DataFrame, target: str, build: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:

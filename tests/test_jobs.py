@@ -146,17 +146,18 @@ def test_scratch_folders_lie_in_the_shared_folder(spark):
     from passagemill.sources.sinks import scratch_dir
 
     class Conf:
-        def __init__(self, value):
-            self.value = value
+        def __init__(self, value, master):
+            self.value, self.master = value, master
 
         def get(self, key, default=None):
-            assert key == "spark.checkpoint.dir"
-            return self.value or default
+            return {"spark.checkpoint.dir": self.value, "spark.master": self.master}[key] or default
 
     class Session:
-        def __init__(self, value):
-            self.conf = Conf(value)
+        def __init__(self, value, master="local[8]"):
+            self.conf = Conf(value, master)
 
     assert scratch_dir(Session("hdfs://shared/cp/"), "x").startswith("hdfs://shared/cp/x-")
+    with pytest.raises(ValueError):
+        scratch_dir(Session(None, "spark://host:7077"), "x")
     one, two = scratch_dir(Session(None), "x"), scratch_dir(Session(None), "x")
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]

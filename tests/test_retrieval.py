@@ -93,9 +93,7 @@ def test_mmr_skips_near_copies(spark):
 
 
 @pytest.mark.parametrize("limit", [1024, 3])
-def test_exact_topk_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(vectors, "TILE_QUERIES", 4)
-    monkeypatch.setattr(vectors, "TILE_VECTORS", 30)
+def test_exact_topk_against_brute_force(spark, limit):
     rng = np.random.default_rng(3)
     held = rng.integers(-3, 4, (200, 8)).astype(float)  # small whole numbers: many ties
     asked = rng.integers(-3, 4, (9, 8)).astype(float)
@@ -165,3 +163,40 @@ def test_embedders(spark):
     assert [r.u for r in size] == [[0.6, 0.8], [0.0, 0.0]]
     model = embedder(lambda texts: [[float(len(t)), 1.0] for t in texts])
     assert [r.e for r in df.select(model(F.col("text")).alias("e")).collect()] == [[5.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
+
+
+def vectors_of(spark, rows, key):
+    return spark.createDataFrame(rows, f"{key} long, embedding array<double>")
+
+
+def test_missing_and_misshapen_vectors_take_no_part(spark):
+    collection = vectors_of(spark, [(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0]), (3, [1.0]), (4, [None, 1.0]), (5, [])], "chunk_id")
+    queries = vectors_of(spark, [(7, [1.0, 0.1]), (8, None), (9, [2.0])], "qid")
+    got = {(r.qid, r.rank): r.chunk_id for r in vectors.exact_topk(queries, collection, 5).collect()}
+    assert got == {(7, 1): 0, (7, 2): 2, (9, 1): 3}
+    assert tuple(vectors.vector_faults(collection, 2).first()) == (6, 2, 2)
+    assert vectors.exact_topk(queries.where("qid < 0"), collection, 5).count() == 0
+    assert vectors.score_profile(queries.where("qid < 0"), collection).count() == 0
+    assert vectors.lsh_topk(queries.where("qid < 0"), collection, 3).count() == 0
+
+
+def test_mmr_keeps_dense_order_where_a_vector_is_missing(spark):
+    rows = [(1, r, 10 + r, 1.0 - r / 10, None if r == 2 else [1.0, r / 10]) for r in range(1, 5)]
+    pool = spark.createDataFrame(rows, "qid long, rank int, chunk_id long, score double, embedding array<double>")
+    got = rt.mmr(pool, options(top_k=3, rerank_backend="mmr")).orderBy("rank").collect()
+    assert [(r.rank, r.chunk_id, r.dense_rank) for r in got] == [(1, 11, 1), (2, 12, 2), (3, 13, 3)]
+
+
+@pytest.mark.parametrize("reply, want", [("３，１", [2, 0, 1]), ("٢ then १", [1, 0, 2])])
+def test_parse_order_reads_digits_of_other_scripts(spark, reply, want):
+    df = spark.createDataFrame([(reply, 3)], "reply string, n int")
+    assert df.select(parse_order(F.col("reply"), F.col("n")).alias("o")).first().o == want
+
+
+@pytest.mark.parametrize("dim", [64, 200, 256, 1000])
+def test_embedding_counts_every_word_in_any_dimension(spark, dim):
+    from passagemill.functions.embed import word_bucket_counts
+
+    text = " ".join(f"w{i}" for i in range(2000))
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(word_bucket_counts(F.col("t"), dim).alias("v")).collect()
+    assert [len(r.v) for r in got] == [dim] * 3 and [sum(r.v) for r in got] == [2000, 0, 0]
