@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,9 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     )
 
 
-IDLE_MS = 24 * 3600 * 1000  # a turn without events for so long is given up
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None
+) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -68,17 +68,20 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         state.remove()
     else:
         state.update((seqs, kinds, texts, last, status, tokens_in, tokens_out))
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
 
-def fold_event_stream(events: DataFrame) -> DataFrame:
+def fold_event_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """One row per turn as soon as all its events are there; its state is then dropped.
 
     The events carry no time, so state is bounded by the number of open turns
     rather than by a watermark.  An event delivered again is ignored by its number, one
     numbered after the closing event does not count.  What arrives for a turn that was
-    already given out is never emitted, and such state, like that of a turn which never
-    closes, is dropped after ``IDLE_MS`` without events.
+    already given out is not emitted again.  A query that runs on sets ``idle_ms``: such
+    state, like that of a turn which never closes, is dropped after so long without events.
+    (With a timer a query always plans one more batch, so a run that stops at the end of
+    its input has none.)
     """
     flat = events.selectExpr(
         "conversation_id",
@@ -90,8 +93,9 @@ def fold_event_stream(events: DataFrame) -> DataFrame:
         "coalesce(metadata.input_tokens_used, 0) as tokens_in",
         "coalesce(metadata.output_tokens_used, 0) as tokens_out",
     )
+    timer = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return flat.groupBy("conversation_id", "turn_id").applyInPandasWithState(
-        _fold, FOLDED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        partial(_fold, idle_ms=idle_ms), FOLDED, STATE, "append", timer
     )
 
 

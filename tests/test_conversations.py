@@ -159,3 +159,52 @@ def test_answer_checks(spark):
         1: (True, False, False, False), 2: (False, True, False, False), 3: (False, False, False, False),
         4: (False, False, True, False), 5: (False, False, False, True),
     }
+
+
+def test_a_turn_ignores_repeated_and_late_events():
+    import pandas as pd
+
+    from passagemill.streaming.events import _fold
+
+    class State:
+        exists, hasTimedOut, value, waits = False, False, None, None
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.waits = ms
+
+    def feed(state, *rows):
+        frame = pd.DataFrame(rows, columns=["seq", "type", "content", "status", "tokens_in", "tokens_out"])
+        return [r for out in _fold(("c", 1), iter([frame]), state, 500) for r in out.to_dict("records")]
+
+    text = "response.output_text.delta"
+    first, second = (0, text, "Hel", "running", 0, 0), (1, text, "lo", "running", 0, 0)
+    state = State()
+    assert feed(state, first, first) == [] and state.waits == 500
+    assert feed(state, (2, "", "", "complete", 5, 6), (3, text, "late", "running", 0, 0)) == []
+    (turn,) = feed(state, second, first)
+    assert turn["answer"] == "Hello" and (turn["input_tokens_used"], turn["output_tokens_used"]) == (5, 6)
+    assert not state.exists
+    assert feed(state, second) == [] and state.exists
+    state.hasTimedOut = True
+    assert feed(state) == [] and not state.exists
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    from passagemill.operators.conversations import iso_utc
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.range(1).selectExpr("timestamp_micros(0) a", "timestamp_micros(1710055800500000) b", "timestamp_micros(-1) c")
+            got = df.select(*[iso_utc(F.col(c)).alias(c) for c in "abc"]).first()
+            assert tuple(got) == ("1970-01-01T00:00:00+00:00", "2024-03-10T07:30:00.500000+00:00", "1969-12-31T23:59:59.999999+00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
