@@ -271,9 +271,9 @@ def _search(rows: DataFrame, phrases: Phrases, options: DecontaminateOptions) ->
                         old_spans[d] = old_spans[d] + pairs[pairs[:, 0] == d, 1:].ravel().tolist()
                         old_items[d] = sorted({*old_items[d], *(block.names[i] for i in named[named[:, 0] == d, 1])})
                     columns = part.columns
-                    columns[spans] = pa.array(old_spans, pa.list_(pa.int64()))
-                    columns[items] = pa.array(old_items, pa.list_(pa.string()))
-                    part = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                    columns[spans] = pa.array(old_spans, batch.schema.field(spans).type)
+                    columns[items] = pa.array(old_items, batch.schema.field(items).type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
                 yield part
 
     return rows.mapInArrow(run, rows.schema)
