@@ -6,10 +6,12 @@ built inside its own row and exploded at the end, so no text is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,55 +54,47 @@ def header_sections(text: Column) -> Column:
     ``headers`` has four places, null where no header of that level is open.  A
     header closes the deeper ones and its line stays in the text.
     """
-    no_path = F.array(*[F.lit(None).cast("string")] * LEVELS)
-    nothing = F.array().cast(_SECTIONS)
-    start = F.struct(no_path.alias("path"), nothing.alias("out"))
-
-    def describe(piece: Column) -> Column:
-        return F.struct(
-            F.length(F.regexp_extract(piece, rf"^(#{{1,{LEVELS}}})(?: |\n|\z)", 1)).alias("level"),
-            strip(F.regexp_extract(piece, rf"^#{{1,{LEVELS}}}([^\n]*)", 1)).alias("name"),
-            piece.alias("text"),
-        )
+    return _sectioner()(F.transform(F.split(_marked(text), _MARK), strip))
 
-    def section(path: Column, body: Column) -> Column:
-        return F.array(F.struct(path.alias("headers"), body.alias("text")))
 
-    def add(acc: Column, piece: Column) -> Column:
-        path = F.transform(
-            acc["path"],
-            lambda old, i: F.when(i + 1 < piece["level"], old)
-            .when(i + 1 == piece["level"], piece["name"])
-            .otherwise(F.lit(None)),
-        )
-        return let(path, lambda p: extend(acc["out"], p, piece["text"]))
+_HEADER = re.compile(rf"(#{{1,{LEVELS}}})(?: |\n|\Z)([^\n]*)")
 
-    def extend(out: Column, path: Column, body: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        same = (F.size(out) > 0) & last["headers"].eqNullSafe(path)
-        merged = F.concat(
-            F.slice(out, 1, F.size(out) - 1), section(path, F.concat(last["text"], F.lit("\n"), body))
-        )
-        return F.struct(
-            path.alias("path"), F.when(same, merged).otherwise(F.concat(out, section(path, body))).alias("out")
-        )
 
-    def fold(pieces: Column) -> Column:
-        lead = F.get(pieces, F.lit(0))
-        headed = F.transform(F.slice(pieces, 2, F.size(pieces)), describe)
-        return F.concat(
-            F.when(lead != "", section(no_path, lead)).otherwise(nothing),
-            F.aggregate(headed, start, add, lambda acc: acc["out"]),
-        )
+def sections_of(pieces: list[str]) -> list[dict]:
+    """Sections of a text that was split before its headers; one walk, whatever their number."""
+    out: list[dict] = []
+    if pieces[0]:
+        out.append({"headers": [None] * LEVELS, "texts": [pieces[0]]})
+    headed, path = len(out), [None] * LEVELS
+    for piece in pieces[1:]:
+        mark = _HEADER.match(piece)
+        level = len(mark[1]) if mark else 0
+        if mark:
+            path = [*path[: level - 1], mark[2].strip(), *[None] * (LEVELS - level)]
+        if len(out) > headed and out[-1]["headers"] == path:
+            out[-1]["texts"].append(piece)
+        else:
+            out.append({"headers": path, "texts": [piece]})
+    return [{"headers": s["headers"], "text": "\n".join(s["texts"])} for s in out]
+
+
+def _sectioner():
+    """Arrow function ``array<string>`` (pieces) -> sections; not repeated or copied by the optimizer."""
 
-    return let(F.transform(F.split(_marked(text), _MARK), strip), fold)
+    @F.arrow_udf(_SECTIONS)
+    def run(pieces: pa.Array) -> pa.Array:
+        rows = [None if row is None else sections_of(row) for row in pieces.to_pylist()]
+        kind = pa.struct([("headers", pa.list_(pa.string())), ("text", pa.string())])
+        return pa.array(rows, pa.list_(kind))
+
+    return run.asNondeterministic()
 
 
 def _pieces(text: str, size: int, seps: tuple[str, ...]) -> Iterator[tuple[str, bool]]:
     """Break at the first separator present; yield ``(piece, still too long)``."""
     at = next(i for i, sep in enumerate(seps) if sep in text)
     sep, rest = seps[at], seps[at + 1 :]
-    parts = list(text) if sep == "" else [p if i == 0 else sep + p for i, p in enumerate(text.split(sep))]
+    parts = [p if i == 0 else sep + p for i, p in enumerate(text.split(sep))]
     for part in filter(None, parts):
         yield part, len(part) >= size and bool(rest)
 
@@ -121,7 +115,12 @@ def _merge(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
 
 def split_to_size(text: str, size: int, overlap: int, seps: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Cut one section into stripped parts of at most ``size`` code points."""
-    rest = seps[next(i for i, sep in enumerate(seps) if sep in text) + 1 :]
+    first = next(i for i, sep in enumerate(seps) if sep in text)
+    if seps[first] == "":  # nothing to break at: windows of equal length
+        step = size - min(overlap, size - 1)
+        starts = range(0, max(len(text) - size, 0) + step, step)
+        return [part for part in (text[i : i + size].strip() for i in starts) if part]
+    rest = seps[first + 1 :]
     out: list[str] = []
     short: list[str] = []
     for piece, too_long in _pieces(text, size, seps):

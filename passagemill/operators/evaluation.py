@@ -32,11 +32,23 @@ def collection_scan(collection: DataFrame, key: str, columns: list[str], limit:
     return collection.where(F.col(key) >= 0).select(key, *columns).orderBy(key).limit(limit)
 
 
-def eval_sample(collection: DataFrame, key: str = "pk", seed: int = 0) -> DataFrame:
-    """Ten chunks longer than 200 characters from the first hundred, in a seeded random order."""
-    scanned = collection_scan(collection, key, ["text", "source"])
+def eval_sample(
+    collection: DataFrame,
+    key: str = "pk",
+    seed: int = 0,
+    scan_rows: int = SCAN_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+    min_text: int = MIN_TEXT,
+) -> DataFrame:
+    """``sample_rows`` chunks longer than ``min_text`` characters from the first ``scan_rows``, in a seeded random order.
+
+    Keys are chosen first, from lengths alone; texts are fetched for the sample only.
+    """
+    lengths = collection.select(key, F.length("text").alias("length"))
+    scanned = collection_scan(lengths, key, ["length"], scan_rows)
     draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    return scanned.where(F.length("text") > MIN_TEXT).orderBy(draw, key).limit(SAMPLE_ROWS)
+    chosen = scanned.where(F.col("length") > min_text).orderBy(draw, key).limit(sample_rows)
+    return collection.select(key, "text", "source").join(F.broadcast(chosen.select(key)), key)
 
 
 def expected_snippet(text: Column) -> Column:

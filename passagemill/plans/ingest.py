@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -347,8 +348,32 @@ def header_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.select("doc_id", "section_index", path.alias("header_path"), "s.text")
 
 
+def places(overlap: int):
+    """Finds each part in the text, one after another: characters other than blanks and line breaks that
+    parts cover, and whether no two neighbours share more than ``overlap`` (all are found, or neither holds)."""
+
+    @F.arrow_udf("struct<solid: long, bounded: boolean>")
+    def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for text_, found in zip(texts.to_pylist(), parts.to_pylist()):
+            start, end, solid, bounded = -1, 0, 0, True
+            for part in found:
+                at = text_.find(part, max(start + 1, end - overlap))
+                bounded = bounded and at >= 0
+                if at < 0:
+                    break
+                fresh = text_[max(at, end) : at + len(part)]
+                solid += len(fresh) - fresh.count(" ") - fresh.count("\n")
+                start, end = at, max(end, at + len(part))
+            out.append({"solid": solid, "bounded": bounded})
+        return pa.array(out, pa.struct([("solid", pa.int64()), ("bounded", pa.bool_())]))
+
+    return run
+
+
 @query(
-    """SELECT doc_id, true AS all_within_size, true AS none_blank, true AS all_from_text, true AS starts_alike, true AS ends_alike
+    """SELECT doc_id, true AS all_within_size, true AS none_blank, true AS all_from_text, true AS starts_alike, true AS ends_alike,
+      length(regexp_replace(text, '[ \\n]', '', 'g')) AS solid_covered, true AS overlaps_bounded
     FROM documents WHERE trim(text, ' ' || chr(10)) <> ''"""
 )
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +383,7 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").select("doc_id", text.strip(F.col("text")).alias("text"))
     parts = docs.where(F.col("text") != "").select("doc_id", "text", F.get(cut(F.array("text")), F.lit(0)).alias("parts"))
     last = F.get("parts", F.size("parts") - 1)
+    placed = places(options.overlap)("text", "parts")
     return parts.select(
         "doc_id",
         F.forall("parts", lambda p: F.length(p) <= options.chunk_size).alias("all_within_size"),
@@ -365,6 +391,8 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.forall("parts", lambda p: F.contains(F.col("text"), p)).alias("all_from_text"),
         F.startswith("text", F.get("parts", F.lit(0))).alias("starts_alike"),
         F.endswith(F.col("text"), last).alias("ends_alike"),
+        placed["solid"].alias("solid_covered"),
+        placed["bounded"].alias("overlaps_bounded"),
     )
 
 
@@ -456,6 +484,20 @@ def delete_by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("path", "source_ext")
 
 
+@query(
+    f"WITH {t.FILES} SELECT {EXT} AS source_ext, count(*) AS n_rows FROM files "
+    f"WHERE NOT ({EXT} = '.pdf' AND starts_with(path, '{ROOT}/src1/')) GROUP BY ALL"
+)
+def delete_partitionwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop one source's PDFs in place: only the PDF partition is written again."""
+    target = sinks.scratch_dir(spark, "deleted-in-place")
+    rows = t.files(spark, sf_dir).select("path", "text", paths.extension(F.col("path")).alias("source_ext"))
+    sinks.write_chunks(rows, target, drop_old=True)
+    gone = F.col("path").startswith(f"{ROOT}/src1/") & (F.col("source_ext") == ".pdf")
+    sinks.delete_in_place(spark, target, gone)
+    return spark.read.parquet(target).groupBy("source_ext").agg(F.count("*").alias("n_rows"))
+
+
 # -- audit ---------------------------------------------------------------
 
 

@@ -110,14 +110,16 @@ def volume_name(spark: SparkSession, sf_dir: str) -> DataFrame:
         [
             "WITH ",
             """ SELECT k.path, k.block_start, r.rank::INT AS section_rank, chunk_start, section_type, title AS video_title,
-              regexp_extract(k.path, '^(.*)_for AI', 1) || ' › ' || video || ' › ' || label || chr(10) || chr(10) || text AS text
+              regexp_extract(k.path, '^(.*)_for AI', 1) || ' › ' || video || ' › ' || label || chr(10) || chr(10) || text AS text,
+              regexp_extract(k.path, '^(.*)_for AI', 1) || ' | ' || video || ' | ' || label AS header_path
             FROM packed k JOIN rules r USING (section_type) JOIN video_labels v ON v.path = k.path AND v.block_start = k.block_start
             WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 60""",
         ]
     )
 )
 def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.typed_chunks(t.paragraphs(spark, sf_dir)).drop("headers")
+    chunks = tr.typed_chunks(t.paragraphs(spark, sf_dir))
+    return chunks.withColumn("header_path", F.array_join("headers", " | ")).drop("headers")
 
 
 @query(

@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -51,6 +52,27 @@ def rewrite_without(spark: SparkSession, source: str, target: str, predicate: Co
     ).parquet(target)
 
 
+def delete_in_place(spark: SparkSession, target: str, predicate: Column) -> list[str]:
+    """Delete rows of a chunk table by rewriting only the suffix partitions that hold any; returns their suffixes.
+
+    What stays of them is staged first, so the table is never read while it is written.  A
+    partition that loses all rows goes.  Suffixes are few, so their list is on the driver.
+    """
+    table = spark.read.parquet(target)
+    hit = [r["source_ext"] for r in table.where(predicate).select("source_ext").distinct().collect()]
+    if not hit:
+        return []
+    staged = scratch_dir(spark, "kept")
+    delete_where(table.where(F.col("source_ext").isin(hit)), predicate).write.parquet(staged)
+    kept = spark.read.parquet(staged)
+    left = {r["source_ext"] for r in kept.select("source_ext").distinct().collect()}
+    replace_partitions(kept, target)
+    for suffix in set(hit) - left:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/source_ext={suffix}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(hit)
+
+
 def write_manifest(records: DataFrame, target: str) -> None:
     """Audit record as JSON lines, one folder per kind of record."""
     records.select("kind", "record").write.mode("errorifexists").partitionBy("kind").text(target)

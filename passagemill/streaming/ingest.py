@@ -9,31 +9,44 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from passagemill.operators.identity import split_copies
+from passagemill.sources.sinks import scratch_dir
 
 
-def known_shas(spark: SparkSession, target: str) -> DataFrame:
-    """Content hashes already in the table; empty before the first write.
-
-    Only a table that is not there counts as empty: one without the column is an error.
-    """
+def _shas(spark: SparkSession, table: str) -> DataFrame:
+    """Content hashes of a table; only one that is not there counts as empty, one without the column is an error."""
     try:
-        table = spark.read.parquet(target)
+        rows = spark.read.parquet(table)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("doc_sha", T.StringType())]))
-    return table.select("doc_sha")
+    return rows.select("doc_sha")
+
+
+def seen_table(target: str) -> str:
+    """Where the hashes of files that a run has taken up are kept, beside the chunks."""
+    return f"{target.rstrip('/')}_seen"
+
+
+def known_shas(spark: SparkSession, target: str) -> DataFrame:
+    """Content hashes already taken up: of stored chunks, and of files that gave none."""
+    return _shas(spark, target).unionByName(_shas(spark, seen_table(target)))
 
 
 def append_new(files: DataFrame, target: str, build: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Append what ``build`` makes of the files whose content is new to the table.
 
     ``files(path, doc_sha, ...)``.  Copies within the batch are dropped first, so a
-    content shared by very many files meets the anti-join once.
+    content shared by very many files meets the anti-join once.  The hashes taken up are
+    noted after the chunks, so a run that breaks off in between loses no file.
     """
+    spark = files.sparkSession
     kept, _ = split_copies(files)
-    fresh = kept.join(known_shas(files.sparkSession, target), "doc_sha", "left_anti")
+    fresh = kept.join(known_shas(spark, target), "doc_sha", "left_anti")
+    noted = scratch_dir(spark, "fresh")
+    fresh.select("doc_sha").write.parquet(noted)
     build(fresh).write.mode("append").parquet(target)
+    spark.read.parquet(noted).write.mode("append").parquet(seen_table(target))
 
 
 def ingest_stream(

@@ -178,3 +178,58 @@ def test_stats_sample_and_manifest(spark, tmp_path):
     assert by_kind["run"]["totals"]["chunks"] == 10
     assert by_kind["file"] == {"category": "c", "chunks": 1, "name": "p1", "path": "p1", "sha256": "s1"}
     assert by_kind["skipped"] == {"name": "p99", "path": "p99", "reason": "duplicate content"}
+
+
+def test_delete_in_place_leaves_other_partitions_alone(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    table = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", ".md"), ("b", ".pdf"), ("c", ".pdf"), ("d", ".txt")], "path string, source_ext string")
+    sinks.write_chunks(rows, table, drop_old=True)
+    files = {p for p in Path(table).rglob("*.parquet") if ".md" in str(p)}
+    assert sinks.delete_in_place(spark, table, F.col("path").isin("b", "d")) == [".pdf", ".txt"]
+    assert sorted(r.path for r in spark.read.parquet(table).collect()) == ["a", "c"]
+    assert {p for p in Path(table).rglob("*.parquet") if ".md" in str(p)} == files
+    assert sinks.delete_in_place(spark, table, F.col("path") == "zz") == []
+
+
+def test_incremental_runs_remember_files_without_chunks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from passagemill.streaming.ingest import append_new
+
+    target = str(tmp_path / "t")
+    files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "path string, doc_sha string")
+    asked = []
+
+    def build(df):
+        asked.append(sorted(r.path for r in df.collect()))
+        return df.where(F.col("doc_sha") == "1")
+
+    append_new(files, target, build)
+    append_new(files, target, build)
+    assert asked == [["a", "b"], []]
+    assert [r.path for r in spark.read.parquet(target).collect()] == ["a"]
+    bare = str(tmp_path / "bare")
+    spark.range(1).write.parquet(bare)
+    with pytest.raises(Exception, match="doc_sha"):
+        append_new(files, bare, build)
+
+
+def test_sectioning_is_linear_and_windows_have_a_stride():
+    import time
+
+    from passagemill.operators.chunking import sections_of, split_to_size
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert len(sections_of([""] + [f"## h{i}\nx" for i in range(n)])) == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(80_000) for _ in range(3)) < 6 * min(seconds(20_000) for _ in range(3))
+    text = "".join(chr(0x4E00 + i) for i in range(5000))
+    parts = split_to_size(text, 1800, 250)
+    assert parts == [text[0:1800], text[1550:3350], text[3100:4900], text[4650:]]
