@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import paths
 from passagemill.functions.embed import embed_hashed
-from passagemill.functions.text import DUPLICATE
+from passagemill.functions.text import LOW_QUALITY, clean_text, is_low_quality, let
 from passagemill.operators import audit, chunking, context, evaluation, identity, retrieval, transcript
 from passagemill.operators.carry import number_rows
 from passagemill.options import (
@@ -39,36 +39,77 @@ class IngestResult:
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """``(path, text)`` with its content hash."""
-    return files.withColumn("doc_sha", identity.content_sha(F.col("text")))
+    """The files with ``doc_sha``: a given one stays, else it is taken of the raw ``content``, else of the text.
 
+    A file without any of them counts as a content of its own.
+    """
+    if "doc_sha" in files.columns:
+        return files
+    own = F.sha2(F.concat(F.lit("path:"), F.col("path")).cast("binary"), 256)
+    raw = "content" if "content" in files.columns else "text"
+    return files.withColumn("doc_sha", F.coalesce(identity.content_sha(F.col(raw)), own))
 
-def text_chunks(files: DataFrame, root: str | None, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """Stamped chunks of ``(path, text, doc_sha[, parser])`` texts."""
+
+def routed(files: DataFrame, options: IngestOptions) -> DataFrame:
+    """The files with ``parser``: a given one stays, else the route of their suffix and size."""
+    if "parser" in files.columns:
+        return files
+    size = next((F.col("length") if c == "length" else F.octet_length(c) for c in ("length", "content") if c in files.columns), F.octet_length("text"))
+    return files.withColumn("parser", F.coalesce(paths.parser_route(paths.extension(F.col("path")), size, options), F.lit("text")))
+
+
+def judged_files(kept: DataFrame, options: IngestOptions) -> DataFrame:
+    """One row per file ``(path, doc_sha, parser, reason, chunks)``: each text is cleaned, gated and cut once."""
     ext = paths.extension(F.col("path"))
-    kept, _ = identity.split_copies(files)
-    accepted, _ = chunking.gate(kept, ext)
-    routed = F.col("parser") if "parser" in files.columns else F.when(ext == ".pdf", "pymupdf-text").otherwise("text")
-    return chunking.stamp_chunks(chunking.chunk_documents(accepted, options), root, options.category, routed)
+    judged = let(
+        clean_text(F.coalesce("text", F.lit(""))), lambda t: F.struct(is_low_quality(t, ext).alias("low"), t.alias("text"))
+    )
+    cleaned = kept.select("path", "doc_sha", "parser", judged.alias("_judged"))
+    accepted = cleaned.select(
+        "path",
+        "doc_sha",
+        "parser",
+        F.when(F.col("_judged.low"), F.lit(LOW_QUALITY)).alias("reason"),
+        F.when(~F.col("_judged.low"), F.col("_judged.text")).alias("text"),
+    )
+    return chunking.chunk_arrays(accepted, options).withColumnRenamed("_chunks", "chunks")
 
 
-def text_outcomes(files: DataFrame, root: str | None, options: IngestOptions = IngestOptions()) -> DataFrame:
+def file_rows(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
+    """``judged_files`` of the first file of each content, and the copies with their reason."""
+    kept, copies = identity.split_copies(routed(files, options))
+    judged = judged_files(kept, options)
+    return judged.unionByName(copies.select("path", "doc_sha", "parser", "reason"), allowMissingColumns=True)
+
+
+def chunk_rows(rows: DataFrame, root: str | None, options: IngestOptions) -> DataFrame:
+    """Stamped chunks of file rows."""
+    one = chunking.explode_once(rows.select("path", "doc_sha", "parser", "chunks"), "chunks", "chunk_index", "_chunk", count="n_chunks")
+    flat = one.select("path", "doc_sha", "parser", "chunk_index", "n_chunks", "_chunk.headers", "_chunk.text")
+    return chunking.stamp_chunks(flat, root, options.category, F.col("parser"))
+
+
+def outcome_rows(rows: DataFrame, root: str | None, options: IngestOptions) -> DataFrame:
     """Every file with the reason why it is not in the corpus, null where it is."""
     path = F.col("path")
-    kept, _ = identity.split_copies(files)
-    judged = kept.select(
-        "path", chunking.low_quality_reason(F.col("text"), paths.extension(path)).alias("low"), F.lit(True).alias("kept")
-    )
-    reason = F.when(F.col("kept").isNull(), DUPLICATE).otherwise(F.col("low"))
-    return files.select("path", "doc_sha").join(judged, "path", "left").select(
+    return rows.select(
         "path",
         paths.file_name(path).alias("name"),
         paths.category(path, root, options.category).alias("category"),
         "doc_sha",
-        reason.alias("reason"),
+        "reason",
     )
 
 
+def text_chunks(files: DataFrame, root: str | None, options: IngestOptions = IngestOptions()) -> DataFrame:
+    """Stamped chunks of ``(path, text, doc_sha[, parser])`` texts."""
+    return chunk_rows(file_rows(files, options), root, options)
+
+
+def text_outcomes(files: DataFrame, root: str | None, options: IngestOptions = IngestOptions()) -> DataFrame:
+    return outcome_rows(file_rows(files, options), root, options)
+
+
 # -- transcript compilations ---------------------------------------------
 
 
@@ -130,23 +171,50 @@ def ingest(
     drop_old: bool = False,
     embed: Callable[[DataFrame], DataFrame] = embed_hashed,
     manifest: str | None = None,
+    pages: DataFrame | None = None,
+    paragraphs: DataFrame | None = None,
 ) -> IngestResult:
-    """Ingest ``(path, text)`` files into an embedded chunk table.
+    """Ingest files into an embedded chunk table.
+
+    ``files(path, text[, content | doc_sha][, length][, parser])`` lists all files of the run;
+    ``pages(path, page_number, text)`` and ``paragraphs(path, para_index, level, text)``
+    hold the bodies of those whose text is null.  Copies are told by raw content over all
+    kinds of files together.
 
-    Chunks are staged once; statistics, records and the embedding all read the
-    staged table, so texts are parsed once and a failed embedding starts from there.
-    A dry run stages and reports, and leaves the target alone.
+    Each text is cleaned, gated and cut once into a staged row of its file, from which chunks,
+    records and statistics are read; a failed embedding starts from there.  A dry run stages
+    and reports, and leaves the target alone.
     """
     spark = files.sparkSession
     started = datetime.now(timezone.utc)
-    inputs = hashed(files_src.first_files(files, options.limit))
-    staged, told = sinks.scratch_dir(spark, "staged-chunks"), sinks.scratch_dir(spark, "file-records")
-    text_chunks(inputs, root, options).write.parquet(staged)
-    chunks = spark.read.parquet(staged)
-    stats = audit.corpus_stats(chunks)
+    if options.limit:
+        chosen = files_src.first_files(files.select("path"), options.limit)
+        files = files.join(F.broadcast(chosen), "path", "left_semi")  # options.limit rows
+    inputs = hashed(files)
+    if pages is not None:
+        bodies = pages_src.pages_to_markdown(pages).select("path", F.col("text").alias("_body"))
+        inputs = inputs.join(bodies, "path", "left").withColumn("text", F.coalesce("text", "_body")).drop("_body")
+    kept, copies = identity.split_copies(routed(inputs, options))
+    staged = sinks.scratch_dir(spark, "staged-files")
+    typed = F.lit(False) if paragraphs is None else (paths.extension(F.col("path")) == ".docx") & F.col("text").isNull()
+    judged = judged_files(kept.where(~typed), options)
+    judged.unionByName(copies.select("path", "doc_sha", "parser", "reason"), allowMissingColumns=True).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    chunks, told = chunk_rows(rows, root, options), outcome_rows(rows, root, options)
+    if paragraphs is not None:
+        shas = kept.where(typed).select("path", "doc_sha")
+        bodies = paragraphs.join(shas.select("path"), "path", "left_semi")
+        made = sinks.scratch_dir(spark, "staged-compilations")
+        compilation_chunks(bodies, shas, root, options).write.parquet(made)
+        more = spark.read.parquet(made)
+        reasons = shas.join(compilation_outcomes(bodies, more), "path", "left")
+        chunks = chunks.unionByName(more, allowMissingColumns=True)
+        told = told.unionByName(outcome_rows(reasons, root, options))
     if chunks.isEmpty():
         raise ValueError("no chunks produced.")
-    audit.file_summary(text_outcomes(inputs, root, options), chunks).write.parquet(told)
+    stats = audit.corpus_stats(chunks)
+    records = sinks.scratch_dir(spark, "file-records")
+    audit.file_summary(told, chunks, root).write.parquet(records)
 
     if not options.dry_run:
         sinks.write_chunks(embed(chunks), target, drop_old)
@@ -160,7 +228,12 @@ def ingest(
             "include_parsed": options.include_parsed,
             "supported_extensions": list(SUPPORTED_EXTENSIONS),
         },
-        "target": {"table": target},
+        "target": {
+            "table": target,
+            "drop_old": drop_old,
+            "embedder": getattr(embed, "__name__", type(embed).__name__),
+            "embed_batch": options.embed_batch,
+        },
         "chunking": {
             "chunk_size": options.chunk_size,
             "overlap": options.overlap,
@@ -168,7 +241,7 @@ def ingest(
             "fast_pdf_mb": options.fast_pdf_mb,
         },
     }
-    records = audit.manifest_records(spark.read.parquet(told), stats, run)
+    records = audit.manifest_records(spark.read.parquet(records), stats, run)
     if manifest:
         sinks.write_manifest(records, manifest)
     return IngestResult(records, audit.sample_chunks(chunks, options.sample) if options.dry_run else None)

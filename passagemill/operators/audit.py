@@ -21,16 +21,18 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def file_summary(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def file_summary(files: DataFrame, chunks: DataFrame, root: str | None = None) -> DataFrame:
     """One record per file: ingested ones with their chunk count, skipped ones with a reason.
 
     ``files(path, name, category, doc_sha, reason)`` are all files of the run,
-    ``reason`` null for the ingested; ``chunks(path)`` are the chunks made of them.
+    ``reason`` null for the ingested; ``chunks(path)`` are the chunks made of them.  With
+    ``root``, paths below it are told relative to it.
     """
     counted = chunks.groupBy("path").agg(F.count("*").alias("chunks"))
     taken = F.col("reason").isNull()
+    told = F.col("path") if root is None else paths.relative_path(F.col("path"), root)
     return files.join(counted, "path", "left").select(
-        "path",
+        told.alias("path"),
         "name",
         F.when(taken, F.col("category")).alias("category"),
         F.when(taken, F.col("doc_sha")).alias("sha256"),

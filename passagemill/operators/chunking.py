@@ -142,7 +142,7 @@ def size_splitter(size: int, overlap: int):
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def run(sections: pd.Series) -> pd.Series:
-        return pd.Series([[split_to_size(s, size, overlap) for s in row] for row in sections])
+        return pd.Series([[] if row is None else [split_to_size(s, size, overlap) for s in row] for row in sections])
 
     # Marked nondeterministic so that the optimizer neither repeats the call nor
     # copies it into the filter it derives for the explode.
@@ -160,12 +160,8 @@ def explode_once(df: DataFrame, array: str, place: str, item: str, count: str |
     return df.select(*rest, *sizes, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
 
 
-def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """Explode ``text`` into kept chunks: adds ``chunk_index, n_chunks, headers`` and the chunk ``text``.
-
-    The number of chunks is the size of the row's own array, so neither the index
-    nor the count needs a window.
-    """
+def chunk_arrays(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
+    """The rows with ``_chunks`` in place of ``text``: an array of kept ``(headers, text)``, empty for a null text."""
     cut = size_splitter(options.chunk_size, options.overlap)
     rest = [c for c in docs.columns if c != "text"]
     sectioned = docs.select(*rest, header_sections(F.col("text")).alias("_sections"))
@@ -179,8 +175,17 @@ def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -
             ),
         )
     )
-    kept = parted.select(*rest, F.filter(chunks, lambda c: keep_chunk(c["text"])).alias("_chunks"))
-    numbered = explode_once(kept, "_chunks", "chunk_index", "_chunk", count="n_chunks")
+    return parted.select(*rest, F.filter(chunks, lambda c: keep_chunk(c["text"])).alias("_chunks"))
+
+
+def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
+    """Explode ``text`` into kept chunks: adds ``chunk_index, n_chunks, headers`` and the chunk ``text``.
+
+    The number of chunks is the size of the row's own array, so neither the index
+    nor the count needs a window.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    numbered = explode_once(chunk_arrays(docs, options), "_chunks", "chunk_index", "_chunk", count="n_chunks")
     return numbered.select(*rest, "chunk_index", "n_chunks", "_chunk.headers", "_chunk.text")
 
 

@@ -517,14 +517,31 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged AS (SELECT path, sha, CASE WHEN n > 1 THEN 'duplicate content'
       WHEN {low_quality_sql('text', EXT)} THEN '{text.LOW_QUALITY}' END AS reason FROM cleaned),
     counted AS (SELECT path, count(*) AS chunks FROM kept GROUP BY path)
-    SELECT path, {NAME} AS name, CASE WHEN reason IS NULL THEN split_part(path, '/', 3) END AS category,
+    SELECT substr(path, {len(ROOT) + 2}) AS path, {NAME} AS name, CASE WHEN reason IS NULL THEN split_part(path, '/', 3) END AS category,
       CASE WHEN reason IS NULL THEN sha END AS sha256, CASE WHEN reason IS NULL THEN coalesce(chunks, 0) END AS chunks, reason
     FROM judged LEFT JOIN counted USING (path)"""
 )
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all files, counting kept lines as chunks."""
     files = jobs.hashed(t.corpus(spark, sf_dir).select("path", "text"))
-    return audit.file_summary(jobs.text_outcomes(files, ROOT), line_chunks(spark, sf_dir))
+    return audit.file_summary(jobs.text_outcomes(files, ROOT), line_chunks(spark, sf_dir), ROOT)
+
+
+@query(
+    f"""WITH {t.CORPUS},
+    numbered AS (SELECT path, text, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY {KEY}) AS n FROM corpus),
+    cleaned AS (SELECT path, sha, n, {clean_sql('text')} AS text FROM numbered),
+    judged AS (SELECT path, sha, CASE WHEN n > 1 THEN 'duplicate content'
+      WHEN {low_quality_sql('text', EXT)} THEN '{text.LOW_QUALITY}' END AS reason FROM cleaned)
+    SELECT CASE WHEN reason IS NULL THEN 'file' ELSE 'skipped' END AS kind, substr(path, {len(ROOT) + 2}) AS path,
+      CASE WHEN reason IS NULL THEN sha END AS sha256, reason FROM judged"""
+)
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file records of a whole run, read back from its manifest."""
+    files = t.corpus(spark, sf_dir).select("path", "text")
+    records = jobs.ingest(files, sinks.scratch_dir(spark, "run"), ROOT, IngestOptions(dry_run=True)).records
+    field = lambda name: F.get_json_object("record", f"$.{name}").alias(name)
+    return records.where("kind <> 'run'").select("kind", "path", field("sha256"), field("reason"))
 
 
 @query(

@@ -40,10 +40,10 @@ def test_ingest_writes_chunks_and_manifest(spark, files, tmp_path):
     assert totals["chunks"] == totals["chunks_written"] == stored.count() > 4
     assert totals["chunk_chars_max"] <= 1800
     assert {r["path"]: r["reason"] for r in told["skipped"]} == {
-        "/k/a/one.md": "duplicate content",
-        "/k/b/bad.pdf": "document parsed to low-quality text (scan/word-soup)",
+        "a/one.md": "duplicate content",
+        "b/bad.pdf": "document parsed to low-quality text (scan/word-soup)",
     }
-    assert {r["path"]: r["category"] for r in told["file"]} == {"/k/a/copy.md": "a", "/k/b/two.txt": "b"}
+    assert {r["path"]: r["category"] for r in told["file"]} == {"a/copy.md": "a", "b/two.txt": "b"}
     first = stored.where("name = 'copy.md' and chunk_index = 0").first()
     assert first.headers[0] == "Top" and first.source_path == "a/copy.md" and len(first.embedding) == 64
     assert stored.select("chunk_id").distinct().count() == stored.count()
@@ -66,7 +66,7 @@ def test_dry_run_samples_and_writes_nothing(files, tmp_path):
 
 def test_limit_and_empty_corpus(files, tmp_path):
     told = by_kind(jobs.ingest(files, str(tmp_path / "t"), "/k", IngestOptions(limit=1)).records)
-    assert [r["path"] for r in told["file"]] == ["/k/a/copy.md"] and "skipped" not in told
+    assert [r["path"] for r in told["file"]] == ["a/copy.md"] and "skipped" not in told
     with pytest.raises(ValueError, match="no chunks produced"):
         jobs.ingest(files.where("path like '%bad%'"), str(tmp_path / "u"), "/k")
 
@@ -161,3 +161,29 @@ def test_scratch_folders_lie_in_the_shared_folder(spark):
         scratch_dir(Session(None, "spark://host:7077"), "x")
     one, two = scratch_dir(Session(None), "x"), scratch_dir(Session(None), "x")
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+
+
+def test_mixed_corpus_in_one_run(spark, tmp_path):
+    say = "Words about the rain garden and the soil of roofs. "
+    rows = [
+        ("/k/a/one.md", GOOD.encode(), GOOD), ("/k/a/two.md", GOOD.replace(" ", "\r\n").encode(), GOOD.replace(" ", "\n")),
+        ("/k/b/three.md", GOOD.replace(" ", "\n").encode(), GOOD.replace(" ", "\n")),
+        ("/k/c/deck.pdf", b"pdf", None), ("/k/d/talk_for AI inputs_1.docx", b"docx", None), ("/k/d/same.docx", b"docx", None),
+    ]
+    files = spark.createDataFrame(rows, "path string, content binary, text string")
+    pages = spark.createDataFrame([("/k/c/deck.pdf", 1, GOOD)], "path string, page_number int, text string")
+    paragraphs = spark.createDataFrame(
+        [("/k/d/talk_for AI inputs_1.docx", i, l, x) for i, (l, x) in enumerate([(1, "Video"), (2, "总结"), (0, say * 30)])],
+        "path string, para_index long, level int, text string",
+    )
+    paragraphs = paragraphs.unionByName(paragraphs.withColumn("path", F.lit("/k/d/same.docx")))
+    target = str(tmp_path / "chunks")
+    told = by_kind(jobs.ingest(files, target, "/k", pages=pages, paragraphs=paragraphs).records)
+    assert {r["path"]: r["reason"] for r in told["skipped"]} == {"d/talk_for AI inputs_1.docx": "duplicate content"}
+    # line ends make other contents: bytes count, not decoded texts
+    assert {r["path"] for r in told["file"]} == {"a/one.md", "a/two.md", "b/three.md", "c/deck.pdf", "d/same.docx"}
+    stored = spark.read.parquet(target)
+    assert {(r.name, r.parser) for r in stored.select("name", "parser").distinct().collect()} == {
+        ("one.md", "text"), ("two.md", "text"), ("three.md", "text"), ("deck.pdf", "pymupdf4llm"), ("same.docx", "docx-structured")
+    }
+    assert told["run"][0]["target"]["embedder"] == "embed_hashed"
