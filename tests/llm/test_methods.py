@@ -292,6 +292,13 @@ def test_fingerprint_query(spark):
     assert np.mean([r.near_edited > r.near_next for r in rows if r.n_chars > 200]) > 0.97
 
 
+def test_slices_give_the_same_neighbours(spark):
+    docs = table(spark, "documents")
+    whole = fingerprint.fingerprints(docs).collect()
+    cut = fingerprint.fingerprints(docs, fingerprint.FingerprintOptions(rows_per_slice=1)).collect()
+    assert sorted(whole) == sorted(cut)
+
+
 def test_counts_against_plain_windows():
     text = "Some words, and some más words.".encode()
     counts = np.zeros(256, int)
