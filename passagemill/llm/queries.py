@@ -22,7 +22,7 @@ places AS (
   FROM (SELECT doc_id, w, size, unnest(range(1, greatest(len(w) - size, -1) + 2)) AS i
         FROM words, (SELECT DISTINCT size FROM windows))),
 found AS (SELECT doc_id, size, i, item FROM places JOIN windows USING (size, phrase)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS at FROM found) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
