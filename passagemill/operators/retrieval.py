@@ -12,7 +12,7 @@ from passagemill.functions.text import snippet
 from passagemill.operators.vectors import TIE_DECIMALS, exact_topk
 from passagemill.options import RetrievalOptions
 
-# A result of at most this many rows may be shipped to every task.
+# A result of at most this many rows may be shipped to every task, unless a caller sets another limit.
 BROADCAST_ROWS = 200_000
 
 
@@ -35,13 +35,15 @@ def rows_bound(queries: DataFrame, k: int, options: RetrievalOptions) -> int | N
     return n * k if n <= limit else None
 
 
-def attach(ranked: DataFrame, collection: DataFrame, columns: list[str], bound: int | None) -> DataFrame:
+def attach(
+    ranked: DataFrame, collection: DataFrame, columns: list[str], bound: int | None, limit: int = BROADCAST_ROWS
+) -> DataFrame:
     """Join winners back to wide columns that the search did not carry.
 
-    With a proven ``bound`` the winners are broadcast and the collection is only
+    With a proven ``bound`` of at most ``limit`` rows the winners are broadcast and the collection is only
     scanned; otherwise both sides are shuffled on the chunk.
     """
-    side = F.broadcast(ranked) if bound is not None and bound <= BROADCAST_ROWS else ranked
+    side = F.broadcast(ranked) if bound is not None and bound <= limit else ranked
     return collection.select("chunk_id", *columns).join(side, "chunk_id")
 
 

@@ -17,14 +17,8 @@ TURN_STEP = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; documents in fewer splits than cores are spread over the cores.
-
-    The small tables are one file with one row group, which one task reads.  A large
-    table has splits enough for every core and is read as it lies, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # -- files ---------------------------------------------------------------
