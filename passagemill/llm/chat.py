@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm import common
+
 # Strings with a meaning to the models that read the output.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>", "<|role|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 
@@ -461,6 +463,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
+    common.bounded_batches(rows.sparkSession)
     return rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 

@@ -280,6 +280,7 @@ def _search(rows: DataFrame, phrases: Phrases, options: DecontaminateOptions) ->
 
 
 def _searched(rows: DataFrame, benchmark: DataFrame, options: DecontaminateOptions) -> DataFrame:
+    common.bounded_batches(rows.sparkSession)
     found = rows.withColumn("spans", F.array().cast("array<bigint>")).withColumn("items", F.array().cast("array<string>"))
     for k, block in enumerate(phrase_blocks(benchmark, options)):
         found = _search(common.staged(found) if k else found, block, options)

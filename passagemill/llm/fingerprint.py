@@ -129,6 +129,7 @@ def neighbours(docs: DataFrame, options: FingerprintOptions = FingerprintOptions
 
 def fingerprints(docs: DataFrame, options: FingerprintOptions = FingerprintOptions()) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
+    common.bounded_batches(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,16 +97,18 @@ class Parser:
         tables, roots, base = [], [], 0
         for name in names:
             go, _ = automaton(symbol[np.frombuffer(references[name], np.uint8)].tolist())
-            start = np.full(width, base * width, np.int64)
+            lost = (base + len(go)) * width  # after a letter that this language lacks, a phrase by itself
+            start = np.full(width, lost, np.int64)
             for c, to in go[0].items():
                 start[c] = (base + to) * width
-            rows = np.tile(2 * start + 1, (len(go), 1))
+            rows = np.tile(2 * start + 1, (len(go) + 1, 1))
+            rows[0, start == lost] = 2 * lost
             state = np.repeat(np.arange(len(go)), [len(x) for x in go])
             letter = np.fromiter((c for x in go for c in x), np.int64, len(state))
             rows[state, letter] = 2 * width * (base + np.fromiter((to for x in go for to in x.values()), np.int64, len(state)))
             roots.append(base * width)
             tables.append(rows.astype(np.int32))
-            base += len(go)
+            base += len(go) + 1
         table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         bits = np.log2([len(references[n]) + 2 for n in names]) if names else np.zeros(0)
         return cls(names, bits, symbol, table, np.array(roots, np.int32), piece)
@@ -162,6 +164,7 @@ class Parser:
 
 def train(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Parser:
     """The automata of every language that the labelled documents outside the held-out part have."""
+    common.bounded_batches(docs.sparkSession)
     key = common.crc_remainder(F.col("doc_id"), options.modulus)
     known = docs.where(F.col("lang").isNotNull() & (key != options.held_out)).select("doc_id", "lang").distinct()
     chosen = common.bounded_sample(known, "lang", options.per_language)

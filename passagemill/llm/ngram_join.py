@@ -269,6 +269,7 @@ def _remaining(lists: DataFrame, options: JoinOptions) -> DataFrame:
 
 def linked(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component's id is its smallest doc_id."""
+    common.bounded_batches(docs.sparkSession)
     found = common.staged(profiles(docs, options))
     rows = found.where("bucket is null").select("doc_id", "hash", "n_shingles", "class", "histogram")
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # one row per bucket

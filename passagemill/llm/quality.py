@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
             x = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "weight", "x"])
 
+    common.bounded_batches(docs.sparkSession)
     sample = common.labelled_sample(docs, labels, "quality", options.modulus, options.per_label)
     key = sample.schema["doc_id"].dataType.simpleString()
     got = sample.select("doc_id", "text", "y", "weight").mapInArrow(read, f"doc_id {key}, y boolean, weight double, x array<double>").orderBy("doc_id").toArrow()

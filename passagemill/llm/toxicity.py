@@ -107,6 +107,7 @@ def solve(row: np.ndarray, value: np.ndarray, feature: np.ndarray, y: np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> Model:
     """A model of ``labels.toxic`` from the bounded sample of labelled documents."""
+    common.bounded_batches(docs.sparkSession)
     buckets = 1 << options.buckets_log2
     sample = common.staged(common.labelled_sample(docs, labels, "toxic", options.modulus, options.per_label).select("doc_id", "text", "y", "weight"))
     every = np.arange(buckets)

@@ -132,6 +132,7 @@ def training_order(docs: DataFrame, options: OrderOptions = OrderOptions()) -> D
 
     ``place`` is the byte at which the record stands in its shard.
     """
+    common.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     made = common.staged(sequences(docs, options))
     parts = made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").toArrow()  # one row per task

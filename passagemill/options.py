@@ -30,8 +30,8 @@ class RetrievalOptions:
     fetch_k: int = 40
     mmr_lambda: float = 0.5
     rerank_backend: str | None = "none"
-    # A query batch up to this many rows is shipped to every task; beyond it the
-    # search shuffles tiles of both sides instead.
+    # So many queries are shipped to every task at once; a larger batch is taken
+    # block by block.
     max_broadcast_queries: int = 1024
 
     @property
