@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20  # of text that one vectorised step works on; a longer text is a step of its own
+CHUNK_BYTES = 1 << 18  # of text that one vectorised step works on; a longer text is a step of its own
 
 
 # ---------------------------------------------------------------- staged tables
@@ -132,6 +132,7 @@ def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     data, offsets = utf8(column)
     for start, stop in steps(offsets, limit):
         yield start, stop, data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
+    pa.default_memory_pool().release_unused()  # workers live on beside the next stage's
 
 
 # ---------------------------------------------------------------- hashing

@@ -143,7 +143,7 @@ class Parser:
     def read(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language and the score of each text."""
         names, scores = [], []
-        for first, end, data, offsets in common.texts(column):
+        for first, end, data, offsets in common.texts(column, 1 << 20):  # many pieces in step
             if not self.names:
                 names += ["und"] * (end - first)
                 scores.append(np.zeros(end - first))
