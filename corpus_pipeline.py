@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written an
 again as the next stage's documents.  All but the last return the columns of documents.
 
 * quality: documents that the classifier rejects go.
-* near duplicates: of each component of linked documents the one with the smallest id stays.
+* near duplicates: of each component of documents that share four fifths of their five-word
+  shingles the one with the smallest id stays.
 * decontamination: words of benchmark passages are cut out; a document left without words goes.
 * mixing: rows repeat or go so that each source's words come to its target.
 * output: sequences of token ids in training order.
@@ -28,8 +29,11 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.accepted(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+NEAR = ngram_join.JoinOptions(width=5, percent=80)  # op5's contract has three words and nine tenths
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
