@@ -267,8 +267,11 @@ def _remaining(lists: DataFrame, options: JoinOptions) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; the component's id is its smallest doc_id."""
+def _components(docs: DataFrame, options: JoinOptions) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, n_shingles, class) of every row, and (class, reader, root) of every class that is not empty.
+
+    ``reader`` names the smallest row of a class: by id, nulls last, then by the text's hash.
+    """
     common.bounded_batches(docs.sparkSession)
     found = common.staged(profiles(docs, options))
     rows = found.where("bucket is null").select("doc_id", "hash", "n_shingles", "class", "histogram")
@@ -305,21 +308,33 @@ def linked(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     roots = common.components(links.unionByName(common.staged(more)), "a", "b")
 
     of = classes.select("class", "reader").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return rows.drop("histogram"), of
+
+
+def linked(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; the component's id is its smallest doc_id."""
+    rows, of = _components(docs, options)
     named = of.join(of.groupBy("root").agg(F.min("reader.doc_id").alias("component_id")), "root").select("class", "component_id")
     return rows.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """The rows, with all their columns, whose id is their component's; of rows that repeat an id, one.
+    """Of each component the smallest row, by id with nulls last, then by its text's hash; all rows without words.
 
-    Only rows that a bounded filter cannot rule out are shuffled to be compared exactly.
+    Rows are told apart by id and text: different texts under one id are decided on each by
+    itself, and copies without id are one group.  Rows that repeat id and text give the
+    smallest of them.  Only rows that a bounded filter cannot rule out are shuffled.
     """
-    ids = common.staged(linked(docs, options).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
-    doubtful = ids.where("doc_id is not null and (rows > 1 or doc_id <> component_id)")
-    doubtful = doubtful.select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays"), F.xxhash64("doc_id").alias("h"))
-    rows = _asked(docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id").alias("_hash")), "_hash", doubtful, options)
-    clear = rows.where("not asked").select("_row.*")
-    checked = rows.where("asked").select("_row").join(doubtful.drop("h"), F.col("_row.doc_id") == F.col("_id"), "left")
-    single = checked.where("_id is null").select("_row.*")
-    once = checked.where("_stays").groupBy("_id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return clear.unionByName(single).unionByName(once)
+    rows, of = _components(docs, options)
+    kept = of.join(of.groupBy("root").agg(F.min("reader").alias("kept")), "root").select("class", "kept")
+    keys = rows.join(kept, "class").groupBy("doc_id", "hash").agg(F.first("kept").alias("kept"), F.count("*").alias("rows"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("hash") == F.col("kept.hash"))
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_text"), stays.alias("_stays"), "rows")
+    doubtful = common.staged(keys.where("rows > 1 or not _stays").select("_id", "_text", "_stays", F.xxhash64("_id", "_text").alias("h")))
+    text = F.xxhash64("text")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), F.xxhash64("doc_id", text).alias("_hash"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
+    named = _asked(named, "_hash", doubtful, options)
+    clear = named.where("not asked or not _words").select("_row.*")
+    once = named.where("asked and _words").groupBy(F.col("_row.doc_id").alias("_own"), F.col("_text").alias("_hash")).agg(F.min("_row").alias("_row"))
+    gone = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    return clear.unionByName(once.join(doubtful.where("not _stays"), gone, "left_anti").select("_row.*"))

@@ -176,6 +176,23 @@ def test_stage_of_near_duplicates_against_brute_force(spark):
     assert {1000, 1002} <= got and not {1001, 1003} & got
 
 
+def test_stage_of_near_duplicates_decides_by_row(spark):
+    import corpus_pipeline
+
+    rows = [(i, t) for i, t in variants(6) if i < 900]
+    rows += [(i + 100, t + " Z") for i, t in rows[:20]] + [(None, t) for _, t in rows[::5]] + [(None, rows[3][1])] * 7
+    rows += [(2050, f"u{k} " * 3 + " ".join(f"u{k}x{j}" for j in range(30))) for k in range(2)]  # two texts under one id
+    rows += [(7, " ".join(f"c{j}" for j in range(40))), (6, " ".join(f"c{j}" for j in range(40))), (7, "nothing repeats this")]
+    rows += [(None, " ".join(f"n{j}" for j in range(40)))] * 30 + [(2, ""), (2, ""), (2, None), (None, " "), (None, " ")]
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    roots = brute_stage(list(enumerate(t for _, t in rows)))
+    assert sorted((i is None, i or 0) for i, _ in got.elements()) == sorted((rows[k][0] is None, rows[k][0] or 0) for k in roots)
+    assert {t for _, t in got} >= {t for i, t in rows if i == 2050 or t == "nothing repeats this"} and got[(2, "")] == 2 and got[(None, " ")] == 2
+    assert sum(n for (_, t), n in got.items() if t and t.startswith("n0 ")) == 1
+
+
 # ---------------------------------------------------------------- mixing
 
 
