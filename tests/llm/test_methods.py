@@ -384,6 +384,24 @@ def test_repeated_runs_of_a_host_are_cut(spark):
     assert got == {k: f"page {k} tells of plant number {k}" for k in range(4)} | {9: bar, 8: bar}
 
 
+def test_text_of_a_large_host_stays(spark):
+    bar = "read our other stories about gardens and trees today"
+    pages, want = [], {}
+    for k in range(90):
+        prose = " ".join(f"p{k}w{j}" for j in range(30)) + (" on the other hand it seems" if k % 3 == 0 else "") + f" end{k}"
+        short = f"<p>note {k % 9}</p>"
+        html = f"<div>{bar}</div><h1>Report</h1><h2>Summary</h2><p>{prose}</p>{short}<h2>Background</h2><p>more {k}</p><div><h3>Related</h3>{bar}</div>"
+        pages.append((k, f"http://big.example/{k}", html))
+        want[k] = f"Report\nSummary\n{prose}\nnote {k % 9}\nBackground\nmore {k}"
+    pages += [(1000 + k, f"http://big.example/copy/{k}", pages[0][2]) for k in range(200)]
+    want |= {1000 + k: want[0] for k in range(200)}
+    only = "<p>the very same words stand below two addresses here</p>"
+    pages += [(2000 + k, f"http://twice.example/{k}", only) for k in range(4)]
+    want |= {2000 + k: only[3:-4] for k in range(4)}
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in html_extract.extract(docs).collect()} == want
+
+
 def test_page_query(spark):
     import html
 
