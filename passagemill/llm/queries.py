@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import chat, decontaminate, fingerprint, html_extract, language, mixing, ngram_join, quality, toxicity, training_order
+from passagemill.llm import chat, decontaminate, fill_middle, fingerprint, html_extract, language, merkle, mixing, ngram_join, quality, toxicity, training_order
 from passagemill.plans.registry import query
 
 
@@ -111,3 +111,71 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CHAT_SQL)
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_control_case(_table(spark, sf_dir, "conversations")))
+
+
+# bytes of UTF-8 are counted by strlen; a way first climbs its own tree (phase 0), then the tree of all roots (phase 1)
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_FIELDS = " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "{0}", "text"))
+
+MANIFEST_SQL = f"""WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, sha256({_FIELDS.format("n_chars")}) AS leaf, sha256({_FIELDS.format("(n_chars + 1)")}) AS other,
+    coalesce(xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda s, c: list_reduce(list_concat([xor(s, c)], range(8)), lambda t, k: xor(t >> 1, CASE WHEN t & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 7 = 0, false)
+      AND n_chars IS NOT NULL AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n, coalesce('+' || lang, '') AS grp FROM rows),
+inner_nodes AS (
+  SELECT grp, 0 AS lvl, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM inner_nodes WHERE n > 1 GROUP BY grp, lvl, pos // 2, n),
+subroots AS (
+  SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+top_nodes AS (
+  SELECT 0 AS lvl, pos, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top_nodes WHERE n > 1 GROUP BY lvl, pos // 2, n),
+ways AS (
+  SELECT *, row_number() OVER () AS id FROM placed JOIN (SELECT grp, subroot, pos AS place FROM subroots) USING (grp)),
+climb AS (
+  SELECT id, grp, 0 AS lvl, 0 AS phase, pos, n, place, CASE WHEN tampered THEN other ELSE leaf END AS node, '' AS proof FROM ways
+  UNION ALL
+  SELECT c.id, c.grp, CASE WHEN c.n = 1 THEN 0 ELSE c.lvl + 1 END, CASE WHEN c.n = 1 THEN c.phase + 1 ELSE c.phase END,
+    CASE WHEN c.n = 1 THEN c.place ELSE c.pos // 2 END, CASE WHEN c.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (c.n + 1) // 2 END, c.place,
+    CASE WHEN c.n = 1 THEN c.node WHEN c.pos % 2 = 1 THEN sha256(coalesce(i.h, t.h) || c.node) ELSE sha256(c.node || coalesce(i.h, t.h, '')) END,
+    CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || coalesce(i.h, t.h, '') END
+  FROM climb c
+  LEFT JOIN inner_nodes i ON c.phase = 0 AND c.n > 1 AND i.grp = c.grp AND i.lvl = c.lvl AND i.pos = xor(c.pos, 1)
+  LEFT JOIN top_nodes t ON c.phase = 1 AND c.n > 1 AND t.lvl = c.lvl AND t.pos = xor(c.pos, 1)
+  WHERE c.phase < 2)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top_nodes WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+  node = (SELECT h FROM top_nodes WHERE n = 1) AS verified
+FROM ways JOIN climb USING (id) WHERE phase = 2"""
+
+
+@query(MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+# the token pattern of the contract; sha256 gives hexadecimal text
+MIDDLE_SQL = r"""WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+hashed AS (
+  SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+pieces AS (
+  SELECT *, array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(w[greatest(x, y) + 1:], '') AS s
+  FROM hashed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM pieces"""
+
+
+@query(MIDDLE_SQL)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
