@@ -135,6 +135,32 @@ def texts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     pa.default_memory_pool().release_unused()  # workers live on beside the next stage's
 
 
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A text column of UTF-8 bytes and row offsets."""
+    kind, width = (pa.string(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_string(), np.int64)
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows with equal first ``keys`` columns (whole numbers), one table each."""
+    held: list[pa.RecordBatch] = []
+    mark: tuple[int, ...] = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(keys)], axis=1)
+        borders = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        for a, b in zip(borders, borders[1:]):
+            now = tuple(values[a].tolist())
+            if held and now != mark:
+                yield mark, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            mark = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield mark, pa.Table.from_batches(held).combine_chunks()
+
+
 # ---------------------------------------------------------------- hashing
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -175,6 +201,14 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_sums`` for a row of 64-bit values, such as the hashes of words."""
+    powers, _ = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:])
+    return sums
+
+
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
     _, inverse = _powers(len(sums))

@@ -168,10 +168,6 @@ def _code_points(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
-
-
 def transform(docs: DataFrame, options: MiddleOptions = MiddleOptions()) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) of every row; the counts are null for plain texts."""
     common.bounded_batches(docs.sparkSession)
@@ -193,7 +189,7 @@ def transform(docs: DataFrame, options: MiddleOptions = MiddleOptions()) -> Data
                         pa.array(FORMS[made.form].tolist(), pa.string()),
                         pa.array(chars[:, 0].astype(np.int64), mask=plain),
                         pa.array(chars[:, 1].astype(np.int64), mask=plain),
-                        _strings(output, at).cast(pa.string()),
+                        common.strings(output, at),
                     ],
                     ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
                 )
@@ -214,7 +210,7 @@ def restored(made: DataFrame) -> DataFrame:
             for first, end, data, offsets in common.texts(batch.column(names.index("output"))):
                 text, at = restore(data, offsets, forms[first:end])
                 rows = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*rows.columns, _strings(text, at).cast(pa.string())], [*names, "text"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, common.strings(text, at)], [*names, "text"])
 
     return made.select(*names).mapInArrow(run, f"{kinds}, text string")
 

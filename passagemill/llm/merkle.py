@@ -152,39 +152,23 @@ def _appended(nodes: DataFrame, carry: list[str], height: int) -> tuple[DataFram
     types = {f.name: f.dataType for f in nodes.schema.fields}
     rows = nodes.select("tree", F.shiftright("pos", height).alias("block"), "total", "digest", "pos", *carry)
 
-    def done(tree: int, block: int, total: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        size = table.num_rows
-        grown = Append(size, height)
-        for leaf in table.column("digest").to_pylist():
-            grown.add(leaf)
-        root, levels = grown.close(height if total > width else None)
-        flat = grown.witness[:, :levels].reshape(size, -1)
-        witness = pa.array([w.tobytes() for w in flat], pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, tree)), pa.array(np.full(size, block)), pa.nulls(size, pa.int64()), witness, *[table.column(c).combine_chunks() for c in carry], pa.array(np.zeros(size, np.int32))],
-            ["tree", "block", "total", "bytes", *carry, "kind"],
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([tree]), pa.array([block]), pa.array([-(-total // width)]), pa.array([root], pa.binary()), *[pa.nulls(1, table.column(c).type) for c in carry], pa.array([1], pa.int32())],
-            ["tree", "block", "total", "bytes", *carry, "kind"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mark = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            borders = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(borders, borders[1:]):
-                if a == b:
-                    continue
-                if held and tuple(keys[a]) != mark:
-                    yield from done(*map(int, mark), held)
-                    held = []
-                mark = tuple(keys[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from done(*map(int, mark), held)
+        for (tree, block, total), table in common.grouped(batches, 3):
+            size = table.num_rows
+            grown = Append(size, height)
+            for leaf in table.column("digest").to_pylist():
+                grown.add(leaf)
+            root, levels = grown.close(height if total > width else None)
+            witness = pa.array([w.tobytes() for w in grown.witness[:, :levels].reshape(size, -1)], pa.binary())
+            carried = [table.column(c).combine_chunks() for c in carry]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, tree)), pa.array(np.full(size, block)), pa.nulls(size, pa.int64()), witness, *carried, pa.array(np.zeros(size, np.int32))],
+                ["tree", "block", "total", "bytes", *carry, "kind"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([tree]), pa.array([block]), pa.array([-(-total // width)]), pa.array([root], pa.binary()), *[pa.nulls(1, c.type) for c in carried], pa.array([1], pa.int32())],
+                ["tree", "block", "total", "bytes", *carry, "kind"],
+            )
 
     kinds = "".join(f"`{c}` {types[c].simpleString()}, " for c in carry)
     ordered = rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagemill.llm import chat, decontaminate, fill_middle, fingerprint, html_extract, language, merkle, mixing, ngram_join, quality, toxicity, training_order
+from passagemill.llm import chat, decontaminate, fill_middle, fingerprint, html_extract, language, merkle, mixing, ngram_join, quality, repeats, toxicity, training_order
 from passagemill.plans.registry import query
 
 
@@ -179,3 +180,22 @@ FROM pieces"""
 @query(MIDDLE_SQL)
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+REPEATS_SQL = r"""WITH words AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY id, i) AS place
+  FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+gone AS (SELECT DISTINCT id, unnest(range(i, i + 20)) AS i FROM runs WHERE place > 1),
+kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (id)"""
+
+
+@query(REPEATS_SQL)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
