@@ -184,13 +184,11 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPEATS_SQL = r"""WITH words AS (
   SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-runs AS (
-  SELECT id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY id, i) AS place
-  FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+spots AS (SELECT id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+texts AS (SELECT id, i, n, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run FROM spots),
+runs AS (SELECT id, i, row_number() OVER (PARTITION BY run ORDER BY id, i) AS place FROM texts WHERE i + 19 <= n),
 gone AS (SELECT DISTINCT id, unnest(range(i, i + 20)) AS i FROM runs WHERE place > 1),
-kept AS (
-  SELECT id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
-  FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN gone USING (id, i) GROUP BY id)
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM spots ANTI JOIN gone USING (id, i) GROUP BY id)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (id)"""
 
