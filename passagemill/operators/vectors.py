@@ -1,4 +1,4 @@
-"""Vector search: exact cosine top-k and a hashed-bucket approximation.
+"""Exact vector search: cosine top-k and score profiles.
 
 Vectors are ``array<float>`` or ``array<double>`` columns and are compared in
 double precision.  Scores are compared after rounding to 12 decimals, so equal
@@ -9,23 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TIE_DECIMALS = 12
-BLOCK_QUERIES = 1024
-
+from passagemill.operators import parts
+from passagemill.operators.parts import TIE_DECIMALS, matrix
 
-def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+BLOCK_QUERIES = 1024
 
 
 def _cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -99,51 +94,51 @@ def vector_faults(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def _blocks(queries: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries' ids and vectors, block by block; one block at a time is on the driver.
+@dataclass(frozen=True)
+class _Few:
+    """So few queries that every task of the collection gets them all: ids and vectors by size of the vectors."""
+
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, queries: DataFrame, limit: int) -> _Few | None:
+        """None for more than ``limit`` queries; no more than that are ever on the driver."""
+        rows = usable(queries.select(F.col("qid").cast("long").alias("qid"), "embedding")).limit(limit + 1).toArrow()
+        if rows.num_rows > limit:
+            return None
+        ids, vectors = rows["qid"].to_numpy(), rows["embedding"].to_pylist()
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        return cls({int(n): (ids[sizes == n], np.array([v for v in vectors if len(v) == n], float)) for n in np.unique(sizes)})
 
-    A block holds vectors of one size; queries without a usable vector are left out.
-    """
-    held: dict[int, list] = {}
-    for row in usable(queries.select("qid", "embedding")).toLocalIterator():
-        part = held.setdefault(len(row["embedding"]), [])
-        part.append(row)
-        if len(part) >= limit:
-            yield np.array([r["qid"] for r in part]), np.array([r["embedding"] for r in part], float)
-            part.clear()
-    for part in held.values():
-        if part:
-            yield np.array([r["qid"] for r in part]), np.array([r["embedding"] for r in part], float)
-
-
-def _each_block(queries: DataFrame, limit: int, scan, schema: str) -> DataFrame:
-    """What ``scan(qids, matrix)`` gives for each block of queries, together.
-
-    Every block reads the collection once more, which is never shuffled or copied.
-    """
-    parts = [scan(qids, matrix) for qids, matrix in _blocks(queries, limit)]
-    if not parts:
-        return queries.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, parts)
 
+def _of_size(rows: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of the rows ``(id, vector)`` whose vectors have ``n`` parts."""
+    fits = rows.filter(pc.equal(pc.list_value_length(rows.column(1)), n))
+    return fits.column(0).to_numpy(), matrix(fits.column(1))
 
-def _rank(partial: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.round("score", TIE_DECIMALS).desc(), "chunk_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def _vectors(table: DataFrame, key: str) -> DataFrame:
+    return usable(table.select(F.col(key).cast("long").alias("id"), F.col("embedding")))
 
-def _scan_with_batch(qids: np.ndarray, matrix: np.ndarray, collection: DataFrame, k: int, skip_same_id: bool) -> DataFrame:
-    """Every task scores its own vectors against one (bounded) block of queries and keeps k per query."""
 
-    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(qids), k)
-        for part in batches:
-            if part.num_rows:
-                vectors = _matrix(part.column(1))
-                best.add(_cosine(matrix, vectors), part.column(0).to_numpy(), qids if skip_same_id else None)
-        yield pa.RecordBatch.from_pandas(best.rows(qids), preserve_index=False)
+def _in_parts(queries: DataFrame, collection: DataFrame, work: parts.Work, schema: str) -> tuple[DataFrame, int]:
+    """``work`` for all queries in all parts of the collection, each table read and shuffled once; and the number of parts."""
+    held = _vectors(collection, "chunk_id")
+    count, dim = held.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    n = -(-count // parts.part_rows(dim)) if count else 1
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _vectors(queries, "qid").select(everywhere.alias("part"), "id", "embedding")
+    return parts.meet(held.select(parts.dealt(held, "id", n).alias("part"), "id", "embedding"), asked, work, schema), n
 
-    return usable(collection.select("chunk_id", "embedding"), matrix.shape[1]).mapInArrow(best_of_task, _PARTIAL)
+
+def _pairs(held: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(qids, queries, ids, vectors) of equal sizes, in steps whose scores fit in memory."""
+    for n in pc.unique(pc.list_value_length(asked.column(1))).to_pylist():
+        ids, vectors = _of_size(held, n)
+        qids, queries = _of_size(asked, n)
+        step = max(1, parts.PART_VALUES // max(1, len(ids)))
+        for k in range(0, len(qids) if len(ids) else 0, step):
+            yield qids[k : k + step], queries[k : k + step], ids, vectors
 
 
 def exact_topk(
@@ -155,30 +150,53 @@ def exact_topk(
 ) -> DataFrame:
     """``(qid, rank, chunk_id, score)``: the k most similar vectors of every query, exactly.
 
-    ``queries(qid, embedding)``, ``collection(chunk_id, embedding)`` with long ids.
-    The collection is read once for each block of ``max_broadcast_queries`` queries and
-    never shuffled.  Missing and misshapen vectors, of queries or of the collection, take no
-    part; ``vector_faults`` counts them.
+    ``queries(qid, embedding)``, ``collection(chunk_id, embedding)`` with long ids.  Up to
+    ``max_broadcast_queries`` queries are shipped to the tasks and the collection is not
+    shuffled; more queries meet the collection part by part.  Either way it is read once.
+    Missing and misshapen vectors, of queries or of the collection, take no part;
+    ``vector_faults`` counts them.
     """
-
-    def scan(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        return _scan_with_batch(qids, matrix, collection, k, skip_same_id)
-
-    partial = _each_block(queries, max_broadcast_queries, scan, _PARTIAL)
-    return _rank(partial, k).select("qid", "rank", "chunk_id", "score")
+    few = _Few.of(queries, max_broadcast_queries)
+
+    def past_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: _Best(len(qids), k) for n, (qids, _) in few.by_size.items()}
+        for batch in batches:
+            for n, (qids, asked) in few.by_size.items():
+                ids, vectors = _of_size(batch, n)
+                if len(ids):
+                    best[n].add(_cosine(asked, vectors), ids, qids if skip_same_id else None)
+        for n, (qids, _) in few.by_size.items():
+            yield pa.RecordBatch.from_pandas(best[n].rows(qids), preserve_index=False)
+
+    def in_part(part: int, held: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for qids, wanted, ids, vectors in _pairs(held, asked):
+            best = _Best(len(qids), k)
+            best.add(_cosine(wanted, vectors), ids, qids if skip_same_id else None)
+            found = best.rows(qids)
+            found.insert(1, "part", part)
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    if few is None:
+        partial, n = _in_parts(queries, collection, in_part, "qid long, part long, chunk_id long, score double")
+        ranked = parts.merged(partial, k, n)
+    else:
+        ranked = parts.rank_in(_vectors(collection, "chunk_id").mapInArrow(past_all, _PARTIAL), k, "qid")
+    return ranked.select("qid", "rank", "chunk_id", "score")
 
 
 _SUMS = "qid long, n long, total double, low double, high double"
 
 
-def _sums(qids: np.ndarray, scores: np.ndarray) -> dict:
-    return {
-        "qid": qids,
-        "n": np.full(len(qids), scores.shape[1]),
-        "total": scores.sum(axis=1),
-        "low": scores.min(axis=1),
-        "high": scores.max(axis=1),
-    }
+def _sums(qids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "qid": qids,
+            "n": np.full(len(qids), scores.shape[1]),
+            "total": scores.sum(axis=1),
+            "low": scores.min(axis=1),
+            "high": scores.max(axis=1),
+        }
+    )
 
 
 def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -186,16 +204,23 @@ def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queri
 
     Scores of all pairs are computed but only their sums leave a task.
     """
-
-    def block(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                if part.num_rows:
-                    yield pa.RecordBatch.from_pydict(_sums(qids, _cosine(matrix, _matrix(part.column(0)))))
-
-        return usable(collection.select("embedding"), matrix.shape[1]).mapInArrow(scan, _SUMS)
-
-    partial = _each_block(queries, max_broadcast_queries, block, _SUMS)
+    few = _Few.of(queries, max_broadcast_queries)
+
+    def past_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (qids, asked) in few.by_size.items():
+                _, vectors = _of_size(batch, n)
+                if len(vectors):
+                    yield _sums(qids, _cosine(asked, vectors))
+
+    def in_part(part: int, held: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for qids, wanted, _, vectors in _pairs(held, asked):
+            yield _sums(qids, _cosine(wanted, vectors))
+
+    if few is None:
+        partial, _ = _in_parts(queries, collection, in_part, _SUMS)
+    else:
+        partial = _vectors(collection, "chunk_id").mapInArrow(past_all, _SUMS)
     return partial.groupBy("qid").agg(
         F.sum("n").alias("n_vectors"),
         F.min("low").alias("min_score"),
@@ -204,81 +229,6 @@ def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queri
     )
 
 
-@dataclass(frozen=True)
-class BucketOptions:
-    """Random-projection buckets: ``tables`` of ``width`` projections each.
-
-    Wider tables and a smaller ``length`` (in standard deviations of a projection) give
-    smaller buckets and less work; more tables miss fewer neighbours.
-    """
-
-    tables: int = 16
-    width: int = 4
-    length: float = 2.0
-    seed: int = 7
-
-    def codes(self, vectors: np.ndarray) -> np.ndarray:
-        """One bucket code per vector and table; the same in every task."""
-        rng = np.random.default_rng(self.seed)
-        n, dim = vectors.shape
-        planes = rng.normal(size=(dim, self.tables * self.width))
-        shift = rng.uniform(0, self.length, self.tables * self.width)
-        mix = rng.integers(1, 2**62, self.width, dtype=np.int64)
-        sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
-        units = np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
-        cells = np.floor((units @ planes + shift) / self.length).astype(np.int64)
-        return (cells.reshape(n, self.tables, self.width) * mix).sum(axis=2)
-
-
-def _shared_buckets(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (query, vector) places that share a code in any table."""
-    pairs = []
-    for table in range(asked.shape[1]):
-        order = np.argsort(asked[:, table], kind="stable")
-        codes = asked[order, table]
-        low, high = (np.searchsorted(codes, held[:, table], side) for side in ("left", "right"))
-        many = high - low
-        vector = np.repeat(np.arange(len(held)), many)
-        nth = np.arange(len(vector)) - np.repeat(np.cumsum(many) - many, many)
-        pairs.append(vector * len(asked) + order[np.repeat(low, many) + nth])
-    found = np.unique(np.concatenate(pairs))
-    return found % len(asked), found // len(asked)
-
-
-def lsh_topk(
-    queries: DataFrame,
-    collection: DataFrame,
-    k: int,
-    buckets: BucketOptions = BucketOptions(),
-    max_broadcast_queries: int = BLOCK_QUERIES,
-) -> DataFrame:
-    """Approximate top-k: only vectors that share a bucket with a query are scored against it.
-
-    The collection is read and placed as in ``exact_topk``; a task looks its vectors'
-    codes up among the queries' instead of multiplying every pair.
-    """
-
-    def score(best: _Best, asked: np.ndarray, codes: np.ndarray, held: np.ndarray, ids: np.ndarray) -> None:
-        query, vector = _shared_buckets(codes, buckets.codes(held))
-        dots = np.einsum("ij,ij->i", asked[query], held[vector])
-        sizes = np.linalg.norm(asked, axis=1)[query] * np.linalg.norm(held, axis=1)[vector]
-        scores = np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)
-        best.push(query, ids[vector], np.round(scores, TIE_DECIMALS), scores)
-
-    def block(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, codes = _Best(len(qids), k), buckets.codes(matrix)
-            for part in batches:
-                if part.num_rows:
-                    score(best, matrix, codes, _matrix(part.column(1)), part.column(0).to_numpy())
-            yield pa.RecordBatch.from_pandas(best.rows(qids), preserve_index=False)
-
-        return usable(collection.select("chunk_id", "embedding"), matrix.shape[1]).mapInArrow(scan, _PARTIAL)
-
-    partial = _each_block(queries, max_broadcast_queries, block, _PARTIAL)
-    return _rank(partial, k).select("qid", "rank", "chunk_id", "score")
-
-
 def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query, the share of the true neighbours that were found."""
     hits = truth.select("qid", "chunk_id").join(

@@ -9,10 +9,11 @@ from passagemill.functions.prompts import NO_RESULTS, SYSTEM_RULES, parse_order
 from passagemill.functions.prompts import RERANK_HEAD, RERANK_PASSAGES, RERANK_TAIL_A, RERANK_TAIL_B
 from passagemill.operators import context as ctx
 from passagemill.operators import retrieval as rt
-from passagemill.operators import vectors
+from passagemill.operators import cells, vectors
 from passagemill.options import RetrievalOptions
 from passagemill.plans import tables as t
 from passagemill.plans.registry import query
+from passagemill.sources.sinks import scratch_dir
 
 DEFAULT = RetrievalOptions()
 
@@ -45,13 +46,58 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.select("qid", "n_vectors", *[F.round(c, 6).alias(c) for c in ("min_score", "mean_score", "max_score")])
 
 
+def own_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries of the index: every vector whose id is divisible by 50."""
+    held = t.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return held.select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def found_by_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, cells.Found]:
+    """The stated queries, the collection, and what a new index of it finds for them."""
+    queries, collection = own_queries(spark, sf_dir), t.vector_collection(spark, sf_dir)
+    path = scratch_dir(spark, "cells")
+    cells.build(collection, path)
+    return queries, collection, cells.search(spark, queries, path, DEFAULT.top_k)
+
+
 @query()
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the hashed search against the exact one, per query."""
-    queries, collection = search_inputs(spark, sf_dir)
-    truth = rt.dense_topk(queries, collection, DEFAULT)
-    found = vectors.lsh_topk(queries, collection, DEFAULT.top_k)
-    return vectors.recall_at_k(found, truth)
+    """Recall of the index against exact search, per query."""
+    queries, collection, found = found_by_cells(spark, sf_dir)
+    return vectors.recall_at_k(found.top, rt.dense_topk(queries, collection, DEFAULT))
+
+
+@query(
+    """SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, count(*) AS n_indexed, true AS recall_reached, true AS few_scored,
+    count(*) FILTER (vec_id % 50 = 0) AS found_itself FROM embeddings"""
+)
+def ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of at least 0.9 on average, with at most a fifth of all pairs scored by full vectors."""
+    queries, collection, found = found_by_cells(spark, sf_dir)
+    recall = vectors.recall_at_k(found.top, rt.dense_topk(queries, collection, DEFAULT))
+    itself = found.top.where("rank = 1").select("qid", (F.col("qid") == F.col("chunk_id")).alias("itself"))
+    n = collection.count()
+    per_query = recall.join(found.effort, "qid").join(itself, "qid")
+    return per_query.agg(
+        F.count("*").alias("n_queries"),
+        F.lit(n).cast("long").alias("n_indexed"),
+        (F.avg("recall") >= 0.9).alias("recall_reached"),
+        (F.sum("scored") <= 0.2 * n * F.count("*")).alias("few_scored"),
+        F.count_if("itself").alias("found_itself"),
+    )
+
+
+@query(
+    """SELECT qid, rank, chunk_id, round(score, 6) AS score FROM (
+      SELECT a.vec_id AS qid, b.vec_id AS chunk_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id)::INT AS rank
+      FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE rank <= 10"""
+)
+def all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's ten nearest others: the whole collection as one batch of queries."""
+    collection = t.vector_collection(spark, sf_dir)
+    queries = collection.withColumnRenamed("chunk_id", "qid")
+    return rounded(vectors.exact_topk(queries, collection, DEFAULT.top_k, max_broadcast_queries=0, skip_same_id=True))
 
 
 @query(

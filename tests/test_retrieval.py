@@ -6,7 +6,7 @@ from passagemill.functions.embed import embed_hashed, embedder, unit
 from passagemill.functions.prompts import NO_RESULTS, parse_order
 from passagemill.operators import context as ctx
 from passagemill.operators import retrieval as rt
-from passagemill.operators import vectors
+from passagemill.operators import cells, parts, vectors
 from passagemill.options import RetrievalOptions
 
 
@@ -117,16 +117,55 @@ def test_search_plan_neither_crosses_nor_shuffles_the_collection(fixture):
     assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan
 
 
-def test_lsh_finds_copies_and_counts_pairs_once(spark):
+@pytest.mark.parametrize("shape", ["spread", "clustered"])
+def test_index_finds_neighbours_in_the_cells_it_probes(spark, tmp_path, shape):
     rng = np.random.default_rng(0)
-    base = rng.normal(size=(300, 16))
-    collection = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "chunk_id long, embedding array<double>")
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base[:5])], "qid long, embedding array<double>")
-    found = vectors.lsh_topk(queries, collection, 5).collect()
-    assert {r.qid: r.chunk_id for r in found if r.rank == 1} == {i: i for i in range(5)}
-    assert len({(r.qid, r.chunk_id) for r in found}) == len(found)
-    far = vectors.lsh_topk(queries, collection, 5, max_broadcast_queries=2)
-    assert sorted((r.qid, r.rank, r.chunk_id) for r in far.collect()) == sorted((r.qid, r.rank, r.chunk_id) for r in found)
+    base = rng.normal(size=(3000, 16))
+    if shape == "clustered":
+        base = 4 * rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + base
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(5000, None), (5001, [1.0]), (5002, [float("nan")] * 16)]
+    collection = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = collection.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "qid")
+    cells.build(collection, f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index/rows")
+    assert sorted(r.chunk_id for r in stored.select("chunk_id").collect()) == list(range(3000))
+    found = cells.search(spark, queries, f"{tmp_path}/index", 10)
+    recall = vectors.recall_at_k(found.top, vectors.exact_topk(queries, collection, 10))
+    assert recall.agg(F.avg("recall")).first()[0] >= 0.9
+    effort = found.effort.agg(F.sum("coded"), F.sum("scored"), F.count("*")).first()
+    assert effort[2] == 60 and effort[1] <= 0.2 * 3000 * 60
+    if shape == "clustered":
+        assert effort[0] <= 0.2 * 3000 * 60
+    everywhere = cells.search(spark, queries, f"{tmp_path}/index", 10, probes=10_000)
+    exact = {(r.qid, r.rank): r.chunk_id for r in vectors.exact_topk(queries, collection, 10).collect()}
+    same = [exact[r.qid, r.rank] == r.chunk_id for r in everywhere.top.collect()]
+    assert len(same) == len(exact) == 600 and np.mean(same) > 0.99
+
+
+def test_index_of_an_empty_collection(spark, tmp_path):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
+    cells.build(none, f"{tmp_path}/index")
+    assert cells.search(spark, none.withColumnRenamed("chunk_id", "qid"), f"{tmp_path}/index", 3).top.count() == 0
+
+
+def test_many_queries_read_the_collection_once(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    collection = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 4)))], "chunk_id long, embedding array<double>")
+    collection = collection.unionByName(spark.createDataFrame([(900, [1.0, 0.0]), (901, [0.0, 2.0])], collection.schema))
+    collection.write.parquet(f"{tmp_path}/collection")
+    collection.withColumnRenamed("chunk_id", "qid").write.parquet(f"{tmp_path}/queries")
+    collection, queries = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("collection", "queries"))
+    want = {(r.qid, r.rank): r.chunk_id for r in vectors.exact_topk(queries, collection, 3).collect()}
+    many = vectors.exact_topk(queries, collection, 3, max_broadcast_queries=10)
+    assert {(r.qid, r.rank): r.chunk_id for r in many.collect()} == want
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # forty blocks of ten, one scan
+
+
+def test_lists_of_the_best_merge_in_steps(spark):
+    rows = [(q, p, 1000 * q + p, float((p * 7919) % 1000)) for q in range(3) for p in range(1000)]
+    lists = spark.createDataFrame(rows, "qid long, part long, chunk_id long, score double")
+    got = {(r.qid, r.rank): r.score for r in parts.merged(lists, 4, 1000).collect()}
+    assert got == {(q, k): 1000.0 - k for q in range(3) for k in range(1, 5)}
 
 
 def test_empty_collection_gives_the_fixed_context(spark, fixture):
@@ -177,7 +216,6 @@ def test_missing_and_misshapen_vectors_take_no_part(spark):
     assert tuple(vectors.vector_faults(collection, 2).first()) == (6, 2, 2)
     assert vectors.exact_topk(queries.where("qid < 0"), collection, 5).count() == 0
     assert vectors.score_profile(queries.where("qid < 0"), collection).count() == 0
-    assert vectors.lsh_topk(queries.where("qid < 0"), collection, 3).count() == 0
 
 
 def test_mmr_keeps_dense_order_where_a_vector_is_missing(spark):
