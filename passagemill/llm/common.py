@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ CHUNK_BYTES = 1 << 18  # of text that one vectorised step works on; a longer tex
 
 
 _LOCAL: list[str] = []  # the folder of a local session
+_NOTED: list[list[str]] = []  # one list for each ``noted_tables`` block that is open
 
 
 def _local_folder() -> str:
@@ -44,11 +46,34 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once and read back, so that later steps start from files all executors see."""
     path = shared_folder(df.sparkSession)
+    for noted in _NOTED:
+        noted.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, folders: list[str], unless_read_by: DataFrame | None = None) -> list[str]:
+    """Delete staged tables; those that a DataFrame still reads stay and are given back."""
+    read = unless_read_by.inputFiles() if unless_read_by is not None and folders else []
+    needed = [f for f in folders if any(f.rsplit("/", 1)[1] in path for path in read)]
+    for folder in set(folders) - set(needed):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return needed
+
+
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The folders of tables that are staged inside the ``with`` block."""
+    own: list[str] = []
+    _NOTED.append(own)
+    try:
+        yield own
+    finally:
+        _NOTED[:] = [x for x in _NOTED if x is not own]
+
+
 BATCH_ROWS = 1_000
 
 

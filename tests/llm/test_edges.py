@@ -174,3 +174,26 @@ def test_stages_keep_the_columns(spark, docs, labels, benchmark_items, tmp_path)
         out.count()
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_delete_what_earlier_ones_staged(spark, docs, labels, benchmark_items, tmp_path):
+    import corpus_pipeline
+    from passagemill.llm import common
+
+    with common.noted_tables() as outer:
+        with common.noted_tables() as inner:
+            kept = common.staged(spark.range(3))
+        gone = common.staged(spark.range(2))
+    assert len(inner) == 1 and len(outer) == 2 and set(inner) < set(outer)
+    assert common.drop_tables(spark, outer, unless_read_by=kept) == inner and kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(next(f for f in outer if f not in inner)).count()
+    del gone
+    docs.drop(*CLASH).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark_items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    last = list(corpus_pipeline._scratch)
+    assert last and all(spark.read.parquet(f) is not None for f in last)
+    corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert not set(last) & set(corpus_pipeline._scratch)
