@@ -16,6 +16,9 @@ results that the operators state.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from passagemill.llm import common, decontaminate, mixing, ngram_join, quality, training_order
@@ -48,19 +51,43 @@ def write_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return training_order.training_order(docs)
 
 
+_scratch: list[str] = []  # staged tables of the stages called so far
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what earlier ones staged: their results are written by then.
+
+    Tables that ``docs`` still reads, as it may if it was not written, stay.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch[:] = common.drop_tables(spark, _scratch, unless_read_by=docs)
+        with common.noted_tables() as made:
+            result = stage(spark, docs, sf_dir)
+        _scratch.extend(made)
+        return result
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", accept_quality),
-    ("n-gram jaccard join", drop_near_duplicates),
-    ("benchmark decontamination", cut_benchmark),
-    ("mixing sources", mix_sources),
-    ("token-id output", write_sequences),
+    ("quality classifier", _tidy(accept_quality)),
+    ("n-gram jaccard join", _tidy(drop_near_duplicates)),
+    ("benchmark decontamination", _tidy(cut_benchmark)),
+    ("mixing sources", _tidy(mix_sources)),
+    ("token-id output", _tidy(write_sequences)),
 ]
 
 ORACLE_SQL = None  # trees, tokenizer and permutation have no SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, held = _table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, common.staged(docs) if k else docs, sf_dir)
+        if k:
+            with common.noted_tables() as made:
+                docs = common.staged(docs)
+            held = common.drop_tables(spark, held) + made  # what the stage before read
+        docs = stage(spark, docs, sf_dir)
     return docs
