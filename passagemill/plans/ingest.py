@@ -138,7 +138,42 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_ingest.ingest_stream(
         shaped(t.as_files(stream)), target, sinks.scratch_dir(spark, "incremental-progress")
     )
-    return spark.read.parquet(target).select("doc_sha", "path")
+    return stream_ingest.read_committed(spark, target).select("doc_sha", "path")
+
+
+@query(
+    f"WITH {t.FILES}, h AS (SELECT path, lang, sha256(text) AS doc_sha, {KEY} AS k FROM files) "
+    "SELECT doc_sha, coalesce(arg_min(path, k) FILTER (lang = 'en'), arg_min(path, k)) AS path, true AS as_in_one_run FROM h GROUP BY doc_sha"
+)
+def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a first run and of a stream whose batch then runs again: each content once, cut as in one run.
+
+    The second try of the batch stands for a restart after the chunks were written.
+    """
+    target, progress = sinks.scratch_dir(spark, "replayed"), sinks.scratch_dir(spark, "replayed-progress")
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return jobs.hashed(df.select("path", "text"))
+
+    def build(df: DataFrame) -> DataFrame:
+        return jobs.text_chunks(df, ROOT).select("path", "doc_sha", "chunk_index", "text")
+
+    stream_ingest.append_new(shaped(t.files(spark, sf_dir).where(F.col("lang") == "en")), target, build, "first")
+    schema = t.table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream_ingest.ingest_stream(shaped(t.as_files(stream)), target, progress, build)
+    stream_ingest.append_new(shaped(t.files(spark, sf_dir)), target, build, stream_ingest.batch_name(progress, 0))
+
+    def marks(chunks: DataFrame) -> DataFrame:
+        mark = F.xxhash64("chunk_index", "text").cast("decimal(38,0)")
+        return chunks.groupBy("path").agg(F.count("*").alias("n"), F.sum(mark).alias("mark"))
+
+    taken = stream_ingest.ledger_of(target).hashes(spark).select("doc_sha", "path")
+    got = marks(stream_ingest.read_committed(spark, target))
+    want = marks(build(shaped(t.files(spark, sf_dir).join(taken.select("path"), "path", "left_semi"))))
+    both = taken.join(got.select("path", F.struct("n", "mark").alias("got")), "path", "left")
+    both = both.join(want.select("path", F.struct("n", "mark").alias("want")), "path", "left")
+    return both.select("doc_sha", "path", F.col("got").eqNullSafe(F.col("want")).alias("as_in_one_run"))
 
 
 @query(

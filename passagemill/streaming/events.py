@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passagemill.operators.conversations import ANSWER, CANCEL, COMPLETE, REASONING, RETRIEVE
 from passagemill.schemas import CHAT_EVENT
@@ -16,8 +14,13 @@ FOLDED = (
     "conversation_id string, turn_id long, context string, reasoning string, answer string, "
     "status string, input_tokens_used int, output_tokens_used int"
 )
-# Events seen so far, as parallel arrays, and the number of the closing event.
-STATE = "seqs array<long>, kinds array<string>, texts array<string>, last long, status string, tokens_in int, tokens_out int"
+Turn = Row(*(column.split()[0] for column in FOLDED.split(", ")))
+# What is known of an open turn: all numbers below ``upto`` came, of the later ones those in
+# ``beyond``; the closing event, if it came; when the turn is given up.
+OPEN = "upto long, beyond array<long>, last long, status string, tokens_in int, tokens_out int, timer long"
+PART = "seq long, kind string, text string"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -27,61 +30,72 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     )
 
 
-def _fold(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        seqs, kinds, texts, last, status, tokens_in, tokens_out = state.get
-        seqs, kinds, texts = list(seqs), list(kinds), list(texts)
-    else:
-        seqs, kinds, texts, last, status, tokens_in, tokens_out = [], [], [], -1, "", 0, 0
-    known = set(seqs)
-    for rows in batches:
-        for seq, kind, text, stat, t_in, t_out in zip(
-            rows["seq"], rows["type"], rows["content"], rows["status"], rows["tokens_in"], rows["tokens_out"]
-        ):
-            if int(seq) in known:  # delivered again
+class TurnFold(StatefulProcessor):
+    """Events of a turn are appended to a list; a small value beside it tells when the turn is whole."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN)
+        self.parts = handle.getListState("parts", PART)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.open.get()
+        upto, beyond, last, status, tokens_in, tokens_out, timer = held or (0, [], -1, "", 0, 0, None)
+        ahead, fresh = set(beyond), []
+        for r in rows:
+            if r.seq < upto or r.seq in ahead:  # delivered again
                 continue
-            known.add(int(seq))
-            seqs.append(int(seq))
-            kinds.append(kind)
-            texts.append(text)
-            if stat in (COMPLETE, CANCEL):
-                last, status, tokens_in, tokens_out = int(seq), stat, int(t_in), int(t_out)
-    # The closing event's number tells how many came before it, so events that
-    # arrive out of order are waited for.
-    if last >= 0 and sum(s <= last for s in known) > last:
-        # what is numbered after the closing event came too late to count
-        order = sorted((i for i in range(len(seqs)) if seqs[i] <= last), key=seqs.__getitem__)
-
-        def joined(kind: str) -> str:
-            return "".join(texts[i] for i in order if kinds[i] == kind)
-
-        context = [texts[i] for i in order if kinds[i] == RETRIEVE]
-        yield pd.DataFrame(
-            [[*key, context[-1] if context else "", joined(REASONING), joined(ANSWER), status, tokens_in, tokens_out]],
-            columns=[c.split()[0] for c in FOLDED.split(", ")],
-        )
-        state.remove()
-    else:
-        state.update((seqs, kinds, texts, last, status, tokens_in, tokens_out))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+            ahead.add(r.seq)
+            fresh.append((r.seq, r.type, r.content))
+            if r.status in (COMPLETE, CANCEL):
+                last, status, tokens_in, tokens_out = r.seq, r.status, r.tokens_in, r.tokens_out
+            while upto in ahead:
+                ahead.remove(upto)
+                upto += 1
+        # The closing event's number tells how many came before it, so events that
+        # arrive out of order are waited for; what is numbered after it does not count.
+        if last >= 0 and upto > last:
+            parts = sorted(p for p in [*fresh, *(self.parts.get() if held else [])] if p[0] <= last)
+            if held:
+                self._drop(timer)
+            context = [text for _, kind, text in parts if kind == RETRIEVE]
+            reasoning, answer = ("".join(text for _, kind, text in parts if kind == k) for k in (REASONING, ANSWER))
+            yield Turn(*key, context[-1] if context else "", reasoning, answer, status, tokens_in, tokens_out)
+        elif fresh:
+            self.parts.appendList(fresh)
+            if self.idle_ms is not None:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+                self.handle.registerTimer(timer)
+            self.open.update((upto, sorted(ahead), last, status, tokens_in, tokens_out, timer))
+
+    def _drop(self, timer: int | None) -> None:
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.open.clear()
+        self.parts.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._drop(None)
+        return iter(())
 
 
 def fold_event_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """One row per turn as soon as all its events are there; its state is then dropped.
 
-    The events carry no time, so state is bounded by the number of open turns
+    A turn whose events come in one micro-batch never enters the state store.  For any other
+    an event is appended, not rewritten; only the numbers that came out of order are kept
+    beside it.  The events carry no time, so state is bounded by the number of open turns
     rather than by a watermark.  An event delivered again is ignored by its number, one
     numbered after the closing event does not count.  What arrives for a turn that was
-    already given out is not emitted again.  A query that runs on sets ``idle_ms``: such
-    state, like that of a turn which never closes, is dropped after so long without events.
-    (With a timer a query always plans one more batch, so a run that stops at the end of
-    its input has none.)
+    already given out is not emitted again.  A query that runs on sets ``idle_ms``: a timer
+    drops such state, like that of a turn which never closes, after so long without events.
+    (With timers a query always plans one more batch, so a run that stops at the end of its
+    input has none.)
     """
     flat = events.selectExpr(
         "conversation_id",
@@ -93,19 +107,27 @@ def fold_event_stream(events: DataFrame, idle_ms: int | None = None) -> DataFram
         "coalesce(metadata.input_tokens_used, 0) as tokens_in",
         "coalesce(metadata.output_tokens_used, 0) as tokens_out",
     )
-    timer = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return flat.groupBy("conversation_id", "turn_id").applyInPandasWithState(
-        partial(_fold, idle_ms=idle_ms), FOLDED, STATE, "append", timer
-    )
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return flat.groupBy("conversation_id", "turn_id").transformWithState(TurnFold(idle_ms), FOLDED, "Append", mode)
 
 
 def run_to_table(folded: DataFrame, target: str, checkpoint: str) -> None:
-    """Process everything available, append to a Parquet table, stop."""
-    query = (
-        folded.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(target)
-    )
+    """Process everything available, append to a Parquet table, stop.
+
+    List state and timers need the RocksDB store; a query keeps the store that the session
+    names when it starts, so the session's own setting is put back at once.
+    """
+    conf = folded.sparkSession.conf
+    own = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (
+            folded.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(target)
+        )
+    finally:
+        conf.set(STATE_STORE, own) if own else conf.unset(STATE_STORE)
     query.awaitTermination()

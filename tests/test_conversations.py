@@ -51,8 +51,14 @@ def test_live_fold_waits_for_late_events(spark, tmp_path):
         return {r.turn_id: (r.context, r.reasoning, r.answer, r.status, r.input_tokens_used) for r in spark.read.parquet(target).collect()}
 
     assert run() == {2: ("ctx", "hmm", "Hello", "cancel", 3)}
-    spark.createDataFrame(stream(1, DONE)[1::2], CHAT_EVENT).coalesce(1).write.mode("append").json(source)
+    def left(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(progress).count()
+
+    assert left("open") == 1 and left("parts") == 4  # one turn is open
+    again = stream(1, DONE)[1::2] + stream(1, DONE)[:3] + [("c", 1, 9, "response", TEXT, "!", meta())]
+    spark.createDataFrame(again, CHAT_EVENT).coalesce(1).write.mode("append").json(source)
     assert run()[1] == ("ctx", "hmm", "Hello", "complete", 7)
+    assert left("open") == 0 and left("parts") == 0
 
 
 TURNS = "conversation_id string, turn_id long, question string, answer string, status string"
@@ -161,39 +167,65 @@ def test_answer_checks(spark):
     }
 
 
+class Kept:
+    """Value, list and timer state of one turn."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers = None, [], set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        kept = self
+
+        class Rows:
+            get = staticmethod(lambda: iter(kept.rows))
+            appendList = staticmethod(lambda rows: kept.rows.extend(rows))
+            clear = staticmethod(kept.rows.clear)
+
+        return Rows
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
 def test_a_turn_ignores_repeated_and_late_events():
-    import pandas as pd
-
-    from passagemill.streaming.events import _fold
-
-    class State:
-        exists, hasTimedOut, value, waits = False, False, None, None
-        get = property(lambda self: self.value)
-
-        def update(self, value):
-            self.exists, self.value = True, value
-
-        def remove(self):
-            self.exists, self.value = False, None
-
-        def setTimeoutDuration(self, ms):
-            self.waits = ms
-
-    def feed(state, *rows):
-        frame = pd.DataFrame(rows, columns=["seq", "type", "content", "status", "tokens_in", "tokens_out"])
-        return [r for out in _fold(("c", 1), iter([frame]), state, 500) for r in out.to_dict("records")]
-
-    text = "response.output_text.delta"
-    first, second = (0, text, "Hel", "running", 0, 0), (1, text, "lo", "running", 0, 0)
-    state = State()
-    assert feed(state, first, first) == [] and state.waits == 500
-    assert feed(state, (2, "", "", "complete", 5, 6), (3, text, "late", "running", 0, 0)) == []
-    (turn,) = feed(state, second, first)
-    assert turn["answer"] == "Hello" and (turn["input_tokens_used"], turn["output_tokens_used"]) == (5, 6)
-    assert not state.exists
-    assert feed(state, second) == [] and state.exists
-    state.hasTimedOut = True
-    assert feed(state) == [] and not state.exists
+    from pyspark.sql import Row
+
+    kept, now = Kept(), [0]
+    fold = live.TurnFold(500)
+    fold.init(kept)
+
+    class Clock:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: now[0])
+
+    def feed(*rows):
+        now[0] += 100
+        names = ("seq", "type", "content", "status", "tokens_in", "tokens_out")
+        return [tuple(r) for r in fold.handleInputRows(("c", 1), iter([Row(**dict(zip(names, r))) for r in rows]), Clock)]
+
+    first, second = (0, TEXT, "Hel", "running", 0, 0), (1, TEXT, "lo", "running", 0, 0)
+    assert feed(first, first) == [] and kept.timers == {600} and len(kept.rows) == 1
+    assert feed((2, "", "", "complete", 5, 6), (3, TEXT, "late", "running", 0, 0)) == []
+    assert kept.timers == {700} and kept.value[:3] == (1, [2, 3], 2)
+    assert feed(second, first) == [("c", 1, "", "", "Hello", "complete", 5, 6)]
+    assert kept.value is None and not kept.rows and not kept.timers
+    assert feed(second) == [] and kept.value is not None  # after the turn was given out
+    assert list(fold.handleExpiredTimer(("c", 1), None, None)) == [] and kept.value is None and not kept.rows
+    assert feed((1, "", "", "cancel", 1, 1), (0, TEXT, "x", "running", 0, 0)) == [("c", 1, "", "", "x", "cancel", 1, 1)]
 
 
 def test_times_are_utc_in_any_session_zone(spark):

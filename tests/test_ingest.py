@@ -155,6 +155,45 @@ def test_append_new_is_repeatable(spark, tmp_path):
     assert sorted(r.path for r in spark.read.parquet(target).collect()) == ["a", "c", "e"]
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from passagemill.streaming.ingest import ledger_of, read_committed
+
+    target = str(tmp_path / "t")
+    one = spark.createDataFrame([("a", "0" * 64), ("b", "0" * 64), ("c", "1" * 64)], "path string, doc_sha string")
+    two = spark.createDataFrame([("d", "1" * 64), ("e", "2" * 64)], "path string, doc_sha string")
+
+    def state():
+        hashes = sorted((r.batch, r.path, r.doc_sha[0], r.bucket) for r in ledger_of(target).hashes(spark).collect())
+        return sorted((r.batch, r.path) for r in read_committed(spark, target).collect()), hashes
+
+    append_new(one, target, batch="1")
+    append_new(two, target, batch="2")
+    want = state()
+    assert want[0] == [("1", "a"), ("1", "c"), ("2", "e")]
+    assert want[1] == [("1", "a", "0", "b00"), ("1", "c", "1", "b11"), ("2", "e", "2", "b22")]
+    for name, files in (("1", one), ("2", two), ("1", one)):
+        append_new(files, target, batch=name)
+        assert state() == want
+    # a batch that broke off after its rows were written is not seen, and takes its files when it runs again
+    spark.createDataFrame([("f", "3" * 64, "3")], "path string, doc_sha string, batch string").write.mode("append").partitionBy("batch").parquet(target)
+    assert state() == want
+    append_new(spark.createDataFrame([("f", "3" * 64), ("g", "2" * 64)], "path string, doc_sha string"), target, batch="3")
+    assert state()[0] == [*want[0], ("3", "f")]
+
+
+def test_filters_know_every_hash_and_few_others(spark, tmp_path):
+    from passagemill.streaming.ledger import Ledger
+
+    ledger = Ledger(str(tmp_path / "ledger"), digits=1)
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("doc_sha"))
+    ledger.commit(keys.where("path < 1000"), "x")
+    ledger.commit(keys.where("path >= 1000 and path < 2000"), "y")
+    known = {r.doc_sha for r in ledger.known(keys, "z").collect()}
+    assert known == {r.doc_sha for r in keys.where("path < 2000").collect()}
+    assert {r.doc_sha for r in ledger.known(keys, "y").collect()} == {r.doc_sha for r in keys.where("path < 1000").collect()}
+    assert Ledger(str(tmp_path / "none")).known(keys, "z").count() == 0
+
+
 def test_stats_sample_and_manifest(spark, tmp_path):
     chunks = spark.range(10).select(
         F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.repeat(F.lit("ab "), F.col("id").cast("int") + 1).alias("text"),
