@@ -76,6 +76,24 @@ def discover_skip_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", paths.sort_key(F.col("path")).alias("sort_key")).orderBy("sort_key")
 
 
+TREE_SQL = f"""WITH {t.FILES}, placed AS (
+  SELECT CASE doc_id % 5 WHEN 0 THEN '.kept/' WHEN 1 THEN '_drafts/' ELSE '' END || substr(path, {len(ROOT) + 2}) AS path, text FROM files)
+SELECT path, strlen(text) AS length, sha256(text) AS doc_sha FROM placed
+WHERE {EXT} IN ('.pdf', '.txt', '.md', '.docx') AND NOT starts_with({NAME}, '.')"""
+
+
+@query(TREE_SQL)
+def discover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, some below folders whose names start with a dot or underscore, then listed and read."""
+    root = sinks.scratch_dir(spark, "tree").removeprefix("file://").removeprefix("file:")
+    doc = F.col("doc_id")
+    folder = F.when(doc % 5 == 0, ".kept/").when(doc % 5 == 1, "_drafts/").otherwise("")
+    inner = F.substring("path", len(ROOT) + 2, 1 << 30)
+    files_src.write_files(t.files(spark, sf_dir).select(F.concat(folder, inner).alias("path"), F.col("text").cast("binary").alias("content")), root)
+    found = files_src.scan_tree(spark, root)
+    return found.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "length", identity.content_sha(F.col("content")).alias("doc_sha"))
+
+
 @query(
     f"WITH {t.FILES} SELECT path, text || chr(65533) || chr(10) || 'end' || chr(10) AS text FROM files WHERE {EXT} IN ('.md', '.txt')"
 )

@@ -2,36 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import paths
 from passagemill.functions.text import decode_lenient
 from passagemill.options import SKIP_DIRS, SUPPORTED_EXTENSIONS, IngestOptions
+from passagemill.sources.tree import registered
 
 
-def _any_case_glob(extensions: tuple[str, ...]) -> str:
-    names = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
-    return f"*{{{','.join(names)}}}"
+def scan_tree(
+    spark: SparkSession,
+    root: str,
+    extensions: tuple[str, ...] = SUPPORTED_EXTENSIONS,
+    content: bool = True,
+    hidden: bool = False,
+) -> DataFrame:
+    """Files below ``root`` with one of the suffixes in any case: ``path, modificationTime, length[, content]``.
 
+    The suffixes are matched while listing, so no other file's bytes are read.  Folders are
+    entered whatever their names; a file whose name starts with a dot counts only with ``hidden``.
+    """
+    return _tree(registered(spark).read, root, extensions, content, hidden)
 
-def scan_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = SUPPORTED_EXTENSIONS) -> DataFrame:
-    """Files below ``root`` with one of the suffixes in any case: ``path, modificationTime, length, content``.
 
-    The suffixes are matched while listing, so no other file's bytes are read.
+def stream_tree(
+    spark: SparkSession, root: str, extensions: tuple[str, ...] = SUPPORTED_EXTENSIONS, content: bool = True, hidden: bool = False
+) -> DataFrame:
+    """The same rows as a stream: files come when they are new or were changed."""
+    return _tree(registered(spark).readStream, root, extensions, content, hidden)
 
-    Spark's listing leaves out files and folders whose name starts with ``_`` or
-    ``.``; corpora that need them pass an explicit path table to ``discover``.
-    """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _any_case_glob(extensions))
-        .load(root)
-    )
-    return raw.select(
-        F.regexp_replace("path", r"^file:(?://)?", "").alias("path"), "modificationTime", "length", "content"
-    )
+
+def _tree(reader, root: str, extensions: tuple[str, ...], content: bool, hidden: bool) -> DataFrame:
+    options = {"extensions": ",".join(extensions), "content": content, "hidden": hidden}
+    return reader.format("tree").options(**options).load(root)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``files(path, content)`` below ``root``, by tasks in parallel; paths are relative. Returns how many."""
+    from passagemill.sources.tree import Rule
+
+    rule = Rule(root, (), True, False, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = rule.store()
+        made: set[str] = set()
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = f"{base}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(body or b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def discover(files: DataFrame, root: str, include_parsed: bool = False) -> DataFrame:

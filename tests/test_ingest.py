@@ -146,6 +146,41 @@ def test_write_append_delete(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(after).collect()) == ["a", "c"]
 
 
+def test_tree_goes_by_its_own_rule_and_streams_new_files(spark, tmp_path):
+    import os
+    import time
+
+    root = tmp_path / "in"
+
+    def put(name, body=b"x", age=10):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(body)
+        os.utime(root / name, (time.time() - age,) * 2)
+
+    for k in range(40):
+        put(f"d{k % 7}/e{k % 3}/f{k}.md", b"%d" % k)
+    for name in ("_a/x.md", ".b/y.TXT", "_z.md", ".dot.md", "c/.dot.md", "c/no.html"):
+        put(name)
+    names = lambda df: sorted(r.path[len(str(root)) + 1 :] for r in df.select("path").collect())
+    plain = sorted([f"d{k % 7}/e{k % 3}/f{k}.md" for k in range(40)] + ["_a/x.md", ".b/y.TXT", "_z.md"])
+    listed = files_src.scan_tree(spark, str(root), content=False)
+    assert listed.columns == ["path", "modificationTime", "length"] and names(listed) == plain
+    assert names(files_src.scan_tree(spark, f"file://{root}", hidden=True)) == sorted([*plain, ".dot.md", "c/.dot.md"])
+    assert {bytes(r.content) for r in files_src.scan_tree(spark, str(root)).where("path like '%/f%'").collect()} == {b"%d" % k for k in range(40)}
+    assert files_src.scan_tree(spark, str(tmp_path / "none")).count() == 0
+
+    def batch():
+        stream = files_src.stream_tree(spark, str(root), content=False).writeStream.format("parquet")
+        stream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return names(spark.read.parquet(str(tmp_path / "out")))
+
+    assert batch() == plain
+    time.sleep(1.2)
+    put("_a/new/n.md", age=-0.0)
+    time.sleep(1.2)
+    assert batch() == sorted([*plain, "_a/new/n.md"])
+
+
 def test_append_new_is_repeatable(spark, tmp_path):
     target = str(tmp_path / "t")
     files = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2")], "path string, doc_sha string")
