@@ -59,20 +59,19 @@ def embed_hashed(df: DataFrame, text: str = "text", output: str = "embedding", d
     return df.withColumn(output, word_bucket_counts(F.col(text), dim))
 
 
-def embedder(fn: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
-    """Wrap a batch model ``texts -> vectors`` as an Arrow function.
+def embedder(fn: Callable[[list[str]], list[list[float]]], batch: int = 256) -> Callable[[Column], Column]:
+    """Wrap a batch model ``texts -> vectors`` as an Arrow function of a column.
 
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` sets how many rows an Arrow
-    batch holds; the model is called in steps of 256 texts.
+    A call has at most ``batch`` texts of one Arrow batch; ``models.encoded`` fills calls up
+    across Arrow batches.
     """
-    step = 256
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         rows = texts.fillna("").tolist()
         vectors: list[list[float]] = []
-        for at in range(0, len(rows), step):
-            vectors.extend(fn(rows[at : at + step]))
+        for at in range(0, len(rows), batch):
+            vectors.extend(fn(rows[at : at + batch]))
         return pd.Series(vectors)
 
     return run

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions import paths
+from passagemill.functions import models, paths
 from passagemill.functions.embed import embed_hashed
+from passagemill.functions.prompts import question_prompt
 from passagemill.functions.text import LOW_QUALITY, clean_text, is_low_quality, let
 from passagemill.operators import audit, chunking, context, evaluation, identity, retrieval, transcript
 from passagemill.operators.carry import number_rows
@@ -173,9 +175,13 @@ def ingest(
     manifest: str | None = None,
     pages: DataFrame | None = None,
     paragraphs: DataFrame | None = None,
+    encoder: Callable[[], models.Encoder] | None = None,
 ) -> IngestResult:
     """Ingest files into an embedded chunk table.
 
+    Vectors come from ``embed``, or from the model that ``encoder`` makes, called with
+    ``options.embed_batch`` texts at a time.
+
     ``files(path, text[, content | doc_sha][, length][, parser])`` lists all files of the run;
     ``pages(path, page_number, text)`` and ``paragraphs(path, para_index, level, text)``
     hold the bodies of those whose text is null.  Copies are told by raw content over all
@@ -187,6 +193,9 @@ def ingest(
     """
     spark = files.sparkSession
     started = datetime.now(timezone.utc)
+    embedder = getattr(encoder or embed, "__name__", type(encoder or embed).__name__)
+    if encoder is not None:
+        embed = partial(models.encoded, make=encoder, batch=options.embed_batch)
     if options.limit:
         chosen = files_src.first_files(files.select("path"), options.limit)
         files = files.join(F.broadcast(chosen), "path", "left_semi")  # options.limit rows
@@ -231,7 +240,7 @@ def ingest(
         "target": {
             "table": target,
             "drop_old": drop_old,
-            "embedder": getattr(embed, "__name__", type(embed).__name__),
+            "embedder": embedder,
             "embed_batch": options.embed_batch,
         },
         "chunking": {
@@ -281,3 +290,25 @@ def recall_evaluation(
     asked = items.where(F.col("question").isNotNull()).select("qid", "question")
     details = evaluation.recall_hits(items, found(asked))
     return details, evaluation.recall_rate(details)
+
+
+def generated_recall(
+    sample: DataFrame,
+    make: Callable[[], models.Chat],
+    found: Callable[[DataFrame], DataFrame],
+    in_flight: int = 8,
+    retries: int = 2,
+    wait_s: float = 0.5,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(details, summary, failures)``: a recall run whose questions a model writes from the sampled chunks.
+
+    The replies are written once, as asking again may give others.  A chunk for which the
+    model failed is not asked about and lowers ``total``; ``failures(pk, failure)`` names it.
+    """
+    spark = sample.sparkSession
+    path = sinks.scratch_dir(spark, "questions")
+    prompts = sample.select("pk", question_prompt(F.col("text")).alias("prompt"))
+    models.answered(prompts, make, in_flight=in_flight, retries=retries, wait_s=wait_s).write.parquet(path)
+    replies = spark.read.parquet(path)
+    details, summary = recall_evaluation(sample, replies.select("pk", F.col("reply").alias("question")), found)
+    return details, summary, replies.where("reply is null").select("pk", "failure")

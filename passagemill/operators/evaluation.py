@@ -116,6 +116,16 @@ def qa_scorecard(probes: DataFrame) -> DataFrame:
     )
 
 
+def docx_probe_rate(probes: DataFrame, winners: DataFrame) -> DataFrame:
+    """``(metric, value)``: of the probes about Word files, the share that retrieved a chunk of one.
+
+    ``probes(qid)`` are those probes, ``winners(qid, source_ext)`` what was retrieved for any probe.
+    """
+    of_word = winners.where(F.lower("source_ext") == ".docx").select("qid").distinct().withColumn("met", F.lit(1.0))
+    met = probes.select("qid").join(of_word, "qid", "left")
+    return met.agg(F.avg(F.coalesce("met", F.lit(0.0))).alias("value")).select(F.lit("docx_probe_rate").alias("metric"), "value")
+
+
 def qa_acceptance(metrics: DataFrame) -> DataFrame:
     """``metrics(metric, value)`` against the fixed thresholds; a metric not measured fails."""
     spark = metrics.sparkSession

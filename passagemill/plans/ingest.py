@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill import jobs
-from passagemill.functions import embed, paths, text
+from passagemill.functions import embed, models, paths, text
 from passagemill.operators import audit, chunking, identity
 from passagemill.options import IngestOptions
 from passagemill.plans import tables as t
@@ -505,6 +505,39 @@ def ingest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- embedding and collection --------------------------------------------
 
+CALLED = 100  # texts a call
+
+
+def length_encoder():
+    """A stand-in for an embedding model: a text's length, its first letter, and how many texts the call had."""
+    return lambda texts: [[float(len(x)), float(ord(x[0]) if x else 0), float(len(texts))] for x in texts]
+
+
+@query(
+    "SELECT count(*) AS n_texts, count(*) AS own_vectors, true AS full_calls, "
+    "count(*) FILTER (length(text) > 300) AS long_texts FROM documents"
+)
+def encode_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text gets its own vector; but for the last ones of each task, calls have all the texts they may."""
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = F.col("embedding")
+    made = models.encoded(docs, length_encoder, batch=CALLED).withColumn("task", F.spark_partition_id())
+    first = F.coalesce(F.ascii(F.substring("text", 1, 1)), F.lit(0))
+    own = (F.get(v, F.lit(0)) == F.length("text")) & (F.get(v, F.lit(1)) == first)
+    per_task = made.groupBy("task").agg(
+        F.count("*").alias("n"),
+        F.count_if(own).alias("own"),
+        F.count_if(F.get(v, F.lit(2)) == CALLED).alias("full"),
+        F.count_if(F.get(v, F.lit(0)) > 300).alias("long"),
+    )
+    return per_task.agg(
+        F.sum("n").alias("n_texts"),
+        F.sum("own").alias("own_vectors"),
+        F.every(F.col("full") == F.col("n") - F.col("n") % CALLED).alias("full_calls"),
+        F.sum("long").alias("long_texts"),
+    )
+
+
 
 @query(
     f"WITH {t.word_counts_sql('dv', 'documents', 'doc_id', 'text')} "

@@ -187,3 +187,78 @@ def test_mixed_corpus_in_one_run(spark, tmp_path):
         ("one.md", "text"), ("two.md", "text"), ("three.md", "text"), ("deck.pdf", "pymupdf4llm"), ("same.docx", "docx-structured")
     }
     assert told["run"][0]["target"]["embedder"] == "embed_hashed"
+
+
+def test_answers_are_retried_and_failures_named(spark):
+    from passagemill.functions.models import answered
+
+    def make():
+        tries, made = {}, [0]
+        made[0] += 1
+
+        def ask(prompt):
+            tries[prompt] = tries.get(prompt, 0) + 1
+            if prompt == "never" or (prompt.startswith("late") and tries[prompt] < 3):
+                raise ValueError(f"try {tries[prompt]}")
+            return f"{prompt}!{made[0]}"
+
+        return ask
+
+    rows = [(1, "a"), (2, "never"), (3, None), (4, "late1"), (5, "late2")]
+    asked = spark.createDataFrame(rows, "id long, prompt string").coalesce(1)
+    got = {r.id: (r.reply, r.failure) for r in answered(asked, make, retries=2, wait_s=0.0).collect()}
+    assert got == {1: ("a!1", None), 2: (None, "ValueError: try 3"), 3: (None, "no prompt"), 4: ("late1!1", None), 5: ("late2!1", None)}
+    broken = answered(asked, lambda: 1 / 0, retries=0, wait_s=0.0).collect()
+    assert {r.failure for r in broken} == {"ZeroDivisionError: division by zero", "no prompt"}
+
+
+def test_calls_in_flight_are_bounded(spark):
+    from passagemill.functions.models import answered
+
+    def make():
+        import threading
+        import time
+
+        now, lock, most = [0], threading.Lock(), [0]
+
+        def ask(prompt):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.01)
+            with lock:
+                now[0] -= 1
+            return str(most[0])
+
+        return ask
+
+    replies = answered(spark.range(60, numPartitions=1).selectExpr("cast(id as string) prompt"), make, in_flight=4).collect()
+    assert 2 <= max(int(r.reply) for r in replies) <= 4 and [r.prompt for r in replies] == [str(k) for k in range(60)]
+
+
+@pytest.mark.parametrize("arrow", [7, 1000])
+def test_encoder_calls_are_filled_across_arrow_batches(spark, arrow):
+    from passagemill.functions.models import encoded
+
+    def make():
+        calls = [0]
+
+        def encode(texts):
+            calls[0] += 1
+            lengths = [len(t) for t in texts]
+            assert lengths == sorted(lengths)
+            return [[float(t[1:] or 0), float(len(texts)), float(calls[0])] for t in texts]
+
+        return encode
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, arrow)
+    try:
+        rows = spark.range(95, numPartitions=1).selectExpr("id", "concat('x', cast((id * 7919) % 1009 as string)) text")
+        got = encoded(rows.unionByName(spark.createDataFrame([(95, None)], rows.schema)).coalesce(1), make, batch=10, window=3).collect()
+    finally:
+        spark.conf.set(key, own)
+    assert [r.id for r in got] == list(range(96))
+    assert all(r.embedding[0] == (r.id * 7919 % 1009 if r.id < 95 else 0) for r in got)
+    assert sorted({r.embedding[2]: r.embedding[1] for r in got}.values()) == [6.0] + [10.0] * 9
