@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.llm import chat, decontaminate, fingerprint, html_extract, language, mixing, ngram_join, quality, toxicity, training_order
+from passagemill.llm import chat, decontaminate, fill_middle, fingerprint, html_extract, language, merkle, mixing, ngram_join, quality, repeats, toxicity, training_order
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that operators use inside themselves
-CLASH = ["score", "size", "place", "tie", "row", "_row", "spans", "items", "slice", "copy", "key", "class", "hash", "h", "epochs", "taken", "target", "part", "number", "host", "uid"]
+CLASH = ["score", "size", "place", "row", "_row", "spans", "items", "slice", "copy", "key", "class", "hash", "h", "epochs", "taken", "target", "part", "number", "host", "uid", "g", "digest", "leaf", "presented", "tree", "block", "pos", "total", "witness", "kind", "data", "extra", "form", "output", "tie"]
 
 
 def prose(k, n=60):
@@ -138,6 +138,38 @@ def test_fingerprints(docs):
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_manifest(docs):
+    rows = merkle.audit(docs).collect()
+    assert ids(merkle.audit(docs)) == WANT and len({r.root for r in rows}) == 1
+    assert len({r.subroot for r in rows}) == 4  # null, de, en, fr
+    five = [r for r in rows if r.doc_id == 5]
+    assert five[0].leaf == five[1].leaf
+    assert merkle.audit(docs.limit(0)).count() == 0
+    one = merkle.audit(docs.where("doc_id = 4")).first()
+    assert one.leaf == one.subroot == one.root == one.folded_root and one.verified
+    assert one.leaf == hashlib.sha256(b"1:41:b-1:00:").hexdigest() and one.proof_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_repeats(docs):
+    got = {r.doc_id: r for r in repeats.repeats(docs).collect()}
+    assert ids(repeats.repeats(docs)) == WANT
+    assert (got[1].n_removed, got[2].n_removed, got[2].kept) == (0, 60, "")
+    assert (got[3].n_words, got[4].n_words, got[3].kept) == (0, 0, "") and got[6].n_words == 3001
+    assert got[5].n_removed == 0 and got[5].kept == "One two"  # repeated, but shorter than a window
+    again = docs.unionByName(docs.where("doc_id is null"))
+    assert sorted(r.n_removed for r in repeats.repeats(again).where("doc_id is null").collect()) == [0, 60]
+    assert repeats.repeats(docs.limit(0)).count() == 0
+
+
+def test_middles(docs):
+    got = {r.doc_id: r for r in fill_middle.digests(docs).collect()}
+    assert ids(fill_middle.digests(docs)) == WANT
+    sha = lambda s: hashlib.sha256((s or "").encode()).hexdigest()
+    assert all(got[r[0]].restored_sha256 == sha(r[1]) for r in ROWS)
+    assert got[3].form == got[4].form == "plain" and got[3].prefix_chars is None and got[6].n == 3001
+    assert fill_middle.digests(docs.limit(0)).count() == 0
+
+
 def test_pages(spark):
     page = "<html><body><nav>menu</nav><article><h1>T &amp; T</h1><p>one<p>two<br>three</article><footer>f</footer></body></html>"
     rows = [(1, "http://a/x", page), (1, "http://a/x", page), (2, None, None), (3, "http://a/y", ""), (None, "b", "<p>plain</p>"), (5, "http://a/z", "<article>" + "<p>z</p>" * 20_000)]

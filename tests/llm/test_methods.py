@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.llm import chat, common, decontaminate, fingerprint, html_extract, language, mixing, ngram_join, queries, toxicity, training_order
+from passagemill.llm import chat, common, decontaminate, fill_middle, fingerprint, html_extract, language, merkle, mixing, ngram_join, queries, repeats, toxicity, training_order
 
 SF = "/root/testdata/sf0.001"
 
@@ -465,3 +466,168 @@ def test_templates_reach_no_attributes():
     with pytest.raises(chat.TemplateError):
         render("{{ a.upper }}", a="text")
     assert render("{{ a.__class__ }}", a={}) == ""
+
+
+# ---------------------------------------------------------------- Merkle manifest
+
+
+def hexed(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def tree_levels(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([hexed(*low[k : k + 2]) for k in range(0, len(low), 2)])
+    return levels
+
+
+def way(levels, at):
+    """(sibling or none, whether it stands on the left) on the way from a leaf to the root."""
+    out = []
+    for level in levels[:-1]:
+        other = at ^ 1
+        out.append((level[other] if other < len(level) else None, other < at))
+        at //= 2
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 8, 9, 31, 100])
+def test_streamed_appends_build_the_tree_and_its_witnesses(size):
+    leaves = [hashlib.sha256(b"%d" % k).digest() for k in range(size)]
+    grown = merkle.Append(size)
+    for leaf in leaves:
+        grown.add(leaf)
+        assert [h for h, *_ in grown.open] == sorted((h for h, *_ in grown.open), reverse=True)  # perfect subtrees of falling height
+    levels = tree_levels([x.hex() for x in leaves])
+    root, height = grown.close()
+    assert root.hex() == levels[-1][0] and height == len(levels) - 1
+    for k, leaf in enumerate(leaves):
+        witness = grown.witness[k, :height].tobytes()
+        assert merkle.fold(leaf, witness) == root
+        assert [s.hex() for s in merkle.siblings(witness)] == [s for s, _ in way(levels, k) if s]
+        if size > 1:
+            assert merkle.fold(bytes(32), witness) != root
+
+
+def audit_by_hand(rows):
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, more=0: hexed(*(field(v) for v in (r["doc_id"], r["source"], r["lang"], None if r["n_chars"] is None else r["n_chars"] + more, r["text"])))
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["lang"]].append((r["doc_id"] is not None, r["doc_id"] or 0, leaf(r), r))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in order:
+        groups[g].sort(key=lambda x: x[:3])
+        trees[g] = tree_levels([x[2] for x in groups[g]])
+    top = tree_levels([trees[g][-1][0] for g in order])
+    out = []
+    for place, g in enumerate(order):
+        for k, (_, _, own, r) in enumerate(groups[g]):
+            steps = way(trees[g], k) + way(top, place)
+            tampered = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0
+            node = leaf(r, 1) if tampered else own
+            for sibling, left in steps:
+                node = hexed(node) if sibling is None else hexed(sibling, node) if left else hexed(node, sibling)
+            out.append((str(r["doc_id"]), own, trees[g][-1][0], top[-1][0], hexed(*(s for s, _ in steps if s)), node, node == top[-1][0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("height", [1, 3, 10])
+def test_manifest_against_brute_force(spark, height):
+    docs = table(spark, "documents").unionByName(
+        spark.createDataFrame([(7, "x", None, None, None), (None, "ü", "", "s", 3), (7, "x", None, None, None), (14, None, "é", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    )
+    got = sorted((str(r.doc_id), r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in merkle.audit(docs, merkle.ManifestOptions(block_height=height)).collect())
+    want = audit_by_hand([r.asDict() for r in docs.collect()])
+    assert got == want and {r[-1] for r in want} == {True, False}
+
+
+# ---------------------------------------------------------------- repeated passages
+
+
+def removed_by_hand(rows, window):
+    """Words to remove of (key, words) rows, which come in their order."""
+    seen, gone = set(), []
+    for words in rows:
+        out = set()
+        for k in range(len(words) - window + 1):
+            run = tuple(words[k : k + window])
+            if run in seen:
+                out.update(range(k, k + window))
+            seen.add(run)
+        gone.append(out)
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    passages = [[f"p{i}w{rng.randrange(30)}" for _ in range(rng.randrange(8, 60))] for i in range(6)]
+    rows = []
+    for k in range(120):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(0, 3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(passages)[rng.randrange(5) :]
+        rows.append(words)
+    rows += [["a"] * 200, ["a", "b"] * 60, ["Ü\x00\x85"] * 25, rows[3], rows[3][:-1], [], ["one"]]
+    texts = [rng.choice([" ", "\n", " \t\x0b "]).join(w) for w in rows]
+    ids = list(range(len(texts)))
+    order = ids[:]
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(5)
+    options = repeats.RepeatOptions(block_bytes=3000, piece_bytes=700, shard_phrases=17, slot_bytes=2000)
+    got = {r.doc_id: r for r in repeats.repeats(docs, options).collect()}
+    for i, gone in zip(ids, removed_by_hand(rows, 20)):
+        assert (got[i].n_words, got[i].n_removed) == (len(rows[i]), len(gone)), i
+        assert got[i].kept == " ".join(w for k, w in enumerate(rows[i]) if k not in gone)
+        assert {k for s in got[i].removed for k in range(s.first, s.end)} == gone
+
+
+def test_automata_find_all_places_of_phrases():
+    rng = random.Random(4)
+    rows = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 50))) for _ in range(30)] + ["", "x  y\n" * 20]
+    options = repeats.RepeatOptions(window=6, phrase=4, shard_phrases=5)
+    words = repeats.Words.of(pa.array(rows))
+    phrases = repeats.Phrases.of(words, options)
+    flat = [w for r in rows for w in r.split()]
+    chosen = phrases.standing[::3]
+    patterns = {tuple(flat[k : k + 4]) for k in chosen}
+    found = repeats.located(words, phrases, chosen, options)
+    for k in range(len(flat)):
+        inside = k + 4 <= words.first[words.row[k] + 1]
+        assert (found[k] != np.iinfo(np.uint64).max) == (inside and tuple(flat[k : k + 4]) in patterns)
+
+
+# ---------------------------------------------------------------- fill in the middle
+
+
+def middle_by_hand(key, text):
+    text = text or ""
+    tokens = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    digest = hashlib.sha256(f"42:{key}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted(x % (len(tokens) + 1) for x in h[:2])
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(tokens), "plain", None, None, text
+    if h[3] % 100 < 80:
+        return len(tokens), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(tokens), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def test_middles_against_brute_force_and_back(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é中😀<<PSM>>  \t\n\x0b\x0c\r\x85") for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    texts += [None, "", " ", "<P", "<P>", "x" * 300_000, "ab " * 120_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = fill_middle.transform(docs)
+    for r in made.collect():
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == middle_by_hand(r.doc_id, texts[r.doc_id])
+    assert {r.doc_id: r.text for r in fill_middle.restored(made).collect()} == {k: t or "" for k, t in enumerate(texts)}
+    assert {r.form for r in made.collect()} == {"plain", "psm", "spm"}
+    with pytest.raises(ValueError):
+        fill_middle.restore(np.frombuffer(b"<P>a<M>b<S>c", np.uint8), np.array([0, 12]), np.array([fill_middle.PSM]))
