@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 CHUNK_BYTES = 1 << 18  # of text that one vectorised step works on; a longer text is a step of its own
 
 
@@ -74,6 +77,16 @@ def noted_tables() -> Iterator[list[str]]:
         _NOTED[:] = [x for x in _NOTED if x is not own]
 
 
+def shipped(spark: SparkSession, value: T) -> Callable[[], T]:
+    """A broadcast of any value, read by calling the result in a task.
+
+    Broadcasts name classes by their module, which workers may lack; this one carries the
+    code of the package's classes along.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 BATCH_ROWS = 1_000
 
 

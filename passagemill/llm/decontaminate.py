@@ -252,11 +252,11 @@ def _hits(words: np.ndarray, begin: np.ndarray, phrases: Phrases, options: Decon
 
 def _search(rows: DataFrame, phrases: Phrases, options: DecontaminateOptions) -> DataFrame:
     """Adds one block's findings: ``spans`` (first word and end of each occurrence) and ``items`` of every row."""
-    shared = rows.sparkSession.sparkContext.broadcast(phrases)
+    shared = common.shipped(rows.sparkSession, phrases)
     text, spans, items = (rows.columns.index(c) for c in ("text", "spans", "items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = shared()
         for batch in batches:
             for first, end, words, _, _, begin in _shards(batch.column(text), options.shard_words):
                 part = batch.slice(first, end - first)

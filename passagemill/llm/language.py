@@ -10,9 +10,11 @@ The automata are flattened into one table of transitions in which a missing one
 holds the restart, so a step is one look-up, and all pieces of a batch of documents step at
 once.  Whole texts are parsed, in pieces of ``piece`` letters that each begin a phrase.
 
-Learning reads at most ``per_language`` documents of each language, at most
-``per_document`` letters of each, and keeps ``reference`` letters a language,
-``all_references`` in all, which bounds the broadcast table.
+Learning takes at most ``per_language`` documents of each language.  Their whole texts are cut
+into excerpts of ``excerpt`` letters, and those that hash lowest make up the language's
+reference of at most ``reference`` letters, however many languages there are.  Automata of
+``block`` letters in all are broadcast at a time; further languages are parsed in further
+rounds, which carry the best cost of each document so far.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as is every
 text if nothing was learned; null ids are never learned from; an empty table stays empty.
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm import common
@@ -34,9 +36,9 @@ from passagemill.llm import common
 @dataclass(frozen=True)
 class LanguageOptions:
     per_language: int = 60  # documents of each language that are learned from
-    per_document: int = 4_000
+    excerpt: int = 400
     reference: int = 24_000
-    all_references: int = 400_000
+    block: int = 400_000  # letters of the references that are parsed against in one round
     piece: int = 512
     modulus: int = 4
     held_out: int = 2  # the remainder of crc32 that is never learned from
@@ -140,55 +142,129 @@ class Parser:
         found = np.stack([np.bincount(row, count[k], len(size)) for k in range(languages)]) if languages else np.zeros((0, len(size)))
         return found, size
 
-    def read(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The language and the score of each text."""
-        names, scores = [], []
-        for first, end, data, offsets in common.texts(column, 1 << 20):  # many pieces in step
-            if not self.names:
-                names += ["und"] * (end - first)
-                scores.append(np.zeros(end - first))
-                continue
-            count, size = self.phrases(data, offsets)
-            cost = count * self.bits[:, None] / np.maximum(size, 1)
-            best = cost.argmin(axis=0)
-            odds = np.exp2(-np.minimum(0.25 * (cost - cost.min(axis=0)) * np.minimum(size, 200), 60))
-            sure = odds[best, np.arange(len(best))] / odds.sum(axis=0)
-            plain = np.concatenate([[0], np.cumsum((common.LOWER[data] >= 0x61) & (common.LOWER[data] <= 0x7A))])[offsets]
-            spelled = np.diff(plain) > 0
-            for k in np.flatnonzero(~spelled & (size > 0)):  # no plain letter, but bytes that may be others
-                spelled[k] = any(map(str.isalpha, data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
-            names += [self.names[b] if s else "und" for b, s in zip(best, spelled)]
-            scores.append(np.where(spelled, sure, 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
-
-
-def train(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Parser:
-    """The automata of every language that the labelled documents outside the held-out part have."""
+
+def spelled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row has a letter of any script."""
+    plain = np.concatenate([[0], np.cumsum((common.LOWER[data] >= 0x61) & (common.LOWER[data] <= 0x7A))])[offsets]
+    out = np.diff(plain) > 0
+    for k in np.flatnonzero(~out & (np.diff(offsets) > 0)):  # no plain letter, but bytes that may be others
+        out[k] = any(map(str.isalpha, data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
+def weighed(parser: Parser, column: pa.Array, name: list, cost: np.ndarray, total: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """The best language of each text, its cost, and the sum of all languages' odds against it.
+
+    Goes on from those of earlier rounds; ``cost`` is infinite where there was none.
+    """
+    for first, end, data, offsets in common.texts(column, 1 << 20):  # many pieces in step
+        if not parser.names:
+            continue
+        count, size = parser.phrases(data, offsets)
+        costs = count * parser.bits[:, None] / np.maximum(size, 1)
+        own = slice(first, end)
+        best = costs.argmin(axis=0)
+        least = costs[best, np.arange(len(best))]
+        sharp = 0.25 * np.minimum(size, 200)
+        odds = lambda off: np.exp2(-np.minimum(sharp * off, 60))
+        lower = least < cost[own]  # a tie stays with the smaller name, which came before
+        new = np.minimum(least, cost[own])
+        with np.errstate(invalid="ignore"):
+            before = np.where(np.isinf(cost[own]), 0.0, total[own] * odds(np.where(np.isinf(cost[own]), 0.0, cost[own] - new)))
+        total[own] = before + odds(costs - new).sum(axis=0)
+        cost[own] = new
+        for k in np.flatnonzero(lower):
+            name[first + k] = parser.names[best[k]]
+    return name, cost, total
+
+
+@dataclass(frozen=True)
+class Languages:
+    """A reference of each language, bounded by ``LanguageOptions.reference`` bytes."""
+
+    references: dict[str, bytes]
+
+    def blocks(self, options: LanguageOptions) -> list[dict[str, bytes]]:
+        """The references in the order of names, ``options.block`` letters at a time."""
+        out: list[dict[str, bytes]] = [{}]
+        held = 0
+        for name in sorted(self.references):
+            if out[-1] and held + len(self.references[name]) > options.block:
+                out.append({})
+                held = 0
+            out[-1][name] = self.references[name]
+            held += len(self.references[name])
+        return out
+
+
+def train(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Languages:
+    """References of every language that the labelled documents outside the held-out part have."""
     common.bounded_batches(docs.sparkSession)
     key = common.crc_remainder(F.col("doc_id"), options.modulus)
     known = docs.where(F.col("lang").isNotNull() & (key != options.held_out)).select("doc_id", "lang").distinct()
     chosen = common.bounded_sample(known, "lang", options.per_language)
-    read = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).where("text <> ''")
-    read = read.groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, options.per_document)).alias("text"))
-    rows = read.orderBy("lang", F.xxhash64(F.lit(17), "doc_id"), "doc_id").select("lang", "text").toArrow()
-    share = max(1, min(options.reference, options.all_references // max(1, len(set(rows["lang"].to_pylist())))))
-    references: dict[str, bytes] = {}
-    for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist()):
-        stream, _ = common.letters(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
-        if len(stream):
-            references[lang] = (references.get(lang, b"") + stream.tobytes())[:share]
-    return Parser.of(references, options.piece)
-
-
-def predictions(docs: DataFrame, parser: Parser, options: LanguageOptions = LanguageOptions()) -> DataFrame:
+    read = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).where("text <> ''")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in common.texts(batch.column(2)):
+                stream, ends = common.letters(data, offsets)
+                size = np.diff(ends)
+                excerpts = -(-size // options.excerpt)
+                row = np.repeat(np.arange(len(size)), excerpts)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(excerpts) - excerpts, excerpts)
+                start = ends[:-1][row] + place * options.excerpt
+                end = np.minimum(start + options.excerpt, ends[1:][row])
+                taken = pa.array(first + row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(place), pa.array([stream[a:b].tobytes() for a, b in zip(start, end)], pa.binary())],
+                    ["doc_id", "lang", "place", "excerpt"],
+                )
+
+    excerpts = read.mapInArrow(cut, f"doc_id {kind}, lang string, place long, excerpt binary").distinct()
+    draw = F.xxhash64(F.lit(17), "doc_id", "place")
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id", "place", "excerpt")
+    few = excerpts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= -(-options.reference // options.excerpt))
+    rows = few.orderBy("lang", "nth").select("lang", "excerpt").toArrow()  # one reference a language
+    references: dict[str, list[bytes]] = {}
+    for lang, excerpt in zip(rows["lang"].to_pylist(), rows["excerpt"].to_pylist()):
+        references.setdefault(lang, []).append(excerpt)
+    return Languages({lang: b"".join(parts) for lang, parts in references.items()})
+
+
+def predictions(docs: DataFrame, languages: Languages, options: LanguageOptions = LanguageOptions()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(parser)
+    held = F.coalesce(common.crc_remainder(F.col("doc_id"), options.modulus) == options.held_out, F.lit(False))
+    rows = docs.select("doc_id", held.alias("held_out"), "text", F.lit("und").alias("lang_pred"), F.lit(float("inf")).alias("cost"), F.lit(0.0).alias("total"))
+    key = docs.schema["doc_id"].dataType.simpleString()
+    blocks = languages.blocks(options)
+    for k, references in enumerate(blocks):
+        rows = _round(common.staged(rows) if k else rows, Parser.of(references, options.piece), key, last=k == len(blocks) - 1)
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _round(rows: DataFrame, parser: Parser, key: str, last: bool) -> DataFrame:
+    """One round over all documents; the last one gives scores in place of texts."""
+    shared = common.shipped(rows.sparkSession, parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
         for batch in batches:
-            names, score = model.value.read(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            text = batch.column(2)
+            cost, total = (batch.column(k).to_numpy().copy() for k in (4, 5))
+            name, cost, total = weighed(own, text, batch.column(3).to_pylist(), cost, total)
+            columns, names = [batch.column(0), batch.column(1)], ["doc_id", "held_out"]
+            if last:
+                data, offsets = common.utf8(text)
+                written = spelled(data, offsets) & np.isfinite(cost)
+                name = [n if w else "und" for n, w in zip(name, written)]
+                score = np.where(written, 1 / np.maximum(total, 1), 0.0)
+                columns += [pa.array(name, pa.string()), pa.array(score)]
+                names += ["lang_pred", "score"]
+            else:
+                columns += [text, pa.array(name, pa.string()), pa.array(cost), pa.array(total)]
+                names += ["text", "lang_pred", "cost", "total"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    held = F.coalesce(common.crc_remainder(F.col("doc_id"), options.modulus) == options.held_out, F.lit(False))
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {key}, held_out boolean, " + ("lang_pred string, score double" if last else "text string, lang_pred string, cost double, total double"))

@@ -193,11 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityO
 
 def scores(docs: DataFrame, forest: Forest, options: QualityOptions = QualityOptions()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = common.shipped(docs.sparkSession, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
-            score = model.value.score(statistics(batch.column(2)))
+            score = model.score(statistics(batch.column(2)))
             columns = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= options.accept).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
@@ -208,11 +209,12 @@ def scores(docs: DataFrame, forest: Forest, options: QualityOptions = QualityOpt
 
 def accepted(docs: DataFrame, forest: Forest, options: QualityOptions = QualityOptions()) -> DataFrame:
     """The rows, with all their columns, whose score is at least ``options.accept``."""
-    model = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = common.shipped(docs.sparkSession, forest)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
-            yield batch.filter(pa.array(model.value.score(statistics(batch.column(place))) >= options.accept))
+            yield batch.filter(pa.array(model.score(statistics(batch.column(place))) >= options.accept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -156,11 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    shared, options = docs.sparkSession.sparkContext.broadcast(model), model.options
+    shared, options = common.shipped(docs.sparkSession, model), model.options
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
         for batch in batches:
-            score = shared.value.score(batch.column(2))
+            score = own.score(batch.column(2))
             columns = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= options.accept).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 

@@ -1,6 +1,7 @@
 """The operators' methods against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -296,6 +297,57 @@ def test_automaton_accepts_just_the_substrings():
     assert all(accepts(s) == (s in inside) for s in [*inside, *every])
 
 
+def test_languages_beyond_one_block_are_parsed_in_rounds(spark):
+    docs = table(spark, "documents")
+    learned = language.train(docs)
+    assert all(20_000 < len(r) <= 24_000 for r in learned.references.values()) and len(learned.references) > 2
+    one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predictions(docs, learned).collect()}
+    small = language.LanguageOptions(block=30_000)
+    assert len(learned.blocks(small)) == len(learned.references)
+    many = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predictions(docs, learned, small).collect()}
+    assert many == one
+
+
+def test_junk_tags_do_not_shrink_the_languages(spark):
+    docs = table(spark, "documents")
+    held = docs.where("crc32(cast(doc_id as string)) % 4 = 2 and lang is not null and length(text) > 20")
+    junk = spark.range(300).selectExpr("id + 1000000 doc_id", "concat('qx', id, ' zw', id) text", "concat('tag', id) lang", "'s' source", "1L n_chars")
+    learned = language.train(docs.unionByName(junk))
+    assert learned.references.keys() >= language.train(docs).references.keys()
+    assert all(len(learned.references[k]) == len(r) for k, r in language.train(docs).references.items())
+    told = language.predictions(held, learned).join(held.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in told) >= 0.97 * len(told)
+
+
+def test_operators_run_on_workers_that_lack_the_package(tmp_path):
+    import subprocess
+    import sys
+    import textwrap
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    script = tmp_path / "run.py"
+    script.write_text(
+        textwrap.dedent(
+            f"""
+            import sys
+            sys.path.insert(0, {str(repo)!r})
+            from pyspark.sql import SparkSession
+            spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+            spark.sparkContext.setLogLevel("OFF")
+            import __spark_entry__ as entry
+            for name, query in entry.queries().items():
+                if name[:2] == "op" and name[2].isdigit():
+                    assert query(spark, {SF!r}).count() > 0
+                    print("ran", name)
+            """
+        )
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.stdout.count("ran op") == 13, done.stderr[-3000:]
+
+
 def test_phrases_against_longest_matches():
     parser = language.Parser.of({"x": b" the cat sat on the mat", "y": b" der hund und die katze"}, 16)
     texts = ["The cat, the hat!", "katze", "zzz", "", "on the mat the cat sat on der hund"]
