@@ -77,9 +77,18 @@ def judged_files(kept: DataFrame, options: IngestOptions) -> DataFrame:
     return chunking.chunk_arrays(accepted, options).withColumnRenamed("_chunks", "chunks")
 
 
+def settled(files: DataFrame, options: IngestOptions) -> tuple[DataFrame, DataFrame]:
+    """``(kept, copies)`` of routed files: one pass hashes them and writes (path, doc_sha, parser), the next reads what is kept."""
+    rows = routed(files, options)
+    at = sinks.scratch_dir(files.sparkSession, "file-keys")
+    rows.select("path", "doc_sha", "parser").write.parquet(at)
+    keys = files.sparkSession.read.parquet(at)
+    return identity.split_copies(rows, keys=keys)
+
+
 def file_rows(files: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
     """``judged_files`` of the first file of each content, and the copies with their reason."""
-    kept, copies = identity.split_copies(routed(files, options))
+    kept, copies = settled(files, options)
     judged = judged_files(kept, options)
     return judged.unionByName(copies.select("path", "doc_sha", "parser", "reason"), allowMissingColumns=True)
 
@@ -203,7 +212,7 @@ def ingest(
     if pages is not None:
         bodies = pages_src.pages_to_markdown(pages).select("path", F.col("text").alias("_body"))
         inputs = inputs.join(bodies, "path", "left").withColumn("text", F.coalesce("text", "_body")).drop("_body")
-    kept, copies = identity.split_copies(routed(inputs, options))
+    kept, copies = settled(inputs, options)
     staged = sinks.scratch_dir(spark, "staged-files")
     typed = F.lit(False) if paragraphs is None else (paths.extension(F.col("path")) == ".docx") & F.col("text").isNull()
     judged = judged_files(kept.where(~typed), options)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import paths
 from passagemill.functions.text import garbage_fraction
+from passagemill.sources import sinks
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -41,45 +46,66 @@ def file_summary(files: DataFrame, chunks: DataFrame, root: str | None = None) -
     )
 
 
-SAMPLE_BOUNDS = 200
+CELL_PATHS = 10_000  # paths of a cell that is no longer refined but sorted
+MORE = 3  # characters by which a cell's prefix grows
+
+
+@dataclass(frozen=True)
+class _Cell:
+    """The paths whose keys start with ``prefix``, or the one that it names: the place of the first chunk, and how long the next prefixes are."""
+
+    prefix: str
+    start: int
+    length: int
+    whole: bool = False  # ``prefix`` is a key
+
+    def holds(self, key: Column) -> Column:
+        return key == self.prefix if self.whole else key.startswith(self.prefix)
 
 
-def sample_chunks(chunks: DataFrame, sample: int = 3) -> DataFrame:
+def _refined(counts: DataFrame, cells: list[_Cell], places: list[int]) -> tuple[list[_Cell], int]:
+    """The cells within the given ones that hold a wanted place, and the most paths that one of them has."""
+    key = F.col("key")
+    case = lambda value: reduce(lambda w, c: w.when(c.holds(key), value(c)), cells[1:], F.when(cells[0].holds(key), value(cells[0])))
+    fine = counts.select("n", "key", case(lambda c: F.lit(c.start)).alias("parent"), case(lambda c: F.substring(key, 1, c.length)).alias("cell")).where("parent is not null")
+    sums = fine.groupBy("parent", "cell").agg(F.sum("n").alias("n"), F.count("*").alias("paths"), F.min("key").alias("low"), F.max("key").alias("high"))
+    before = Window.partitionBy("parent").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("start", F.col("parent") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = F.array(*[F.lit(p).cast("long") for p in places])
+    hit = placed.where(F.exists(wanted, lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n")))).collect()  # one for each place at most
+    found = [_Cell(r["cell"], r["start"], len(os.path.commonprefix([r["low"], r["high"]])) + MORE, r["low"] == r["high"] == r["cell"]) for r in hit]
+    return found, max((r["paths"] for r in hit), default=0)
+
+
+def sample_chunks(chunks: DataFrame, sample: int = 3, cell_paths: int = CELL_PATHS) -> DataFrame:
     """Chunks at a fixed stride over the whole corpus in path order, ``sample`` of them.
 
-    ``chunks`` holds ``path, chunk_index`` (numbered from 0 within a path).  The
-    corpus is never numbered in one task: paths are counted, cut into ranges at
-    (at most 200) sampled paths, and only the ranges that hold a wanted place are
-    sorted, path by path.
+    ``chunks`` holds ``path, chunk_index`` (numbered from 0 within a path).  Nothing is sorted
+    as a whole: chunks are counted per path, the counts are summed by prefixes of the paths'
+    keys, and only the cells that hold a wanted place are summed again by longer prefixes,
+    until one has at most ``cell_paths`` paths.  Those are sorted, a cell in a task.
     """
-    key = paths.sort_key(F.col("path"))
-    counts = chunks.groupBy("path").agg(F.count("*").alias("n")).withColumn("key", key)
-    # The smallest hashes are a fixed random sample, and few by construction.
-    bounds = sorted(r.key for r in counts.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_BOUNDS).collect())
-    if not bounds or sample < 1:
+    spark = chunks.sparkSession
+    at = sinks.scratch_dir(spark, "path-counts")
+    chunks.groupBy("path").agg(F.count("*").alias("n")).withColumn("key", paths.sort_key(F.col("path"))).write.parquet(at)
+    counts = spark.read.parquet(at)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    step = max(1, total // max(1, sample))
+    places = [k * step for k in range(sample) if k * step < total]
+    if not places:
         return chunks.withColumn("place", F.lit(None).cast("long")).limit(0)
-    limits = F.array(*[F.lit(b) for b in bounds])
-    ranged = counts.withColumn("range", F.size(F.filter(limits, lambda b: b <= F.col("key"))))
-
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = ranged.groupBy("range").agg(F.sum("n").alias("n")).select(
-        "range",
-        "n",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
-        F.greatest(F.lit(1), F.floor(F.sum("n").over(whole) / sample)).cast("long").alias("step"),
-    )
-    places = F.transform(F.sequence(F.lit(0), F.lit(sample - 1)), lambda i: i * F.col("step"))
-
-    def inside(start: Column) -> Column:
-        return F.filter("places", lambda p: (p >= start) & (p < start + F.col("n")))
-
-    hit = starts.withColumn("places", places).withColumn("places", inside(F.col("start"))).where(F.size("places") > 0)
-    in_range = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    cells, most = _refined(counts, [_Cell("", 0, 0)], places)
+    while most > cell_paths:
+        cells, most = _refined(counts, cells, places)
+    own = F.coalesce(*[F.when(c.holds(F.col("key")), F.lit(c.start)) for c in cells])
+    in_cell = Window.partitionBy("start").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n").over(in_cell), F.lit(0))
+    inside = F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (p >= F.col("first")) & (p < F.col("first") + F.col("n")))
     wanted = (
-        ranged.join(F.broadcast(hit.select("range", "start", "places")), "range")
-        .withColumn("first", F.col("start") + F.coalesce(F.sum("n").over(in_range), F.lit(0)))
-        .select("path", "first", F.explode(inside(F.col("first"))).alias("place"))
+        counts.withColumn("start", own)
+        .where("start is not null")
+        .withColumn("first", first)
+        .select("path", "first", F.explode(inside).alias("place"))
         .select("path", (F.col("place") - F.col("first")).cast("int").alias("chunk_index"), "place")
     )
     # At most ``sample`` rows, so this side is small by construction.

@@ -23,15 +23,21 @@ def first_copies(files: DataFrame, path: str = "path", sha: str = "doc_sha") ->
     return files.groupBy(sha).agg(key.alias("first")).select(F.col("first.p").alias(path))
 
 
-def split_copies(files: DataFrame, path: str = "path", sha: str = "doc_sha") -> tuple[DataFrame, DataFrame]:
+def split_copies(
+    files: DataFrame, path: str = "path", sha: str = "doc_sha", keys: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(kept, copies)``: the first file of each content in path order, and the rest.
 
     The copies are settled on paths and hashes alone; then only their paths, usually few,
     meet the files.  Adaptive execution broadcasts them where their measured size allows,
     and texts are not shuffled.  Joins are on the path, which is unique: no task sees all
     copies of a content.
+
+    ``keys`` are the files' paths and hashes where they are written already, with what else
+    the copies should have; without them every use of the result hashes the files again.
     """
-    again = files.select(path).join(first_copies(files, path, sha), path, "left_anti")
+    told = files if keys is None else keys
+    again = told.select(path).join(first_copies(told, path, sha), path, "left_anti")
     kept = files.join(again, path, "left_anti")
-    copies = files.join(again, path, "left_semi").withColumn("reason", F.lit(DUPLICATE))
+    copies = told.join(again, path, "left_semi").withColumn("reason", F.lit(DUPLICATE))
     return kept, copies

@@ -630,6 +630,31 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.where("kind <> 'run'").select("kind", "path", field("sha256"), field("reason"))
 
 
+@query(
+    f"""WITH {t.CORPUS},
+    numbered AS (SELECT path, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY {KEY}) AS n FROM corpus),
+    cleaned AS (SELECT path, n, {clean_sql('text')} AS text FROM numbered),
+    judged AS (SELECT n > 1 OR {low_quality_sql('text', EXT)} AS skipped FROM cleaned)
+    SELECT count(*) AS files_discovered, count(*) FILTER (NOT skipped) AS files_ingested, count(*) FILTER (skipped) AS files_skipped,
+      1800::BIGINT AS chunk_size, 250::BIGINT AS overlap, 256::BIGINT AS embed_batch, true AS chunks_add_up, true AS all_written FROM judged"""
+)
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run row of a whole run: what it counted, and whether that agrees with its file records and its chunk table."""
+    target = sinks.scratch_dir(spark, "run")
+    records = jobs.ingest(t.corpus(spark, sf_dir).select("path", "text"), target, ROOT).records
+    number = lambda field: F.get_json_object("record", f"$.{field}").cast("long")
+    of_files = records.where("kind = 'file'").agg(F.sum(number("chunks")).alias("told"))
+    stored = spark.read.parquet(target).agg(F.count("*").alias("stored"))
+    fields = ["totals.files_discovered", "totals.files_ingested", "totals.files_skipped", "chunking.chunk_size", "chunking.overlap", "target.embed_batch"]
+    head = records.where("kind = 'run'").select(
+        *[number(f).alias(f.rsplit(".", 1)[1]) for f in fields], number("totals.chunks").alias("chunks"), number("totals.chunks_written").alias("written")
+    )
+    one = F.lit(1).alias("one")
+    whole = head.select("*", one).join(of_files.select("told", one), "one").join(stored.select("stored", one), "one")
+    agree = [(F.col("chunks") == F.col("told")).alias("chunks_add_up"), ((F.col("written") == F.col("stored")) & (F.col("chunks") == F.col("stored"))).alias("all_written")]
+    return whole.select(*[f.rsplit(".", 1)[1] for f in fields], *agree)
+
+
 @query(
     f"""WITH {KEPT_LINES}, ordered AS (
       SELECT path, chunk_index, line AS text, row_number() OVER (ORDER BY {KEY}, chunk_index) - 1 AS place,

@@ -269,6 +269,22 @@ def test_delete_in_place_leaves_other_partitions_alone(spark, tmp_path):
     assert sinks.delete_in_place(spark, table, F.col("path") == "zz") == []
 
 
+@pytest.mark.parametrize("cell_paths", [1, 4, 10_000])
+def test_sample_refines_cells_until_they_are_small(spark, cell_paths):
+    import random
+
+    rng = random.Random(cell_paths)
+    names = {f"{rng.choice(['a', 'a/b', 'ab', 'é'])}/{'x' * rng.randrange(4)}{rng.randrange(50)}.md" for _ in range(120)} | {"a", "a/b", "x" * 40, "x" * 40 + "y"}
+    rows = [(name, k) for name in names for k in range(rng.randrange(1, 5))]
+    chunks = spark.createDataFrame(rows, "path string, chunk_index int")
+    in_order = sorted(rows, key=lambda r: (r[0].split("/"), r[1]))
+    for sample in (3,) if cell_paths < 10_000 else (1, 7, len(rows) + 5):
+        step = max(1, len(rows) // sample)
+        want = [(*in_order[k * step], k * step) for k in range(sample) if k * step < len(rows)]
+        got = [(r.path, r.chunk_index, r.place) for r in audit.sample_chunks(chunks, sample, cell_paths).orderBy("place").collect()]
+        assert got == want
+
+
 def test_incremental_runs_remember_files_without_chunks(spark, tmp_path):
     from pyspark.sql import functions as F
 

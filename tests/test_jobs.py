@@ -262,3 +262,16 @@ def test_encoder_calls_are_filled_across_arrow_batches(spark, arrow):
     assert [r.id for r in got] == list(range(96))
     assert all(r.embedding[0] == (r.id * 7919 % 1009 if r.id < 95 else 0) for r in got)
     assert sorted({r.embedding[2]: r.embedding[1] for r in got}.values()) == [6.0] + [10.0] * 9
+
+
+def test_texts_are_read_twice_at_most(spark, tmp_path):
+    from passagemill import jobs
+
+    rows = [(f"/c/{k:02d}.md", f"text number {k % 5} " * 30) for k in range(20)]
+    spark.createDataFrame(rows, "path string, text string").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    chunks = jobs.text_chunks(jobs.hashed(files), "/c")  # the first reading is done by now
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Relation [" in line and "text#" in line.split("Relation [")[1]]
+    assert len(texts) == 1
+    assert {r.path for r in chunks.select("path").collect()} == {f"/c/{k:02d}.md" for k in range(5)}
