@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import common
 
+BROADCAST_ROWS = 100_000  # of ids and languages
+
 
 @dataclass(frozen=True)
 class LanguageOptions:
@@ -202,7 +204,9 @@ def train(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> Lang
     common.bounded_batches(docs.sparkSession)
     key = common.crc_remainder(F.col("doc_id"), options.modulus)
     known = docs.where(F.col("lang").isNotNull() & (key != options.held_out)).select("doc_id", "lang").distinct()
-    chosen = common.bounded_sample(known, "lang", options.per_language)
+    chosen = common.staged(common.bounded_sample(known, "lang", options.per_language).select("doc_id", "lang"))
+    if chosen.count() <= BROADCAST_ROWS:  # else there are very many languages, and texts are shuffled
+        chosen = F.broadcast(chosen)
     read = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).where("text <> ''")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
