@@ -53,24 +53,31 @@ def rewrite_without(spark: SparkSession, source: str, target: str, predicate: Co
 
 
 def delete_in_place(spark: SparkSession, target: str, predicate: Column) -> list[str]:
-    """Delete rows of a chunk table by rewriting only the suffix partitions that hold any; returns their suffixes.
+    """Delete rows of a chunk table by rewriting only the files that hold any; returns the suffixes that lost rows.
 
-    What stays of them is staged first, so the table is never read while it is written.  A
-    partition that loses all rows goes.  Suffixes are few, so their list is on the driver.
+    Files without such rows keep their name and time.  What stays of the others is staged, so
+    the table is never read while it is written, then added in new files, and only then the
+    old files go: a run that breaks off in between leaves rows twice, never fewer, and may
+    run again.  A partition that loses all rows goes.  Names of files and suffixes are on the
+    driver, as they are whenever the table is read.
     """
     table = spark.read.parquet(target)
-    hit = [r["source_ext"] for r in table.where(predicate).select("source_ext").distinct().collect()]
+    hit = table.where(predicate).select("source_ext", F.col("_metadata.file_path").alias("file")).distinct().collect()
     if not hit:
         return []
+    files = sorted({r["file"] for r in hit})
     staged = scratch_dir(spark, "kept")
-    delete_where(table.where(F.col("source_ext").isin(hit)), predicate).write.parquet(staged)
-    kept = spark.read.parquet(staged)
-    left = {r["source_ext"] for r in kept.select("source_ext").distinct().collect()}
-    replace_partitions(kept, target)
-    for suffix in set(hit) - left:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/source_ext={suffix}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return sorted(hit)
+    old = spark.read.schema(table.schema).option("basePath", target).parquet(*files)
+    delete_where(old, predicate).write.parquet(staged)
+    spark.read.schema(table.schema).parquet(staged).write.mode("append").partitionBy("source_ext").parquet(target)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in files:
+        path = hadoop(name)
+        store, folder = path.getFileSystem(conf), path.getParent()
+        store.delete(path, False)
+        if not any(not x.getPath().getName().startswith((".", "_")) for x in store.listStatus(folder)):
+            store.delete(folder, True)
+    return sorted({r["source_ext"] for r in hit})
 
 
 def write_manifest(records: DataFrame, target: str) -> None:

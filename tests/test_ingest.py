@@ -323,3 +323,23 @@ def test_sectioning_is_linear_and_windows_have_a_stride():
     text = "".join(chr(0x4E00 + i) for i in range(5000))
     parts = split_to_size(text, 1800, 250)
     assert parts == [text[0:1800], text[1550:3350], text[3100:4900], text[4650:]]
+
+
+def test_delete_rewrites_only_files_with_hits(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for k in range(4):
+        rows = [(f"f{k}-{i}", ".md" if i % 2 else ".pdf") for i in range(6)]
+        spark.createDataFrame(rows, "path string, source_ext string").coalesce(1).write.mode("append").partitionBy("source_ext").parquet(table)
+
+    def files():
+        return {p.relative_to(table): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+
+    before = files()
+    assert sinks.delete_in_place(spark, table, F.col("path").isin("f1-1", "f2-0", "f2-2", "f2-4")) == [".md", ".pdf"]
+    after = files()
+    assert len(before) == 8 and len(before.items() & after.items()) == 6  # one .md file and one .pdf file went
+    assert len(after) == 7  # the .pdf file lost all its rows
+    want = {f"f{k}-{i}" for k in range(4) for i in range(6)} - {"f1-1", "f2-0", "f2-2", "f2-4"}
+    assert sorted(r.path for r in spark.read.parquet(table).collect()) == sorted(want)
+    assert sinks.delete_in_place(spark, table, F.col("source_ext") == ".pdf") == [".pdf"]
+    assert not list((tmp_path / "t").glob("source_ext=.pdf")) and {r.source_ext for r in spark.read.parquet(table).collect()} == {".md"}
