@@ -683,3 +683,22 @@ def test_middles_against_brute_force_and_back(spark):
     assert {r.form for r in made.collect()} == {"plain", "psm", "spm"}
     with pytest.raises(ValueError):
         fill_middle.restore(np.frombuffer(b"<P>a<M>b<S>c", np.uint8), np.array([0, 12]), np.array([fill_middle.PSM]))
+
+
+# ---------------------------------------------------------------- hidden elements
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<p title="the hidden cost">Body text.</p>', ["Body text."]),
+        ('<p>See <a title="a hidden gem" href=/hidden>the gem</a> now.</p>', ["See the gem now."]),
+        ("<p data-x=' hidden '>Kept.</p>", ["Kept."]),
+        ("<p hidden>Gone.</p><p>Kept.</p>", ["Kept."]),
+        ('<p class="x" HIDDEN="">Gone.</p><p hidden=until-found>Gone.</p><p id=a hidden/>Gone.<p>Kept.', ["Kept."]),
+        ('<p aria-hidden="false">Kept.</p>', ["Kept."]),
+    ],
+)
+def test_only_the_attribute_named_hidden_hides(inner, want):
+    main, loose = html_extract.blocks(f"<html><body><article>{inner}</article></body></html>")
+    assert main == want and loose == []
