@@ -105,11 +105,12 @@ def all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE vec_id >= 0 ORDER BY vec_id LIMIT 100"""
 )
 def collection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred rows of the collection by key, two fields each."""
+    """The first hundred rows of the collection by key, two fields each; texts are fetched for those keys only."""
     from passagemill.operators.evaluation import collection_scan as scan
 
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
-    return scan(t.table(spark, sf_dir, "embeddings").select("vec_id").join(docs, "vec_id"), "vec_id", ["text", "source"])
+    keys = scan(t.table(spark, sf_dir, "embeddings").select("vec_id").join(docs.select("vec_id"), "vec_id"), "vec_id", [])
+    return docs.join(F.broadcast(keys.distinct()), "vec_id")  # a hundred keys at most
 
 
 # -- retrieval -----------------------------------------------------------
