@@ -149,10 +149,7 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     first = t.files(spark, sf_dir).where(F.col("lang") == "en")
     stream_ingest.append_new(shaped(first), target)
-    schema = t.table(spark, sf_dir, "documents").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
+    stream = t.table_stream(spark, sf_dir, "documents")
     stream_ingest.ingest_stream(
         shaped(t.as_files(stream)), target, sinks.scratch_dir(spark, "incremental-progress")
     )
@@ -177,8 +174,7 @@ def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         return jobs.text_chunks(df, ROOT).select("path", "doc_sha", "chunk_index", "text")
 
     stream_ingest.append_new(shaped(t.files(spark, sf_dir).where(F.col("lang") == "en")), target, build, "first")
-    schema = t.table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = t.table_stream(spark, sf_dir, "documents")
     stream_ingest.ingest_stream(shaped(t.as_files(stream)), target, progress, build)
     stream_ingest.append_new(shaped(t.files(spark, sf_dir)), target, build, stream_ingest.batch_name(progress, 0))
 

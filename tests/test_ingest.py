@@ -343,3 +343,19 @@ def test_delete_rewrites_only_files_with_hits(spark, tmp_path):
     assert sorted(r.path for r in spark.read.parquet(table).collect()) == sorted(want)
     assert sinks.delete_in_place(spark, table, F.col("source_ext") == ".pdf") == [".pdf"]
     assert not list((tmp_path / "t").glob("source_ext=.pdf")) and {r.source_ext for r in spark.read.parquet(table).collect()} == {".md"}
+
+
+def test_a_stream_reads_a_table_of_one_file_or_a_folder(spark, tmp_path):
+    from passagemill.plans import ingest
+
+    body = " of the words that a longer page has, so that it is kept" * 12
+    docs = [(1, "one" + body, "en", "s", 3), (2, "two" + body, "de", "s", 3), (3, "two" + body, "fr", "s", 3), (4, "three" + body, "es", "s", 5)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        got = ingest.ingest_incremental(spark, str(tmp_path / kind)).collect()
+        assert sorted(r.path for r in got) == ["/corpus/s/en/doc_1.txt", "/corpus/s/fr/doc_3.docx", "/corpus/s/parsed/doc_4.PDF"]
+    replayed = ingest.ingest_replay(spark, str(tmp_path / "folder")).collect()
+    assert len(replayed) == 3 and all(r.as_in_one_run for r in replayed)
