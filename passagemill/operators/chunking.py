@@ -91,7 +91,7 @@ def _sectioner():
 
 
 def _pieces(text: str, size: int, seps: tuple[str, ...]) -> Iterator[tuple[str, bool]]:
-    """Break at the first separator present; yield ``(piece, still too long)``."""
+    """Break at the first separator present; yield ``(piece, still too long)``.  The pieces make up the text."""
     at = next(i for i, sep in enumerate(seps) if sep in text)
     sep, rest = seps[at], seps[at + 1 :]
     parts = [p if i == 0 else sep + p for i, p in enumerate(text.split(sep))]
@@ -99,39 +99,56 @@ def _pieces(text: str, size: int, seps: tuple[str, ...]) -> Iterator[tuple[str,
         yield part, len(part) >= size and bool(rest)
 
 
-def _merge(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    window: deque[str] = deque()
+def _merge(lengths: list[int], at: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of neighbouring pieces, of which the first starts ``at``."""
+    window: deque[int] = deque()
     total = 0
-    for piece in pieces:
-        if window and total + len(piece) > size:
-            yield "".join(window)
-            while window and (total > overlap or total + len(piece) > size):
-                total -= len(window.popleft())
-        window.append(piece)
-        total += len(piece)
+    for length in lengths:
+        if window and total + length > size:
+            yield at, at + total
+            while window and (total > overlap or total + length > size):
+                at += window[0]
+                total -= window.popleft()
+        window.append(length)
+        total += length
     if window:
-        yield "".join(window)
+        yield at, at + total
 
 
-def split_to_size(text: str, size: int, overlap: int, seps: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Cut one section into stripped parts of at most ``size`` code points."""
+def _cut(text: str, at: int, size: int, overlap: int, seps: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Spans, blank ends included, of a text that starts ``at``."""
     first = next(i for i, sep in enumerate(seps) if sep in text)
     if seps[first] == "":  # nothing to break at: windows of equal length
         step = size - min(overlap, size - 1)
-        starts = range(0, max(len(text) - size, 0) + step, step)
-        return [part for part in (text[i : i + size].strip() for i in starts) if part]
-    rest = seps[first + 1 :]
-    out: list[str] = []
-    short: list[str] = []
+        for i in range(0, max(len(text) - size, 0) + step, step):
+            yield at + i, at + min(i + size, len(text))
+        return
+    short: list[int] = []
+    from_ = at
     for piece, too_long in _pieces(text, size, seps):
         if too_long:
-            out.extend(_merge(short, size, overlap))
-            short = []
-            out.extend(split_to_size(piece, size, overlap, rest))
+            yield from _merge(short, from_, size, overlap)
+            yield from _cut(piece, at, size, overlap, seps[first + 1 :])
+            short, from_ = [], at + len(piece)
         else:
-            short.append(piece)
-    out.extend(_merge(short, size, overlap))
-    return [part for part in (p.strip() for p in out) if part]
+            short.append(len(piece))
+        at += len(piece)
+    yield from _merge(short, from_, size, overlap)
+
+
+def split_spans(text: str, size: int, overlap: int, seps: tuple[str, ...] = SEPARATORS) -> Iterator[tuple[int, int]]:
+    """Where the stripped parts of a section start and end, of at most ``size`` code points each."""
+    for start, end in _cut(text, 0, size, overlap, seps):
+        part = text[start:end]
+        start += len(part) - len(part.lstrip())
+        end = start + len(part.strip())
+        if start < end:
+            yield start, end
+
+
+def split_to_size(text: str, size: int, overlap: int, seps: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Cut one section into stripped parts of at most ``size`` code points."""
+    return [text[start:end] for start, end in split_spans(text, size, overlap, seps)]
 
 
 def size_splitter(size: int, overlap: int):

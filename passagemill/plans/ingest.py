@@ -397,23 +397,27 @@ def header_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.select("doc_id", "section_index", path.alias("header_path"), "s.text")
 
 
-def places(overlap: int):
-    """Finds each part in the text, one after another: characters other than blanks and line breaks that
-    parts cover, and whether no two neighbours share more than ``overlap`` (all are found, or neither holds)."""
+def places(size: int, overlap: int):
+    """Holds the parts against the text at the places that the splitter names: characters other than blanks and
+    line breaks that parts cover, and whether no two neighbours share more than ``overlap``.
+
+    A part is not searched for, as a text that repeats itself holds it at several places.  Both only count if
+    every part stands at its place, each after the one before; else nothing is covered and neither holds.
+    """
 
     @F.arrow_udf("struct<solid: long, bounded: boolean>")
     def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
         out = []
-        for text_, found in zip(texts.to_pylist(), parts.to_pylist()):
-            start, end, solid, bounded = -1, 0, 0, True
-            for part in found:
-                at = text_.find(part, max(start + 1, end - overlap))
-                bounded = bounded and at >= 0
-                if at < 0:
-                    break
-                fresh = text_[max(at, end) : at + len(part)]
+        for text_, found in zip(texts, parts):
+            text_, found = text_.as_py(), found.as_py()
+            spans = list(chunking.split_spans(text_, size, overlap))
+            placed = [text_[a:b] for a, b in spans] == found and all(a[0] < b[0] for a, b in zip(spans, spans[1:]))
+            end, solid, bounded = 0, 0, placed
+            for start, stop in spans if placed else []:
+                bounded = bounded and end - start <= overlap
+                fresh = text_[max(start, end) : stop]
                 solid += len(fresh) - fresh.count(" ") - fresh.count("\n")
-                start, end = at, max(end, at + len(part))
+                end = max(end, stop)
             out.append({"solid": solid, "bounded": bounded})
         return pa.array(out, pa.struct([("solid", pa.int64()), ("bounded", pa.bool_())]))
 
@@ -432,7 +436,7 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").select("doc_id", text.strip(F.col("text")).alias("text"))
     parts = docs.where(F.col("text") != "").select("doc_id", "text", F.get(cut(F.array("text")), F.lit(0)).alias("parts"))
     last = F.get("parts", F.size("parts") - 1)
-    placed = places(options.overlap)("text", "parts")
+    placed = places(options.chunk_size, options.overlap)("text", "parts")
     return parts.select(
         "doc_id",
         F.forall("parts", lambda p: F.length(p) <= options.chunk_size).alias("all_within_size"),

@@ -359,3 +359,21 @@ def test_a_stream_reads_a_table_of_one_file_or_a_folder(spark, tmp_path):
         assert sorted(r.path for r in got) == ["/corpus/s/en/doc_1.txt", "/corpus/s/fr/doc_3.docx", "/corpus/s/parsed/doc_4.PDF"]
     replayed = ingest.ingest_replay(spark, str(tmp_path / "folder")).collect()
     assert len(replayed) == 3 and all(r.as_in_one_run for r in replayed)
+
+
+def test_parts_of_a_text_that_repeats_itself_have_their_places(spark, tmp_path):
+    from passagemill.operators.chunking import split_spans, split_to_size
+    from passagemill.plans import ingest
+
+    line = "the same line again and again, of eighty letters or so, until the page is full.."
+    texts = ["\n".join([line] * 60), line * 60, "ab" * 3000, "x \n" * 2000, "short"]
+    (tmp_path / "documents.parquet").mkdir()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in ingest.recursive_chunks(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        assert got[k].solid_covered == len(text.replace(" ", "").replace("\n", ""))
+        assert got[k].overlaps_bounded and got[k].all_within_size
+        spans = list(split_spans(text.strip(), 1800, 250))
+        assert [text.strip()[a:b] for a, b in spans] == split_to_size(text.strip(), 1800, 250)
+    wrong = spark.createDataFrame([(texts[0], [texts[0][:100], texts[0][300:]])], "text string, parts array<string>")
+    assert wrong.select(ingest.places(1800, 250)("text", "parts").alias("p")).first().p.bounded is False
