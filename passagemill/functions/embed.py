@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions.batches import bounded_batches
 from passagemill.functions.text import SPACE, let
 
 HASH_DIM = 64
@@ -56,6 +57,7 @@ def unit(vector: Column) -> Column:
 
 def embed_hashed(df: DataFrame, text: str = "text", output: str = "embedding", dim: int = HASH_DIM) -> DataFrame:
     """Offline default embedder: bag of hashed words."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(output, word_bucket_counts(F.col(text), dim))
 
 

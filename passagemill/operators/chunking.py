@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import paths
+from passagemill.functions.batches import bounded_batches
 from passagemill.functions.text import LOW_QUALITY, SPACE_CHARS, clean_text, is_low_quality, keep_chunk, let, strip
 from passagemill.options import IngestOptions
 
@@ -54,7 +55,12 @@ def header_sections(text: Column) -> Column:
     ``headers`` has four places, null where no header of that level is open.  A
     header closes the deeper ones and its line stays in the text.
     """
-    return _sectioner()(F.transform(F.split(_marked(text), _MARK), strip))
+    return _sectioner()(_header_pieces(text))
+
+
+def _header_pieces(text: Column) -> Column:
+    """The stripped pieces of a text that is split before its headers."""
+    return F.transform(F.split(_marked(text), _MARK), strip)
 
 
 _HEADER = re.compile(rf"(#{{1,{LEVELS}}})(?: |\n|\Z)([^\n]*)")
@@ -166,6 +172,25 @@ def size_splitter(size: int, overlap: int):
     return run.asNondeterministic()
 
 
+def section_cutter(size: int, overlap: int):
+    """Arrow function ``array<string>`` (pieces) -> ``(headers, text)`` of the parts of all sections; none for a null.
+
+    Sectioning and cutting share one worker, and a section's text does not go back and forth between them.
+    """
+
+    @F.arrow_udf(_SECTIONS)
+    def run(pieces: pa.Array) -> pa.Array:
+        rows = [
+            [{"headers": s["headers"], "text": part} for s in sections_of(row.as_py()) for part in split_to_size(s["text"], size, overlap)]
+            if row.is_valid
+            else []
+            for row in pieces
+        ]
+        return pa.array(rows, pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("text", pa.string())])))
+
+    return run.asNondeterministic()
+
+
 def explode_once(df: DataFrame, array: str, place: str, item: str, count: str | None = None) -> DataFrame:
     """Explode an array column that was costly to make.
 
@@ -179,20 +204,11 @@ def explode_once(df: DataFrame, array: str, place: str, item: str, count: str |
 
 def chunk_arrays(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
     """The rows with ``_chunks`` in place of ``text``: an array of kept ``(headers, text)``, empty for a null text."""
-    cut = size_splitter(options.chunk_size, options.overlap)
+    bounded_batches(docs.sparkSession)
+    cut = section_cutter(options.chunk_size, options.overlap)
     rest = [c for c in docs.columns if c != "text"]
-    sectioned = docs.select(*rest, header_sections(F.col("text")).alias("_sections"))
-    parted = sectioned.withColumn("_parts", cut(F.transform("_sections", lambda s: s["text"])))
-    chunks = F.flatten(
-        F.transform(
-            "_parts",
-            lambda parts, i: F.transform(
-                parts,
-                lambda p: F.struct(F.get(F.col("_sections"), i)["headers"].alias("headers"), p.alias("text")),
-            ),
-        )
-    )
-    return parted.select(*rest, F.filter(chunks, lambda c: keep_chunk(c["text"])).alias("_chunks"))
+    parted = docs.select(*rest, cut(_header_pieces(F.col("text"))).alias("_parts"))
+    return parted.select(*rest, F.filter("_parts", lambda c: keep_chunk(c["text"])).alias("_chunks"))
 
 
 def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passagemill import jobs
 from passagemill.functions import embed, models, paths, text
+from passagemill.functions.batches import bounded_batches
 from passagemill.operators import audit, chunking, identity
 from passagemill.options import IngestOptions
 from passagemill.plans import tables as t
@@ -433,6 +434,7 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size-bounded parts of every document, told by what must hold for all of them."""
     options = IngestOptions()
     cut = chunking.size_splitter(options.chunk_size, options.overlap)
+    bounded_batches(spark)
     docs = t.table(spark, sf_dir, "documents").select("doc_id", text.strip(F.col("text")).alias("text"))
     parts = docs.where(F.col("text") != "").select("doc_id", "text", F.get(cut(F.array("text")), F.lit(0)).alias("parts"))
     last = F.get("parts", F.size("parts") - 1)

@@ -377,3 +377,51 @@ def test_parts_of_a_text_that_repeats_itself_have_their_places(spark, tmp_path):
         assert [text.strip()[a:b] for a, b in spans] == split_to_size(text.strip(), 1800, 250)
     wrong = spark.createDataFrame([(texts[0], [texts[0][:100], texts[0][300:]])], "text string, parts array<string>")
     assert wrong.select(ingest.places(1800, 250)("text", "parts").alias("p")).first().p.bounded is False
+
+
+def test_batches_of_python_workers_are_bounded(spark):
+    import pyarrow as pa
+
+    from passagemill.functions.batches import LIMITS
+    from passagemill.functions.embed import embed_hashed
+
+    @F.arrow_udf("long")
+    def rows_of_batch(x: pa.Array) -> pa.Array:
+        return pa.array([len(x)] * len(x), pa.int64())
+
+    own = spark.newSession()
+    for use in (lambda df: chunking.chunk_arrays(df), lambda df: embed_hashed(df)):
+        for key in LIMITS:
+            own.conf.unset(key)
+        rows = own.range(0, 5_000, 1, 1).selectExpr("id", "repeat('word ', 2000) as text")
+        use(rows)
+        assert rows.select(rows_of_batch("id").alias("n")).agg(F.max("n")).first()[0] <= 1_000
+        assert rows.select("id", rows_of_batch(F.length("text")).alias("n"), rows_of_batch("text").alias("m")).agg(F.max("m")).first()[0] <= 500
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    embed_hashed(own.createDataFrame([("x",)], "text string"))
+    assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+
+
+def test_one_worker_sections_and_cuts(spark):
+    body = "# One\n" + "alpha beta gamma delta " * 200 + "\n## Two\n" + "some other words that are kept here " * 9
+    rows = spark.createDataFrame([("a", body), ("b", None), ("c", "")], "path string, text string")
+    made = chunking.chunk_arrays(rows)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.path: r["_chunks"] for r in made.collect()}
+    assert got["b"] == [] and got["c"] == []
+    told = [(c.headers, c.text) for c in got["a"]]
+    sections = [s for s in rows.where("path = 'a'").select(chunking.header_sections(F.col("text")).alias("s")).first().s]
+    assert told == [(s.headers, part) for s in sections for part in chunking.split_to_size(s.text, 1800, 250) if sum(map(str.isalnum, part)) >= 60]
+    assert len(told) >= 4
+
+
+def test_a_folder_is_read_in_small_batches(monkeypatch):
+    from datetime import datetime, timezone
+
+    from passagemill.sources import tree
+
+    now = datetime.now(timezone.utc)
+    large = list(tree.batches(((f"f{k}", now, 1 << 20, b"x") for k in range(10)), True))
+    assert [b.num_rows for b in large] == [4, 4, 2]
+    small = list(tree.batches(((f"f{k}", now, 1 << 20) for k in range(2_500)), False))
+    assert [b.num_rows for b in small] == [1_000, 1_000, 500] and small[0].schema.names == ["path", "modificationTime", "length"]
