@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import paths
+from passagemill.functions.batches import bounded_batches
 from passagemill.functions.text import decode_lenient
 from passagemill.options import SKIP_DIRS, SUPPORTED_EXTENSIONS, IngestOptions
 from passagemill.sources.tree import registered
@@ -45,13 +46,15 @@ def write_files(files: DataFrame, root: str) -> int:
     """Write ``files(path, content)`` below ``root``, by tasks in parallel; paths are relative. Returns how many."""
     from passagemill.sources.tree import Rule
 
+    bounded_batches(files.sparkSession)
     rule = Rule(root, (), True, False, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = rule.store()
         made: set[str] = set()
         for batch in batches:
-            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for at, body in zip(batch.column(0), batch.column(1)):
+                path, body = at.as_py(), body.as_py()
                 folder = f"{base}/{path}".rsplit("/", 1)[0]
                 if folder not in made:
                     system.create_dir(folder, recursive=True)

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 LISTED = "path string, modificationTime timestamp, length long"
 READ = LISTED + ", content binary"
+BATCH_FILES, BATCH_BYTES = 1_000, 4 << 20  # of one Arrow batch, whichever comes first
 SETTLE_MS = 1_000  # a stream leaves files younger than this to its next batch
 
 
@@ -104,6 +105,23 @@ class Rule:
                 yield x.path, when, x.size
 
 
+def batches(rows: Iterator[tuple], content: bool):
+    """Arrow batches of the rows; one has few files or few bytes, as a file may be of any size."""
+    import pyarrow as pa
+
+    fields = [("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), *([("content", pa.binary())] if content else [])]
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += row[2] if content else 0
+        if len(held) >= BATCH_FILES or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*held), fields)], schema=pa.schema(fields))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*held), fields)], schema=pa.schema(fields))
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, rule: Rule):
         self.rule = rule
@@ -111,8 +129,8 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> list[Share]:
         return self.rule.shared_out()
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        return self.rule.rows(partition)
+    def read(self, partition: Share):
+        return batches(self.rule.rows(partition), self.rule.content)
 
 
 class TreeStream(DataSourceStreamReader):
