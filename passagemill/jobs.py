@@ -275,15 +275,17 @@ def contexts(
     collection: DataFrame,
     options: RetrievalOptions = RetrievalOptions(),
     replies: DataFrame | None = None,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """``(qid, context)`` for ``queries(qid, embedding)``.
 
-    ``collection`` holds ``chunk_id`` (long), ``embedding`` and the source fields.
+    ``collection`` holds ``chunk_id`` (long), ``embedding`` and the source fields; where these lie
+    in another table, ``sources(chunk_id, ...)`` has them and is met by the winners only.
     """
     vectors = collection.select("chunk_id", "embedding")
     ranked = retrieval.retrieve(queries, vectors, options, replies).select("qid", "rank", "chunk_id")
     bound = retrieval.rows_bound(queries, options.top_k, options)
-    return context.build_context(queries, retrieval.attach(ranked, collection, SOURCE_FIELDS, bound))
+    return context.build_context(queries, retrieval.attach(ranked, collection if sources is None else sources, SOURCE_FIELDS, bound))
 
 
 def recall_evaluation(

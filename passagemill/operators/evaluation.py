@@ -39,12 +39,16 @@ def eval_sample(
     scan_rows: int = SCAN_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     min_text: int = MIN_TEXT,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """``sample_rows`` chunks longer than ``min_text`` characters from the first ``scan_rows``, in a seeded random order.
 
     Keys are chosen first, from lengths alone; texts are fetched for the sample only.
+    ``lengths(key, length)`` names the rows to choose from where not all of ``collection`` count:
+    a join before this one would move every text.
     """
-    lengths = collection.select(key, F.length("text").alias("length"))
+    if lengths is None:
+        lengths = collection.select(key, F.length("text").alias("length"))
     scanned = collection_scan(lengths, key, ["length"], scan_rows)
     draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
     chosen = scanned.where(F.col("length") > min_text).orderBy(draw, key).limit(sample_rows)

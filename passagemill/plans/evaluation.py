@@ -17,6 +17,7 @@ from passagemill.options import RetrievalOptions
 from passagemill.plans import tables as t
 from passagemill.plans.registry import query
 from passagemill.plans.retrieval import SOURCE_SQL, contexts, passages, question_inputs
+from passagemill.sources.sinks import scratch_dir
 
 
 @query(
@@ -81,15 +82,18 @@ def recall_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled chunks looked up by the first eight of their sixty-four dimensions."""
     vectors = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    collection = vectors.join(passages(spark, sf_dir), "chunk_id")
-    pool = vectors.select("chunk_id").join(passages(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(docs, "chunk_id")
-    sample = ev.eval_sample(pool.withColumnRenamed("chunk_id", "pk"))
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pk"), "text", "source")
+    # Only ids, lengths and vectors are shuffled; texts are scanned for the rows that were chosen.
+    lengths = docs.select("pk", F.length("text").alias("length")).join(vectors.select(F.col("chunk_id").alias("pk")), "pk")
+    collection = vectors.join(docs.select(F.col("pk").alias("chunk_id")), "chunk_id")
+    chosen = scratch_dir(spark, "recall-sample")
+    ev.eval_sample(docs, lengths=lengths).write.parquet(chosen)  # ten rows, read by each step of the run
+    sample = spark.read.parquet(chosen)
 
     def found(asked: DataFrame) -> DataFrame:
         dims = F.concat(F.slice("embedding", 1, 8), F.array_repeat(F.lit(0.0).cast("float"), 56))
         queries = asked.join(vectors.select(F.col("chunk_id").alias("qid"), dims.alias("embedding")), "qid")
-        return jobs.contexts(queries, collection)
+        return jobs.contexts(queries, collection, sources=passages(spark, sf_dir))
 
     details, _ = jobs.recall_evaluation(sample, sample.select("pk", F.substring("text", 1, 80).alias("question")), found)
     return details

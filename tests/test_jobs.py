@@ -275,3 +275,19 @@ def test_texts_are_read_twice_at_most(spark, tmp_path):
     texts = [line for line in plan.splitlines() if "Relation [" in line and "text#" in line.split("Relation [")[1]]
     assert len(texts) == 1
     assert {r.path for r in chunks.select("path").collect()} == {f"/c/{k:02d}.md" for k in range(5)}
+
+
+def test_recall_inputs_in_two_tables_move_no_texts(spark):
+    from passagemill.operators import evaluation as ev
+    from passagemill.options import RetrievalOptions
+
+    docs = spark.createDataFrame([(k, f"{k} " * 150, "s") for k in range(8)], "pk long, text string, source string")
+    held = spark.createDataFrame([(k, [float(k == i) for i in range(8)]) for k in range(0, 8, 2)], "chunk_id long, embedding array<float>")
+    lengths = docs.selectExpr("pk", "length(text) AS length").join(held.selectExpr("chunk_id AS pk"), "pk")
+    sample = ev.eval_sample(docs, lengths=lengths)
+    assert sorted(r.pk for r in sample.collect()) == [0, 2, 4, 6]
+    fields = docs.selectExpr("pk AS chunk_id", "source AS name", "source AS original_filename", "array(source) AS headers", "text")
+    queries, options = held.withColumnRenamed("chunk_id", "qid"), RetrievalOptions(top_k=2)
+    apart = jobs.contexts(queries, held, options, sources=fields)
+    joined = jobs.contexts(queries, held.join(fields, "chunk_id"), options)
+    assert sorted(apart.collect()) == sorted(joined.collect()) and apart.count() == 4
