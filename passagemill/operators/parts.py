@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 PART_VALUES = 1 << 22  # numbers of one part's matrix, so 32 MB in double precision
 TIE_DECIMALS = 12
+TASKS, GROUP_ROWS = 96, 4_096  # tasks that all pairs are dealt to at least; rows below which a group is not worth a copy of the part
 MERGE = 64  # lists of the best that meet in one step
 
 Work = Callable[[int, list[pa.RecordBatch], pa.RecordBatch], Iterator[pa.RecordBatch]]
@@ -35,15 +36,21 @@ def part_rows(dim: int) -> int:
     return max(1, PART_VALUES // max(1, dim))
 
 
+def query_groups(rows: int, parts: int) -> int:
+    """Into how many groups the queries are dealt, so that few parts still make ``TASKS`` tasks; a small table has one."""
+    return max(1, min(-(-TASKS // parts), -(-rows // GROUP_ROWS)))
+
+
 def dealt(vectors: DataFrame, key: str, parts: int) -> Column:
     """The part of each row when a table is spread evenly over ``parts``."""
     return F.pmod(F.xxhash64(vectors[key]), F.lit(parts))
 
 
-def meet(held: DataFrame, asked: DataFrame, work: Work, schema: str) -> DataFrame:
+def meet(held: DataFrame, asked: DataFrame, work: Work, schema: str, count: int | None = None) -> DataFrame:
     """``work(part, held rows, asked rows)`` for every block of asked rows in every part that both have.
 
-    Both tables have ``part`` first and then the same columns.
+    Both tables have ``part`` first and then the same columns.  With the ``count`` of parts, they are
+    dealt to so many tasks: adaptive execution goes by bytes and would put small parts with much work together.
     """
     names = held.columns[1:]
 
@@ -69,7 +76,8 @@ def meet(held: DataFrame, asked: DataFrame, work: Work, schema: str) -> DataFram
         return table.select(F.col("part").cast("long").alias("part"), F.lit(kind).cast("long").alias("kind"), *names)
 
     rows = side(held, 0).unionByName(side(asked, 1))
-    return rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    spread = rows.repartition("part") if count is None else rows.repartition(min(2 * count, 4_096), "part")
+    return spread.sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
 def rank_in(rows: DataFrame, k: int, *by: Column | str) -> DataFrame:

@@ -122,13 +122,16 @@ def _vectors(table: DataFrame, key: str) -> DataFrame:
 
 
 def _in_parts(queries: DataFrame, collection: DataFrame, work: parts.Work, schema: str) -> tuple[DataFrame, int]:
-    """``work`` for all queries in all parts of the collection, each table read and shuffled once; and the number of parts."""
+    """``work`` for all queries in all parts of the collection, each table read and shuffled once; and the number of parts times groups of queries."""
     held = _vectors(collection, "chunk_id")
     count, dim = held.agg(F.count("*"), F.max(F.size("embedding"))).first()
     n = -(-count // parts.part_rows(dim)) if count else 1
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = _vectors(queries, "qid").select(everywhere.alias("part"), "id", "embedding")
-    return parts.meet(held.select(parts.dealt(held, "id", n).alias("part"), "id", "embedding"), asked, work, schema), n
+    groups = parts.query_groups(count, n)  # several tasks share a part's queries
+    of_query = F.pmod(F.xxhash64("id"), F.lit(groups))
+    asked = _vectors(queries, "qid").select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"), of_query.alias("group"), "id", "embedding")
+    copies = held.select(parts.dealt(held, "id", n).alias("at"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "id", "embedding")
+    part = (F.col("at") * groups + F.col("group")).alias("part")
+    return parts.meet(*(side.select(part, "id", "embedding") for side in (copies, asked)), work, schema, n * groups), n * groups
 
 
 def _pairs(held: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -238,3 +238,15 @@ def test_embedding_counts_every_word_in_any_dimension(spark, dim):
     text = " ".join(f"w{i}" for i in range(2000))
     got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(word_bucket_counts(F.col("t"), dim).alias("v")).collect()
     assert [len(r.v) for r in got] == [dim] * 3 and [sum(r.v) for r in got] == [2000, 0, 0]
+
+
+def test_a_part_is_shared_by_tasks(spark, monkeypatch):
+    from passagemill.operators import parts, vectors
+
+    rows = spark.range(60).selectExpr("id AS chunk_id", "array(cast(id % 7 AS float), cast(id % 5 AS float), 1f) AS embedding")
+    queries = rows.withColumnRenamed("chunk_id", "qid")
+    want = sorted(vectors.exact_topk(queries, rows, 3, 1000, skip_same_id=True).collect())
+    assert parts.query_groups(2_000, 1) == 1 and parts.query_groups(600_000, 10) == 10
+    monkeypatch.setattr(parts, "GROUP_ROWS", 10)
+    assert parts.query_groups(60, 1) == 6
+    assert sorted(vectors.exact_topk(queries, rows, 3, 0, skip_same_id=True).collect()) == want and len(want) == 180
