@@ -228,6 +228,23 @@ def test_a_turn_ignores_repeated_and_late_events():
     assert feed((1, "", "", "cancel", 1, 1), (0, TEXT, "x", "running", 0, 0)) == [("c", 1, "", "", "x", "cancel", 1, 1)]
 
 
+def test_events_are_packed_before_the_stateful_step(spark):
+    import pyarrow as pa
+
+    keys = [("a", 1), (None, 1), ("a", 2), ("a", None)]
+    rows = [(*keys[i % 4], i // 4, TEXT, f"{i} ", "running" if i < 396 else "complete", 0, i) for i in range(400)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.int32()] * 2]
+    names = ["conversation_id", "turn_id", *live.Event._fields]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    got = [tuple(r.values()) for out in live.packed(iter([batch, batch.slice(0, 0)])) for r in out.to_pylist()]
+    assert {r[:2] for r in got} == set(keys) and len(got) == 4
+    for r in got:
+        assert [(*r[:2], *e) for e in map(live.Event, *r[2:])] == [e for e in rows if e[:2] == r[:2]]
+    events = spark.createDataFrame([("c", 1, i, "running", TEXT, "x", None) for i in range(50)], CHAT_EVENT).coalesce(1)
+    flat = events.selectExpr("conversation_id", "turn_id", "seq", "type", "content", "status", "0 as tokens_in", "0 as tokens_out")
+    assert flat.mapInArrow(live.packed, live.PACKED).count() == 1
+
+
 def test_times_are_utc_in_any_session_zone(spark):
     from passagemill.operators.conversations import iso_utc
 
