@@ -4,7 +4,9 @@
 collection into the cell of its nearest centroid, and writes the residual (what the centroid
 leaves over) as one signed byte a dimension beside the vector.  The table is partitioned by
 cell.  ``search`` ranks the centroids for each query, reads the codes of the first cells
-only, keeps the best by code, and scores those again with their full vectors.
+only, keeps the best by code, and scores those again with their full vectors.  Neighbouring
+cells make up buckets of bounded size: a query is sent to a bucket once, with the cells that
+it probes there, and gets back the best of the bucket, not of each cell.
 
 How many cells a query has to probe depends on the data: clustered vectors need few, vectors
 without structure many.  ``build`` measures it: neighbours of sampled vectors among the
@@ -18,13 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.operators import parts
-from passagemill.operators.parts import matrix
+from passagemill.operators.parts import STEP_VALUES, matrix
 from passagemill.operators.vectors import usable
 
+BUCKET_ROWS = 4_096  # vectors below which a bucket is not worth a task of its own
+GROUP_ROWS = 16_384  # queries that a task answers from its bucket, about
+
 
 @dataclass(frozen=True)
 class CellOptions:
@@ -55,7 +61,10 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def _nearest(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return (units @ centroids.T).argmax(axis=1)
+    """The nearest centroid of each vector, in steps whose scores are bounded."""
+    step = max(1, STEP_VALUES // max(1, len(centroids)))
+    found = [(units[a : a + step] @ centroids.T).argmax(axis=1) for a in range(0, len(units), step)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def _centroids(units: np.ndarray, n: int, options: CellOptions) -> np.ndarray:
@@ -94,7 +103,7 @@ def fit(collection: DataFrame, options: CellOptions = CellOptions()) -> Model |
     rows = good.orderBy(draw, "chunk_id").limit(options.sample).toArrow()  # a bounded top-k
     if not rows.num_rows:
         return None
-    sizes = np.array([len(v) for v in rows["embedding"].to_pylist()])
+    sizes = pc.list_value_length(rows["embedding"]).to_numpy()
     usual = int(np.bincount(sizes).argmax())
     units = _units(matrix(rows.filter(pa.array(sizes == usual))["embedding"]))
     centroids = _centroids(units, max(1, len(units) // options.per_cell), options)
@@ -145,6 +154,22 @@ class Found:
     effort: DataFrame  # qid, coded, scored: vectors compared by code and by their full numbers
 
 
+def buckets(size: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """``(first, subs, count)``: the first bucket of each cell and how many it has, and the number of buckets.
+
+    Neighbouring cells share a bucket of less than twice the bound; a cell beyond the bound
+    has buckets of its own.
+    """
+    bound = min(parts.part_rows(dim), max(BUCKET_ROWS, -(-int(size.sum()) // parts.TASKS)))
+    large = size > bound
+    small = np.where(large, 0, size)
+    first = (np.cumsum(small) - small) // bound
+    shared = int(first.max()) + 1 if len(first) else 0
+    subs = np.where(large, -(-size // bound), 1)
+    own = np.where(large, subs, 0)
+    return np.where(large, shared + np.cumsum(own) - own, first), subs, shared + int(own.sum())
+
+
 def search(spark: SparkSession, queries: DataFrame, path: str, k: int, options: CellOptions = CellOptions(), probes: int | None = None) -> Found:
     """The k best of each query ``(qid, embedding)`` among the cells that it probes."""
     model = spark.read.parquet(f"{path}/model").first()
@@ -152,50 +177,72 @@ def search(spark: SparkSession, queries: DataFrame, path: str, k: int, options:
     centroids, size = matrix(cells["centroid"]), cells["n"].to_numpy()
     scale, most = model["scale"], model["probes"] if probes is None else probes
     dim = centroids.shape[1]
-    subs = -(-size // parts.part_rows(dim))  # parts of a large cell
+    first, subs, count = buckets(size, dim)
     keep = k * options.again
     asked = usable(queries.select(F.col("qid").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), dim)
+    few = max(1, STEP_VALUES // max(1, len(centroids), count * dim))  # queries of a step: each may go to all buckets
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket of a query, with the cells that it probes there and their number of vectors."""
         for batch in batches:
-            units = _units(matrix(batch.column(1)))
-            if not len(units) or not len(centroids):
-                continue
-            order = np.argsort(-(units @ centroids.T), axis=1, kind="stable")[:, :most].ravel()
-            row = np.repeat(np.arange(len(units)), min(most, len(centroids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order)], ["id", "embedding", "cell"])
-
-    wanted = asked.mapInArrow(probed, "id long, embedding array<double>, cell long")
+            for a in range(0, batch.num_rows, few):
+                some = batch.slice(a, few)
+                units = _units(matrix(some.column(1)))
+                order = np.argsort(-(units @ centroids.T), axis=1, kind="stable")[:, :most]
+                row, cell = np.repeat(np.arange(len(units)), order.shape[1]), order.ravel()
+                row, cell = row[size[cell] > 0], cell[size[cell] > 0]
+                if not len(cell):
+                    continue
+                sort = np.lexsort((first[cell], row))
+                row, cell = row[sort], cell[sort]
+                at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first[cell[1:]] != first[cell[:-1]])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(cell)), pa.int32()), pa.array(cell))
+                times = subs[cell[at]]  # a cell of several buckets is alone in them
+                run = np.repeat(np.arange(len(at)), times)
+                sub = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+                whose = pa.array(row[at][run])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(whose), some.column(1).take(whose), pa.array(first[cell[at]][run] + sub), lists.take(pa.array(run)), pa.array(np.where(sub == 0, np.add.reduceat(size[cell], at)[run], 0))],
+                    ["id", "embedding", "bucket", "cells", "n"],
+                )
+
+    wanted = asked.mapInArrow(probed, "id long, embedding array<double>, bucket long, cells array<long>, n long")
     # the list of probed cells is no longer than the model
-    chosen = [r["cell"] for r in wanted.select("cell").distinct().collect()] if len(size) else []
-    layout = spark.createDataFrame([(i, int(n), int(s)) for i, (n, s) in enumerate(zip(size, subs)) if n], "cell long, n long, subs int")
+    chosen = [r["cell"] for r in wanted.select(F.explode("cells").alias("cell")).distinct().collect()] if len(size) else []
+    groups = -(-asked.count() // GROUP_ROWS) or 1
+    layout = spark.createDataFrame([(i, int(b), int(s)) for i, (b, s) in enumerate(zip(first, subs))], "cell long, first long, subs int")
     kind = model["vectors"]
     rows = spark.read.schema(f"chunk_id long, embedding {kind}, code binary, cell long").parquet(f"{path}/rows").where(F.col("cell").isin(chosen))
-    part = F.shiftleft("cell", 24)
-    held = rows.select("cell", F.col("chunk_id").alias("id"), "code").join(layout, "cell")
-    held = held.select((part + F.pmod(F.xxhash64("id"), F.col("subs"))).alias("part"), "id", "code", F.lit(None).cast("array<double>").alias("embedding"))
-    spread = wanted.join(layout, "cell")
-    everywhere = spread.select("cell", "id", "embedding", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    asked_parts = everywhere.select((part + F.col("sub")).alias("part"), "id", F.lit(None).cast("binary").alias("code"), "embedding")
+    place = F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("subs"))
+    copies = rows.join(layout, "cell").select("cell", F.col("chunk_id").alias("id"), "code", place.alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    part = (F.col("bucket") * groups + F.col("group")).alias("part")
+    none = lambda type_, name: F.lit(None).cast(type_).alias(name)
+    held = copies.select(part, "cell", "id", "code", none("array<long>", "cells"), none("array<double>", "embedding"))
+    grouped = wanted.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    asked_parts = grouped.select(part, none("long", "cell"), "id", none("binary", "code"), "cells", "embedding")
 
     def by_code(number: int, kept: pa.RecordBatch, some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codes = np.frombuffer(b"".join(kept.column(1).to_pylist()), np.int8).reshape(kept.num_rows, -1).astype(np.float32)
-        ids, qids = kept.column(0).to_numpy(), some.column(0).to_numpy()
-        units = _units(matrix(some.column(2)))
-        step = max(1, parts.PART_VALUES // max(1, len(ids)))
+        cell, ids, qids = kept.column(0).to_numpy(), kept.column(1).to_numpy(), some.column(1).to_numpy()
+        codes = np.frombuffer(b"".join(kept.column(2).to_pylist()), np.int8).reshape(kept.num_rows, -1)
+        vectors = codes * np.float32(scale) + centroids.astype(np.float32)[cell]
+        step = max(1, STEP_VALUES // max(len(ids), len(centroids)))
         for a in range(0, len(qids), step):
-            near = units[a : a + step].astype(np.float32) @ codes.T * np.float32(scale)
-            near += (units[a : a + step] @ centroids[number >> 24])[:, None]
-            best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if near.shape[1] > keep else np.tile(np.arange(near.shape[1]), (len(near), 1))
-            row = np.repeat(np.arange(len(near)), best.shape[1])
-            found = best.ravel()
+            lists = some.column(3).slice(a, step)
+            opened = np.zeros((len(lists), len(centroids)), bool)
+            opened[np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()] = True
+            far = -(_units(matrix(some.column(4).slice(a, step))).astype(np.float32) @ vectors.T)
+            far[~opened[:, cell]] = np.inf
+            best = np.argpartition(far, keep - 1, axis=1)[:, :keep] if far.shape[1] > keep else np.tile(np.arange(far.shape[1]), (len(far), 1))
+            row, found = np.repeat(np.arange(len(far)), best.shape[1]), best.ravel()
+            there = np.isfinite(far[row, found])
+            row, found = row[there], found[there]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[a : a + step][row]), pa.array(np.full(len(row), number)), pa.array(ids[found]), pa.array(near[row, found].astype(float))],
-                ["qid", "part", "chunk_id", "score"],
+                [pa.array(qids[a : a + step][row]), pa.array(cell[found]), pa.array(ids[found]), pa.array(-far[row, found].astype(float))],
+                ["qid", "cell", "chunk_id", "score"],
             )
 
-    coded = parts.meet(held, asked_parts, by_code, "qid long, part long, chunk_id long, score double")
-    best = parts.rank_in(coded, keep, "qid").select("qid", "chunk_id", F.shiftright("part", 24).alias("cell"))
+    coded = parts.meet(held, asked_parts, by_code, "qid long, cell long, chunk_id long, score double", max(1, count * groups))
+    best = parts.rank_in(coded, keep, "qid").select("qid", "chunk_id", "cell")
     pairs = best.join(rows.select("cell", "chunk_id", F.col("embedding").cast("array<double>").alias("v")), ["cell", "chunk_id"])
     pairs = pairs.join(asked.select(F.col("id").alias("qid"), "embedding"), "qid")
 
@@ -208,5 +255,5 @@ def search(spark: SparkSession, queries: DataFrame, path: str, k: int, options:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], ["qid", "chunk_id", "score"])
 
     scored = pairs.select("qid", "chunk_id", "v", "embedding").mapInArrow(exactly, "qid long, chunk_id long, score double")
-    effort = spread.groupBy(F.col("id").alias("qid")).agg(F.sum("n").alias("coded"), F.least(F.sum("n"), F.lit(keep)).alias("scored"))
+    effort = wanted.groupBy(F.col("id").alias("qid")).agg(F.sum("n").alias("coded"), F.least(F.sum("n"), F.lit(keep)).alias("scored"))
     return Found(parts.rank_in(scored, k, "qid").select("qid", "rank", "chunk_id", "score"), effort)

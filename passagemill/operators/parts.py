@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_VALUES = 1 << 22  # numbers of one part's matrix, so 32 MB in double precision
+STEP_VALUES = 1 << 20  # numbers of a matrix that a step works on, so 8 MB
 TIE_DECIMALS = 12
 TASKS, GROUP_ROWS = 96, 4_096  # tasks that all pairs are dealt to at least; rows below which a group is not worth a copy of the part
 MERGE = 64  # lists of the best that meet in one step
@@ -27,7 +28,7 @@ def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Vectors of one size as rows of doubles."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
 

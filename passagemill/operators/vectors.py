@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.operators import parts
-from passagemill.operators.parts import TIE_DECIMALS, matrix
+from passagemill.operators.parts import STEP_VALUES, TIE_DECIMALS, matrix
 
 BLOCK_QUERIES = 1024
 
@@ -113,7 +113,8 @@ class _Few:
 
 def _of_size(rows: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and matrix of the rows ``(id, vector)`` whose vectors have ``n`` parts."""
-    fits = rows.filter(pc.equal(pc.list_value_length(rows.column(1)), n))
+    of_n = pc.equal(pc.list_value_length(rows.column(1)), n)
+    fits = rows if pc.all(of_n).as_py() else rows.filter(of_n)
     return fits.column(0).to_numpy(), matrix(fits.column(1))
 
 
@@ -139,7 +140,7 @@ def _pairs(held: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[tuple[np.nda
     for n in pc.unique(pc.list_value_length(asked.column(1))).to_pylist():
         ids, vectors = _of_size(held, n)
         qids, queries = _of_size(asked, n)
-        step = max(1, parts.PART_VALUES // max(1, len(ids)))
+        step = max(1, STEP_VALUES // max(1, len(ids)))
         for k in range(0, len(qids) if len(ids) else 0, step):
             yield qids[k : k + step], queries[k : k + step], ids, vectors
 
@@ -166,8 +167,9 @@ def exact_topk(
         for batch in batches:
             for n, (qids, asked) in few.by_size.items():
                 ids, vectors = _of_size(batch, n)
-                if len(ids):
-                    best[n].add(_cosine(asked, vectors), ids, qids if skip_same_id else None)
+                step = max(1, STEP_VALUES // len(qids))
+                for a in range(0, len(ids), step):
+                    best[n].add(_cosine(asked, vectors[a : a + step]), ids[a : a + step], qids if skip_same_id else None)
         for n, (qids, _) in few.by_size.items():
             yield pa.RecordBatch.from_pandas(best[n].rows(qids), preserve_index=False)
 
@@ -213,8 +215,9 @@ def score_profile(queries: DataFrame, collection: DataFrame, max_broadcast_queri
         for batch in batches:
             for n, (qids, asked) in few.by_size.items():
                 _, vectors = _of_size(batch, n)
-                if len(vectors):
-                    yield _sums(qids, _cosine(asked, vectors))
+                step = max(1, STEP_VALUES // len(qids))
+                for a in range(0, len(vectors), step):
+                    yield _sums(qids, _cosine(asked, vectors[a : a + step]))
 
     def in_part(part: int, held: pa.RecordBatch, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for qids, wanted, _, vectors in _pairs(held, asked):

@@ -250,3 +250,45 @@ def test_a_part_is_shared_by_tasks(spark, monkeypatch):
     monkeypatch.setattr(parts, "GROUP_ROWS", 10)
     assert parts.query_groups(60, 1) == 6
     assert sorted(vectors.exact_topk(queries, rows, 3, 0, skip_same_id=True).collect()) == want and len(want) == 180
+
+
+def test_a_bucket_gets_a_query_once_and_gives_its_best(spark, tmp_path, monkeypatch):
+    size = np.array([3, 0, 20, 4, 4, 9])
+    monkeypatch.setattr(cells, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(parts, "TASKS", 100)
+    first, subs, count = cells.buckets(size, 4)
+    assert (first.tolist(), subs.tolist(), count) == ([0, 0, 2, 0, 0, 5], [1, 1, 3, 1, 1, 2], 7)
+    made = np.random.default_rng(3).normal(size=(700, 8)).astype(np.float32)
+    collection = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "chunk_id long, embedding array<float>")
+    cells.build(collection, f"{tmp_path}/index")
+    queries = collection.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid")
+    want = {(r.qid, r.chunk_id) for r in vectors.exact_topk(queries, collection, 5).collect()}
+    met, meet = [], parts.meet
+
+    def watched(held, asked, work, schema, *count):
+        found = meet(held, asked, work, schema, *count)
+        met.append((held.count(), asked.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(parts, "meet", watched)
+    for rows, group in ((4_096, 16_384), (16, 10), (8, 16_384)):
+        monkeypatch.setattr(cells, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(cells, "GROUP_ROWS", group)
+        found = cells.search(spark, queries, f"{tmp_path}/index", 5, probes=10_000)
+        assert {(r.qid, r.chunk_id) for r in found.top.collect()} == want
+        assert {tuple(r) for r in found.effort.select("coded", "scored").collect()} == {(700, 40)}
+    assert met[0] == (700, 35, 35 * 40)  # 43 cells before
+    assert met[1][0] == 700 * 4  # groups of queries
+
+
+def test_scores_are_made_in_bounded_steps(monkeypatch):
+    units = np.random.default_rng(5).normal(size=(500, 4))
+    want = (units @ units[:100].T).argmax(axis=1)
+    monkeypatch.setattr(cells, "STEP_VALUES", 1_000)
+    assert (cells._nearest(units, units[:100]) == want).all()
+    import pyarrow as pa
+
+    ids = pa.array(range(500))
+    held = pa.RecordBatch.from_arrays([ids, pa.array(units.tolist())], ["id", "embedding"])
+    monkeypatch.setattr(vectors, "STEP_VALUES", 5_000)
+    assert [len(q) for q, _, _, _ in vectors._pairs(held, held.slice(0, 25))] == [10, 10, 5]
