@@ -30,8 +30,9 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 # The noise patterns and quality limits of the corpus cleaner.
 # (Looking back first keeps a search to the starts of runs.)
-DOT_LEADER = r"\.{6,}"
-BASE64_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}"
+DOT_LEADER = "......"  # or more
+BASE64_CHARS = 40
+BASE64_RUN = rf"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{{{BASE64_CHARS},}}"
 PAGE_NUMBER = rf"(?iu)^{SPACE}*\|?{SPACE}*(?:[ivxlcdm]{{1,6}}|\p{{Nd}}{{1,4}}){SPACE}*\|?{SPACE}*$"
 LONG_WORD = 30
 MIN_CHARS_PDF = 500
@@ -77,23 +78,55 @@ def words(text: Column) -> Column:
     return F.split(strip(text), f"{SPACE}+")
 
 
-def _garbage(text: Column, its_words: Column) -> Column:
+def has_run(text: Column, n: int) -> Column:
+    """Whether ``n`` characters in a row are no ASCII white space.
+
+    Cheap, as a search looks only behind white space: what needs such a run is worked out
+    for the few texts that have one.
+    """
+    return F.concat(F.lit(" "), text).rlike(rf"\s\S{{{n}}}")
+
+
+def _garbage(text: Column, in_long: Column) -> Column:
+    """The share, given the characters in long words."""
+    blank = F.trim(text, F.lit(" \n")) == ""
+    return let(
+        in_long,
+        lambda n: F.when(n > 0, n / F.length(F.translate(text, " \n", ""))).when(~blank, 0.0).otherwise(1.0),
+    )
+
+
+def _in_long(its_words: Column) -> Column:
     long = F.filter(its_words, lambda w: F.length(w) > LONG_WORD)
-    in_long = F.aggregate(long, F.lit(0), lambda total, w: total + F.length(w))
-    return F.coalesce(F.try_divide(in_long, F.length(F.translate(text, " \n", ""))), F.lit(1.0))
+    return F.aggregate(long, F.lit(0), lambda total, w: total + F.length(w))
+
 
+def long_runs(text: Column) -> Column:
+    """Whether a text may hold a long word or base64.
 
-def garbage_fraction(text: Column) -> Column:
+    Where not, no part of it and nothing that cleaning leaves of it does; the functions that
+    take this as ``runs`` need not look again.
+    """
+    return has_run(text, LONG_WORD + 1)
+
+
+def garbage_fraction(text: Column, runs: Column | None = None) -> Column:
     """Share of the characters that sit in words longer than 30 characters."""
-    return let(text, lambda t: _garbage(t, words(t)))
+    found = lambda t: long_runs(t) if runs is None else runs & long_runs(t)
+    return let(text, lambda t: _garbage(t, F.when(found(t), _in_long(words(t))).otherwise(0)))
 
 
 def alnum_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
+def has_alnum(text: Column, n: int) -> Column:
+    """``alnum_count(text) >= n``, without looking further than the n-th of them."""
+    return text.rlike(rf"\A[^\p{{L}}\p{{N}}]*+(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{n}}}")
+
+
 def is_toc_line(line: Column) -> Column:
-    return line.rlike(DOT_LEADER)
+    return line.contains(DOT_LEADER)
 
 
 def is_page_number_line(line: Column) -> Column:
@@ -108,38 +141,48 @@ def drop_page_number_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines(text), lambda x: ~is_page_number_line(x)), "\n")
 
 
-def strip_base64(text: Column) -> Column:
-    return F.regexp_replace(text, BASE64_RUN, " ")
+def strip_base64(text: Column, runs: Column | None = None) -> Column:
+    found = lambda t: has_run(t, BASE64_CHARS) if runs is None else runs & has_run(t, BASE64_CHARS)
+    return let(text, lambda t: F.when(found(t), F.regexp_replace(t, BASE64_RUN, " ")).otherwise(t))
 
 
-def clean_text(text: Column) -> Column:
+def clean_text(text: Column, runs: Column | None = None) -> Column:
     kept = F.filter(lines(text), lambda x: ~is_toc_line(x) & ~is_page_number_line(x))
     # A base64 run never crosses a line break, so the joined text can be cleaned at once.
-    joined = strip_base64(F.array_join(kept, "\n"))
-    return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    joined = strip_base64(F.array_join(kept, "\n"), runs)
+    three = lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    return strip(let(joined, three))
 
 
-def is_low_quality(text: Column, ext: Column) -> Column:
+def is_low_quality(text: Column, ext: Column, runs: Column | None = None) -> Column:
     minimum = F.when(ext == ".pdf", MIN_CHARS_PDF).otherwise(MIN_CHARS_OTHER)
 
-    def low(t: Column, its_words: Column) -> Column:
-        chars = F.length(F.array_join(its_words, ""))
+    def low(t: Column, its_words: Column, chars: Column) -> Column:
+        in_long = _in_long(its_words) if runs is None else F.when(runs, _in_long(its_words)).otherwise(0)
         mean = chars / F.size(its_words)
         return (
             (F.length(strip(t)) < minimum)
             | (chars == 0)
             | (mean < MIN_WORD_MEAN)
             | (mean > MAX_WORD_MEAN)
-            | (_garbage(t, its_words) > MAX_DOC_GARBAGE)
+            | (_garbage(t, in_long) > MAX_DOC_GARBAGE)
         )
 
-    return let(text, lambda t: let(words(t), lambda its_words: low(t, its_words)))
+    def with_chars(t: Column, its_words: Column) -> Column:
+        return let(F.length(F.array_join(its_words, "")), lambda chars: low(t, its_words, chars))
+
+    return let(text, lambda t: let(words(t), lambda its_words: with_chars(t, its_words)))
 
 
 def keep_chunk(text: Column) -> Column:
+    return keep_part(text, None)
+
+
+def keep_part(text: Column, runs: Column | None) -> Column:
+    """``keep_chunk`` of a part of a text whose ``long_runs`` are known."""
     return let(
         strip(text),
-        lambda body: (alnum_count(body) >= MIN_CHUNK_ALNUM) & (garbage_fraction(body) <= MAX_CHUNK_GARBAGE),
+        lambda body: has_alnum(body, MIN_CHUNK_ALNUM) & (garbage_fraction(body, runs) <= MAX_CHUNK_GARBAGE),
     )
 
 

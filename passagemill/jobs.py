@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import models, paths
 from passagemill.functions.embed import embed_hashed
 from passagemill.functions.prompts import question_prompt
-from passagemill.functions.text import LOW_QUALITY, clean_text, is_low_quality, let
+from passagemill.functions.text import LOW_QUALITY, clean_text, is_low_quality, let, long_runs
 from passagemill.operators import audit, chunking, context, evaluation, identity, retrieval, transcript
 from passagemill.operators.carry import number_rows
 from passagemill.options import (
@@ -63,9 +63,14 @@ def routed(files: DataFrame, options: IngestOptions) -> DataFrame:
 def judged_files(kept: DataFrame, options: IngestOptions) -> DataFrame:
     """One row per file ``(path, doc_sha, parser, reason, chunks)``: each text is cleaned, gated and cut once."""
     ext = paths.extension(F.col("path"))
-    judged = let(
-        clean_text(F.coalesce("text", F.lit(""))), lambda t: F.struct(is_low_quality(t, ext).alias("low"), t.alias("text"))
-    )
+
+    def judge(raw: Column, runs: Column) -> Column:
+        return let(
+            clean_text(raw, runs),
+            lambda t: F.struct(is_low_quality(t, ext, runs).alias("low"), t.alias("text"), runs.alias("runs")),
+        )
+
+    judged = let(F.coalesce("text", F.lit("")), lambda raw: let(long_runs(raw), lambda runs: judge(raw, runs)))
     cleaned = kept.select("path", "doc_sha", "parser", judged.alias("_judged"))
     accepted = cleaned.select(
         "path",
@@ -73,6 +78,7 @@ def judged_files(kept: DataFrame, options: IngestOptions) -> DataFrame:
         "parser",
         F.when(F.col("_judged.low"), F.lit(LOW_QUALITY)).alias("reason"),
         F.when(~F.col("_judged.low"), F.col("_judged.text")).alias("text"),
+        F.col("_judged.runs").alias("_runs"),
     )
     return chunking.chunk_arrays(accepted, options).withColumnRenamed("_chunks", "chunks")
 

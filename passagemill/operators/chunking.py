@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from passagemill.functions import paths
 from passagemill.functions.batches import bounded_batches
-from passagemill.functions.text import LOW_QUALITY, SPACE_CHARS, clean_text, is_low_quality, keep_chunk, let, strip
+from passagemill.functions.text import LOW_QUALITY, SPACES, clean_text, is_low_quality, keep_part, let, strip
 from passagemill.options import IngestOptions
 
 # Break points tried in this order.
@@ -26,19 +26,23 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 LEVELS = 4
 _MARK = chr(0xFDD0)  # a Unicode non-character: never part of interchanged text
-_SPACE_IN_LINE = rf"[{SPACE_CHARS}&&[^\n]]"
+_SPACES_IN_LINE = SPACES.replace("\n", "")
 _PATH = T.ArrayType(T.StringType())
 _SECTIONS = T.ArrayType(
     T.StructType([T.StructField("headers", _PATH), T.StructField("text", T.StringType())])
 )
 
 
-def _marked(text: Column) -> Column:
-    """Put a mark before every header line that lies outside fenced code."""
-    tidy = F.regexp_replace(text, rf"(?md)^{_SPACE_IN_LINE}+|{_SPACE_IN_LINE}+$", "")
+def _tidy(text: Column) -> Column:
+    """Every line stripped."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.trim(line, F.lit(_SPACES_IN_LINE))), "\n")
+
+
+def _marked(tidy: Column) -> Column:
+    """Put a mark before every header line that lies outside fenced code; a line break comes before the first line."""
     # Splitting before each fence line puts fenced code at the odd places; the
     # leading line break keeps the first place outside.
-    runs = F.split(F.concat(F.lit("\n"), tidy), r"(?md)^(?=```|~~~)")
+    runs = F.split(tidy, r"(?md)^(?=```|~~~)")
     header = rf"(?md)^(#{{1,{LEVELS}}}(?: .*)?)$"
     return F.array_join(
         F.transform(
@@ -59,8 +63,13 @@ def header_sections(text: Column) -> Column:
 
 
 def _header_pieces(text: Column) -> Column:
-    """The stripped pieces of a text that is split before its headers."""
-    return F.transform(F.split(_marked(text), _MARK), strip)
+    """The stripped pieces of a text that is split before its headers; one without any is one piece."""
+
+    def pieces(tidy: Column) -> Column:
+        whole = ~tidy.contains("\n#") & ~tidy.contains(_MARK)
+        return F.when(whole, F.array(strip(tidy))).otherwise(F.transform(F.split(_marked(tidy), _MARK), strip))
+
+    return let(F.concat(F.lit("\n"), _tidy(text)), pieces)
 
 
 _HEADER = re.compile(rf"(#{{1,{LEVELS}}})(?: |\n|\Z)([^\n]*)")
@@ -203,12 +212,17 @@ def explode_once(df: DataFrame, array: str, place: str, item: str, count: str |
 
 
 def chunk_arrays(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """The rows with ``_chunks`` in place of ``text``: an array of kept ``(headers, text)``, empty for a null text."""
+    """The rows with ``_chunks`` in place of ``text``: an array of kept ``(headers, text)``, empty for a null text.
+
+    A column ``_runs`` tells ``text.long_runs`` where it is known already.
+    """
     bounded_batches(docs.sparkSession)
     cut = section_cutter(options.chunk_size, options.overlap)
-    rest = [c for c in docs.columns if c != "text"]
-    parted = docs.select(*rest, cut(_header_pieces(F.col("text"))).alias("_parts"))
-    return parted.select(*rest, F.filter("_parts", lambda c: keep_chunk(c["text"])).alias("_chunks"))
+    rest = [c for c in docs.columns if c not in ("text", "_runs")]
+    known = [c for c in docs.columns if c == "_runs"]
+    parted = docs.select(*rest, *known, cut(_header_pieces(F.col("text"))).alias("_parts"))
+    runs = F.col("_runs") if known else None
+    return parted.select(*rest, F.filter("_parts", lambda c: keep_part(c["text"], runs)).alias("_chunks"))
 
 
 def chunk_documents(docs: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:

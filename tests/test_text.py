@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from passagemill.functions import paths, text
+from passagemill.operators import chunking
 from passagemill.options import IngestOptions
 
 
@@ -105,3 +106,42 @@ def test_parser_route(spark):
     assert parser(".pdf", 1 << 40, "markdown") == "pymupdf4llm"
     assert parser(".md", 1) == "text"
     assert parser(".docx", 1) is None
+
+
+def test_cheap_tests_agree_with_the_full_ones(spark):
+    """What a search for a long run, a line break or an early end spares is the same as if worked out."""
+    parts = ["A" * 30, "A" * 31, "b" * 39, "b" * 40, "\u8bf4" * 31, "\U0001f600" * 31, "ab" * 29, "ab" * 30, "\n\n\n", "# h", "```"]
+    gaps = ["", " ", "\n", "\u00a0", "\x85", "\x1c", " \u3000\n"]
+    rows = [(a + g + b + h,) for a in parts for b in parts for g in gaps for h in gaps] + [("",), (" \n",), (None,)]
+    x, t = F.col("x"), text
+    its_words = t.words(x)
+    in_long = F.aggregate(F.filter(its_words, lambda w: F.length(w) > 30), F.lit(0), lambda n, w: n + F.length(w))
+    full = {
+        "garbage": F.coalesce(F.try_divide(in_long, F.length(F.translate(x, " \n", ""))), F.lit(1.0)),
+        "base64": F.regexp_replace(x, t.BASE64_RUN, " "),
+        "alnum": t.alnum_count(x) >= 60,
+        "pieces": F.array(t.strip(F.regexp_replace(x, rf"(?md)^[{t.SPACE_CHARS}&&[^\n]]+|[{t.SPACE_CHARS}&&[^\n]]+$", ""))),
+    }
+    cheap = {"garbage": t.garbage_fraction(x), "base64": t.strip_base64(x), "alnum": t.has_alnum(x, 60), "pieces": chunking._header_pieces(x)}
+    headed = F.coalesce(x.rlike(r"(?md)^[ \xa0\x1c\x85\x{3000}]*#"), F.lit(False))
+    df = spark.createDataFrame(rows, "x string")
+    unlike = {n: F.count_if(~full[n].eqNullSafe(cheap[n]) & (~headed & x.isNotNull() if n == "pieces" else F.lit(True))) for n in full}
+    got = df.agg(*[c.alias(n) for n, c in unlike.items()], F.count_if(t.has_run(x, 40)).alias("runs"), F.count_if(t.has_alnum(x, 60)).alias("long")).first()
+    assert [got[n] for n in full] == [0] * 4 and 0 < got.runs < len(rows) and 0 < got.long < len(rows)
+
+
+def test_a_judged_text_joins_its_words_once(spark):
+    df = spark.range(1).select(text.is_low_quality(F.col("id").cast("string"), F.lit(".md")).alias("low"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+
+
+def test_long_runs_told_beforehand_change_nothing(spark):
+    bits = ["word " * 20, "a" * 31, "b" * 40, "c" * 30, "\n", "\x85", " ", "\u00a0", "......", "\u8bf4" * 20]
+    rows = [(a + b + c,) for a in bits for b in bits for c in bits]
+    x, ext, runs = F.col("x"), F.lit(".md"), text.long_runs(F.col("x"))
+    kept = lambda *r: F.filter(F.split(x, "\n"), lambda line: text.keep_part(line, *r))
+    pairs = [(text.clean_text(x), text.clean_text(x, runs)), (kept(None), kept(runs))]
+    cleaned = [text.is_low_quality(text.clean_text(x), ext, *r) for r in ((), (runs,))]
+    df = spark.createDataFrame(rows, "x string")
+    got = df.agg(F.count_if(runs), *[F.count_if(~a.eqNullSafe(b)) for a, b in [*pairs, cleaned]]).first()
+    assert 0 < got[0] < len(rows) and list(got)[1:] == [0, 0, 0]
