@@ -10,7 +10,9 @@ places are merged into removal spans.
 
 The benchmark is the stated query set: its items are read in blocks of at most
 ``block_windows`` windows, one broadcast each, and every block searches all documents, so no
-broadcast grows with the benchmark.  Documents are never shuffled.
+broadcast grows with the benchmark.  Documents are never shuffled.  The search of the last
+block also makes the result: a second Python step in the stage would give each core a second
+worker, which stays alive through the stages after it.
 
 Edge cases: null and empty texts have no words and are clean; an item of fewer words than a
 window, but not none, is one shorter window; an item without words matches nothing; repeated
@@ -21,7 +23,7 @@ an empty string; repeated documents get equal results; empty tables stay empty o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -204,9 +206,8 @@ def _shards(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray
     data, offsets = common.utf8(column)
 
     def merged(end: int):
-        parts = [h for h in held]
-        words, starts, ends = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        sizes = np.concatenate([p[3] for p in parts])
+        words, starts, ends, sizes = (np.concatenate([p[k] for p in held]) for k in range(4))
+        held.clear()  # not beside the merged ones while the shard is searched
         return begun, end, words, starts, ends, np.concatenate([[0], np.cumsum(sizes)])
 
     for first, end in common.steps(offsets):
@@ -220,7 +221,7 @@ def _shards(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray
         count += len(words)
         if count >= limit:
             yield merged(end)
-            held, count, begun = [], 0, end
+            count, begun = 0, end
     if held:
         yield merged(len(column))
 
@@ -250,41 +251,55 @@ def _hits(words: np.ndarray, begin: np.ndarray, phrases: Phrases, options: Decon
     return document, place - document, phrases.lengths[window], window
 
 
-def _search(rows: DataFrame, phrases: Phrases, options: DecontaminateOptions) -> DataFrame:
-    """Adds one block's findings: ``spans`` (first word and end of each occurrence) and ``items`` of every row."""
-    shared = common.shipped(rows.sparkSession, phrases)
-    text, spans, items = (rows.columns.index(c) for c in ("text", "spans", "items"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared()
-        for batch in batches:
-            for first, end, words, _, _, begin in _shards(batch.column(text), options.shard_words):
-                part = batch.slice(first, end - first)
-                document, start, length, window = _hits(words, begin, block, options) if len(words) else (np.zeros(0, np.int64),) * 4
-                if len(document):
-                    pairs = np.unique(np.stack([document, start - begin[document], start - begin[document] + length], axis=1), axis=0)
-                    sizes = block.begin[window + 1] - block.begin[window]
-                    item = block.items[np.repeat(block.begin[window], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-                    named = np.unique(np.stack([np.repeat(document, sizes), item], axis=1), axis=0)
-                    old_spans, old_items = part.column(spans).to_pylist(), part.column(items).to_pylist()
-                    for d in np.unique(document):
-                        old_spans[d] = old_spans[d] + pairs[pairs[:, 0] == d, 1:].ravel().tolist()
-                        old_items[d] = sorted({*old_items[d], *(block.names[i] for i in named[named[:, 0] == d, 1])})
-                    columns = part.columns
-                    columns[spans] = pa.array(old_spans, batch.schema.field(spans).type)
-                    columns[items] = pa.array(old_items, batch.schema.field(items).type)
-                    part = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-                yield part
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _searched(rows: DataFrame, benchmark: DataFrame, options: DecontaminateOptions) -> DataFrame:
+def _noted(rows: pa.RecordBatch, words: np.ndarray, begin: np.ndarray, block: Phrases, options: DecontaminateOptions) -> pa.RecordBatch:
+    """A shard's rows with one block's findings: ``spans`` (first word and end of each occurrence) and ``items``."""
+    document, start, length, window = _hits(words, begin, block, options)
+    if not len(document):
+        return rows
+    pairs = np.unique(np.stack([document, start - begin[document], start - begin[document] + length], axis=1), axis=0)
+    sizes = block.begin[window + 1] - block.begin[window]
+    item = block.items[np.repeat(block.begin[window], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    named = np.unique(np.stack([np.repeat(document, sizes), item], axis=1), axis=0)
+    spans, items = (rows.schema.get_field_index(c) for c in ("spans", "items"))
+    old_spans, old_items = rows.column(spans).to_pylist(), rows.column(items).to_pylist()
+    for d in np.unique(document):
+        old_spans[d] = old_spans[d] + pairs[pairs[:, 0] == d, 1:].ravel().tolist()
+        old_items[d] = sorted({*old_items[d], *(block.names[i] for i in named[named[:, 0] == d, 1])})
+    columns = rows.columns
+    columns[spans] = pa.array(old_spans, rows.schema.field(spans).type)
+    columns[items] = pa.array(old_items, rows.schema.field(items).type)
+    return pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+
+#: Makes result rows of a shard's rows, the byte starts and ends of their words and the first word of each row.
+Finish = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
+
+
+def _searched(rows: DataFrame, text: Callable[[pa.RecordBatch], pa.Array], benchmark: DataFrame, options: DecontaminateOptions, finish: Finish, schema: str) -> DataFrame:
+    """What ``finish`` makes of all rows with the findings of all blocks; ``text`` gives a batch's texts."""
     common.bounded_batches(rows.sparkSession)
+
+    def search(found: DataFrame, phrases: Phrases | None, last: bool) -> DataFrame:
+        shared = common.shipped(found.sparkSession, phrases)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared()
+            for batch in batches:
+                for first, end, words, starts, ends, begin in _shards(text(batch), options.shard_words):
+                    part = batch.slice(first, end - first)
+                    if block is not None and len(words):
+                        part = _noted(part, words, begin, block, options)
+                    yield finish(part, starts, ends, begin) if last else part
+                pa.default_memory_pool().release_unused()
+
+        return found.mapInArrow(run, schema if last else found.schema)
+
     found = rows.withColumn("spans", F.array().cast("array<bigint>")).withColumn("items", F.array().cast("array<string>"))
-    for k, block in enumerate(phrase_blocks(benchmark, options)):
-        found = _search(common.staged(found) if k else found, block, options)
-    return found
+    blocks = phrase_blocks(benchmark, options)
+    block = next(blocks, None)  # None: no item has words
+    while (following := next(blocks, None)) is not None:
+        found, block = common.staged(search(found, block, False)), following
+    return search(found, block, True)
 
 
 def _covered(spans: list[int], words: int) -> np.ndarray:
@@ -298,20 +313,18 @@ def _covered(spans: list[int], words: int) -> np.ndarray:
 def report(docs: DataFrame, benchmark: DataFrame, options: DecontaminateOptions = DecontaminateOptions()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = np.concatenate([np.diff(begin) for *_, begin in _shards(batch.column(1), options.shard_words)] or [np.zeros(0, np.int64)])
-            hit = np.array([_covered(s, n).sum() if s else 0 for s, n in zip(batch.column(2).to_pylist(), words)], np.int64)
-            items = batch.column(3).to_pylist()
-            columns = [
-                batch.column(0), pa.array(words.astype(np.int64)), pa.array(hit), pa.array([len(i) for i in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items], pa.string()), pa.array(hit > 0),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    found = _searched(docs.select("doc_id", "text"), benchmark, options)
+    def told(part: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        words, items = np.diff(begin), part.column(3).to_pylist()
+        hit = np.array([_covered(s, n).sum() if s else 0 for s, n in zip(part.column(2).to_pylist(), words)], np.int64)
+        columns = [
+            part.column(0), pa.array(words.astype(np.int64)), pa.array(hit), pa.array([len(i) for i in items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items], pa.string()), pa.array(hit > 0),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
     key = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = f"doc_id {key}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _searched(docs.select("doc_id", "text"), lambda batch: batch.column(1), benchmark, options, told, schema)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, options: DecontaminateOptions = DecontaminateOptions()) -> DataFrame:
@@ -322,31 +335,29 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, options: DecontaminateOptions
     left out.  ``n_chars``, where there is one, follows the text.
     """
     columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(1), batch.column(2).to_pylist()
-            keep, out, sizes = [], texts.to_pylist(), []
-            for first, end, _, starts, ends, begin in _shards(texts, options.shard_words):
-                for d in range(first, end):
-                    a, b = begin[d - first], begin[d - first + 1]
-                    keep.append(True)
-                    if spans[d]:
-                        inside = np.concatenate([[False], _covered(spans[d], b - a), [False]])
-                        edges = np.flatnonzero(inside[1:] != inside[:-1])
-                        raw, pieces, last = (out[d] or "").encode(), [], 0
-                        for low, high in zip(edges[0::2], edges[1::2]):
-                            pieces.append(raw[last : starts[a + low]])
-                            last = int(ends[a + high - 1])
-                        pieces.append(raw[last:])
-                        out[d] = b" ".join(p.strip() for p in pieces).strip().decode()
-                        keep[-1] = bool((~inside[1:-1]).any())
-            sizes = [len(t or "") for t in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], ["row", "text", "size"]).filter(pa.array(keep, pa.bool_()))
-
-    found = _searched(docs.select(F.struct(*columns).alias("row"), "text"), benchmark, options)
-    row = found.schema["row"].dataType.simpleString()
-    done = found.select("row", "text", "spans").mapInArrow(run, f"row {row}, text string, size long")
+    place = columns.index("text")
+    text = lambda batch: batch.column(0).field(place)
+
+    def cut(part: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        """The rows that stay; text and size are null where nothing was cut."""
+        data, offsets = common.utf8(text(part))
+        spans = part.column(1).to_pylist()
+        keep, out = np.ones(len(spans), bool), [None] * len(spans)
+        for d in [d for d, s in enumerate(spans) if s]:
+            a, b = begin[d], begin[d + 1]
+            inside = np.concatenate([[False], _covered(spans[d], b - a), [False]])
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            raw, pieces, last = data[offsets[d] : offsets[d + 1]].tobytes(), [], 0
+            for low, high in zip(edges[0::2], edges[1::2]):
+                pieces.append(raw[last : starts[a + low]])
+                last = int(ends[a + high - 1])
+            pieces.append(raw[last:])
+            out[d] = b" ".join(p.strip() for p in pieces).strip().decode()
+            keep[d] = (~inside[1:-1]).any()
+        sizes = [None if t is None else len(t) for t in out]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], ["row", "text", "size"]).filter(pa.array(keep))
+
+    rows = docs.select(F.struct(*columns).alias("row"))
+    done = _searched(rows, text, benchmark, options, cut, f"row {rows.schema['row'].dataType.simpleString()}, text string, size long")
     value = {"text": F.col("text"), "n_chars": F.col("size")}
-    changed = F.coalesce(F.col("row.text"), F.lit("")) != F.col("text")
-    return done.select(*[F.when(changed, value[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c) if c in value else F.col("row")[c].alias(c) for c in columns])
+    return done.select(*[F.coalesce(value[c].cast(docs.schema[c].dataType), F.col("row")[c]).alias(c) if c in value else F.col("row")[c].alias(c) for c in columns])

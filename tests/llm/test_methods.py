@@ -88,6 +88,17 @@ def test_report_against_brute_force(spark):
     assert dirty
 
 
+def test_search_and_result_share_one_python_step(spark):
+    docs, items = table(spark, "documents"), table(spark, "benchmark")
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    options = decontaminate.DecontaminateOptions(shard_words=3000, block_windows=100)
+    for few in (items, items.limit(0)):
+        assert steps(decontaminate.report(docs, few)) == steps(decontaminate.cleaned(docs, few)) == 1  # two keep two workers a core
+    assert steps(decontaminate.cleaned(docs, items, options)) == 1
+    whole, got = (sorted(decontaminate.cleaned(docs, items, o).collect()) for o in (decontaminate.DecontaminateOptions(), options))
+    assert got == whole != sorted(docs.collect())
+
+
 # ---------------------------------------------------------------- n-gram join
 
 
