@@ -477,6 +477,97 @@ def test_page_query(spark):
         assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (text, len(text), r.url)
 
 
+NOTICE = "read our weekly letter about gardens and trees at no cost"
+
+
+def test_notices_that_a_host_repeats_inside_articles_are_cut(spark):
+    pages, want = [], {}
+
+    def add(key, host, body, stays):
+        pages.append((key, f"http://{host}.example/{key}", f"<html><body><article>{body}</article></body></html>"))
+        want[key] = stays
+
+    for k in range(8):
+        prose = " ".join(f"p{k}w{j}" for j in range(20)) + (" as we said in the last year" if k % 2 else "") + f" end{k}"
+        head = f"<h1>Plant {k}</h1><p>{prose}</p><h2>Sources</h2><p>see book {k}</p>"
+        add(k, "big", f"{head}<h2>Our letter</h2><p>{NOTICE}</p><p>By Jo</p>", f"Plant {k}\n{prose}\nSources\nsee book {k}\nOur letter\nBy Jo")
+        if k < 2:  # two pages tell nothing
+            add(200 + k, "two", f"<p>{prose}</p><p>{NOTICE}</p>", f"{prose}\n{NOTICE}")
+        # versions of one article, and one article below several addresses
+        same = " ".join(f"v{j}" for j in range(40))
+        add(300 + k, "versions", f"<p>{same}</p><p>version {k} has a few words of its own</p>", f"{same}\nversion {k} has a few words of its own")
+        add(400 + k, "copies", f"<p>{same}</p><p>{NOTICE}</p>", f"{same}\n{NOTICE}")
+        # fewer than half of the host's articles
+        add(500 + k, "few", f"<p>{prose}</p>" + (f"<p>{NOTICE}</p>" if k < 3 else ""), prose + (f"\n{NOTICE}" if k < 3 else ""))
+        # versions lose what other articles show to be a notice, and so do short articles; alone it stays
+        body = f"<p>{same}</p><p>version {k}</p>" if k < 4 else f"<p>{prose}</p>"
+        add(600 + k, "mixed", f"{body}<p>{NOTICE}</p>", f"{same}\nversion {k}" if k < 4 else prose)
+        body, stays = [(f"<p>{prose}</p>", prose), (f"<p>short {k}</p>", f"short {k}"), ("", NOTICE)][max(k - 5, 0)]
+        add(700 + k, "short", f"{body}<p>{NOTICE}</p>", stays)
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    for more in ({}, {"slice_pages": 2, "slice_bytes": 100}):
+        options = html_extract.ExtractOptions(**more)
+        assert {r.page_id: r.text for r in html_extract.extract(docs, options).collect()} == want
+
+
+def host_runs_by_hand(texts, run, pages, percent):
+    """Of each text (blocks of words), the tokens that any common substring of enough different texts covers."""
+    different = list({repr(t): t for t in texts}.values())
+    need = max(pages, -(-percent * len(different) // 100))
+
+    def substrings(block):
+        if len(block) < run:
+            return {(0, len(block)): ("whole", *block)}
+        return {(a, b): tuple(block[a:b]) for a in range(len(block)) for b in range(a + run, len(block) + 1)}
+
+    on = Counter(x for t in different for x in {s for block in t for s in substrings(block).values()})
+    return [[{i for (a, b), x in substrings(block).items() if on[x] >= need for i in range(a, b)} for block in t] for t in texts]
+
+
+def of_other_articles_by_hand(texts, marks, run, pages, percent):
+    """As the marks, but of those runs only that mostly stand on articles with more other text than marked paragraphs."""
+    different = {repr(t): (t, mark) for t, mark in zip(texts, marks)}.values()
+    windows = lambda b: {a: tuple(b[a : a + run]) for a in range(len(b) - run + 1)}
+    on = Counter(x for t, _ in different for x in {x for b in t for x in windows(b).values()})
+    apart = Counter()
+    for t, mark in different:
+        if 2 * sum(len(b) for b, m in zip(t, mark) if run <= len(b) == len(m)) <= sum(map(len, t)):
+            apart.update({x for b in t for x in windows(b).values()})
+    good = {x for x in on if on[x] >= max(pages, -(-percent * len(different) // 100)) and apart[x] >= pages and 100 * apart[x] >= percent * on[x]}
+    return [[{i for a, x in windows(b).items() if x in good for i in range(a, a + run)} for b in t] for t in texts]
+
+
+def test_host_runs_against_all_common_substrings(spark):
+    rng = random.Random(11)
+    phrases = [[rng.choice("abc") + str(rng.randrange(3)) for _ in range(rng.randrange(2, 9))] for _ in range(5)]
+    hosts, pages, want = [], [], {}
+    for h in range(6):
+        for part in ("article", "div"):
+            texts = []
+            for _ in range(rng.choice([2, 5, 12, 30])):
+                blocks = [rng.choice(phrases) if rng.random() < 0.6 else [rng.choice("xyz") + str(rng.randrange(40)) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 6))]
+                blocks = [[*b, *rng.choice(phrases)] if rng.random() < 0.2 else b for b in blocks]
+                texts += [blocks] * rng.choice([1, 1, 1, 3])
+            hosts.append((h, part, texts))
+    for h, part, texts in hosts:
+        marks = host_runs_by_hand(texts, 4, 3, 50)
+        if part == "article":
+            marks = of_other_articles_by_hand(texts, marks, 4, 3, 50)
+        for t, mark in zip(texts, marks):
+            if part == "div":
+                kept = [[w for i, w in enumerate(b) if i not in m] for b, m in zip(t, mark)]
+            else:
+                gone = [4 <= len(b) == len(m) for b, m in zip(t, mark)]
+                kept = t if all(gone) else [[] if g else b for b, g in zip(t, gone)]
+            want[len(pages)] = "\n".join(" ".join(b) for b in kept if b)
+            inner = "".join(f"<p>{' '.join(b)}</p>" for b in t)
+            pages.append((len(pages), f"https://h{h}.example/{len(pages)}", f"<{part}>{inner}</{part}>"))
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    for more in ({}, {"slice_pages": 4, "slice_bytes": 300}, {"slice_pages": 3}, {"slice_bytes": 1_000}):
+        options = html_extract.ExtractOptions(run=4, **more)
+        assert {r.page_id: r.text for r in html_extract.extract(docs, options).collect()} == want
+
+
 # ---------------------------------------------------------------- chat
 
 
